@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, exact_dedup, packing, quality_rules, secret_scan
+from quillstone.llm import bpe, exact_dedup, packing, quality_rules, secret_scan, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # byte_bpe_50k.tiktoken is the vocabulary of byte_bpe_50k.json in tiktoken's form.
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_quality_rules": op2_quality_rules,
         "op4_bpe": op4_bpe,
+        "op5_toxicity": op5_toxicity,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, exact_dedup, packing, quality_rules, secret_scan, toxicity
+from quillstone.llm import bagminhash, bpe, exact_dedup, packing, quality_rules, secret_scan, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bagminhash.near_classes(documents(spark, sf_dir))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # byte_bpe_50k.tiktoken is the vocabulary of byte_bpe_50k.json in tiktoken's form.
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op4_bpe": op4_bpe,
         "op5_toxicity": op5_toxicity,
+        "op6_bagminhash": op6_bagminhash,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
     }

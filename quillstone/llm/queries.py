@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bagminhash, bpe, exact_dedup, packing, quality_rules, secret_scan, toxicity
+from quillstone.llm import bagminhash, bpe, exact_dedup, packing, quality_rules, quotation_linking, secret_scan, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation_linking.link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bagminhash": op6_bagminhash,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_quotation_linking": op9_quotation_linking,
     }
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bagminhash, bpe, exact_dedup, packing, quality_rules, quotation_linking, secret_scan, toxicity
+from quillstone.llm import bagminhash, bpe, exact_dedup, html_extract, packing, quality_rules, quotation_linking, secret_scan, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation_linking.link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quotation_linking": op9_quotation_linking,
+        "op10_html_extract": op10_html_extract,
     }
 
 

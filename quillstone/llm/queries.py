@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bagminhash, bpe, exact_dedup, html_extract, packing, quality_rules, quotation_linking, secret_scan, toxicity
+from quillstone.llm import bagminhash, bpe, exact_dedup, html_extract, packing, quality_rules, quotation_linking, secret_scan, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut_repeats(documents(spark, sf_dir))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_quality_rules": op2_quality_rules,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_bpe": op4_bpe,
         "op5_toxicity": op5_toxicity,
         "op6_bagminhash": op6_bagminhash,

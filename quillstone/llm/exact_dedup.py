@@ -179,6 +179,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs.write.parquet(path)
     dropped = dedup_exact(spark, path, id_col, text_col).filter(~F.col("kept"))
     dropped = dropped.select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    rows = spark.read.schema(docs.schema).parquet(path)
-    keys = (F.col("_metadata.file_path") == F.col("__file")) & (F.col("_metadata.row_index") == F.col("__row"))
-    return rows.join(dropped, keys, "left_anti")
+    file, row = F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row")
+    rows = spark.read.schema(docs.schema).parquet(path).select("*", file, row)
+    keys = F.expr("__at_file = __file AND __at_row = __row")
+    return rows.join(dropped, keys, "left_anti").drop("__at_file", "__at_row")

@@ -8,10 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL if it has one."""
+
+    def register(run: Query) -> Query:
+        _QUERIES[run.__name__] = run
+        if sql:
+            _SQL[run.__name__] = sql
+        return run
+
+    return register
+
+
+def _load() -> None:
+    from quillstone.plans import guarding, ingestion, portfolio, retrieval, tenancy, texts, versions  # noqa: F401
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)

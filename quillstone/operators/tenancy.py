@@ -70,6 +70,18 @@ def in_scope(scope: str, item: str):
     return (F.size(scope) == 0) | F.array_contains(F.col(scope), F.col(item))
 
 
+def scope_sizes(owners: DataFrame, owner: str, scope: str, items: DataFrame, item: str, name: str) -> DataFrame:
+    """How many items each owner's scope holds.
+
+    Listed ids are joined by id; owners of the whole table get its one count, so no
+    owner is paired with every item.
+    """
+    listed = owners.select(owner, F.explode_outer(scope).alias("__id")).join(items.select(F.col(item).alias("__item")), F.col("__id") == F.col("__item"), "left")
+    counted = listed.groupBy(owner).agg(F.count("__item").alias("__n"), F.max(F.col("__id").isNull()).alias("__all"))
+    total = items.agg(F.count("*").alias("__total"))
+    return counted.join(F.broadcast(total), F.lit(True)).select(owner, F.when(F.col("__all"), F.col("__total")).otherwise(F.col("__n")).alias(name))
+
+
 #: Fixed role matrix.
 PERMISSIONS = ("document:read", "document:upload", "document:delete", "query:run", "analysis:run", "user:manage", "evaluation:run")
 ROLES = {

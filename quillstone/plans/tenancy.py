@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.operators.tenancy import TenantTable, allowed, denied, in_scope, payload_filter
+from quillstone.operators.tenancy import TenantTable, allowed, denied, payload_filter, scope_sizes
 from quillstone.plans.catalogue import query
 from quillstone.sources.tables import table
 
@@ -73,15 +73,14 @@ def payload_filter_empty_scope(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    """SELECT c.conv_id, d.doc_id FROM (SELECT DISTINCT conv_id, CASE WHEN conv_id % 2 = 0 THEN [] ELSE [conv_id, conv_id + 1] END AS scope
-       FROM conversations WHERE conv_id < 6) c JOIN (SELECT doc_id FROM documents WHERE doc_id < 8) d
-       ON len(scope) = 0 OR list_contains(scope, d.doc_id)"""
+    """WITH c AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 2 = 0 THEN [] ELSE [conv_id, conv_id + 1] END AS scope FROM conversations)
+    SELECT conv_id, CASE WHEN len(scope) = 0 THEN (SELECT count(*) FROM documents) ELSE (SELECT count(*) FROM documents WHERE list_contains(scope, doc_id)) END AS n_documents FROM c"""
 )
 def conversation_scope(spark, sf_dir) -> DataFrame:
-    scopes = table(spark, sf_dir, "conversations").filter("conv_id < 6").select("conv_id").distinct()
-    scopes = scopes.withColumn("scope", F.expr("CASE WHEN conv_id % 2 = 0 THEN CAST(array() AS array<bigint>) ELSE array(conv_id, conv_id + 1) END"))
-    docs = table(spark, sf_dir, "documents").filter("doc_id < 8").select("doc_id")
-    return scopes.join(docs, in_scope("scope", "doc_id")).select("conv_id", "doc_id")
+    """Documents a conversation may use: an empty list stands for all of them."""
+    scope = F.expr("CASE WHEN conv_id % 2 = 0 THEN CAST(array() AS array<bigint>) ELSE array(conv_id, conv_id + 1) END")
+    scopes = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("scope", scope)
+    return scope_sizes(scopes, "conv_id", "scope", table(spark, sf_dir, "documents"), "doc_id", "n_documents")
 
 
 MATRIX = """(VALUES ('ADMIN', ['document:read','document:upload','document:delete','query:run','analysis:run','user:manage','evaluation:run']),

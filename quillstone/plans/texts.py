@@ -1 +1,89 @@
+"""Text queries over documents, pages and conversations."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillstone.operators import text
+from quillstone.plans.catalogue import query
+from quillstone.sources.tables import table
+
+
+def _rule_sql() -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, '{s}' AS severity, regexp_extract(text, '{p}', 0) AS evidence FROM documents WHERE regexp_matches(text, '{p}')" for n, s, p in text.RULES)
+
+
+@query(_rule_sql())
+def risk_rules(spark, sf_dir) -> DataFrame:
+    return text.risk_findings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE NOT regexp_matches(text, 'Licensed under the [A-Z][A-Za-z]+')")
+def missing_clause(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    have = docs.filter(F.col("text").rlike(text.RULES[0][2])).select("doc_id")
+    return docs.join(have, "doc_id", "left_anti").select("doc_id", "lang")
+
+
+CHUNKS = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+  h AS (SELECT *, CASE WHEN regexp_matches(line, '^[0-9]+([.][0-9]+)* +[A-Z]') THEN regexp_extract(line, '^([0-9]+(?:[.][0-9]+)*)', 1) END AS heading FROM l),
+  c AS (SELECT *, count(heading) OVER (PARTITION BY doc_id ORDER BY pos) AS chunk_no FROM h)"""
+
+
+@query(f"{CHUNKS} SELECT doc_id, chunk_no, max(heading) AS heading, count(*) AS n_lines, length(string_agg(line, chr(10) ORDER BY pos)) AS n_chars FROM c GROUP BY 1, 2")
+def clause_chunks(spark, sf_dir) -> DataFrame:
+    chunks = text.clause_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return chunks.select("doc_id", "chunk_no", "heading", "n_lines", F.length("text").cast("long").alias("n_chars"))
+
+
+PLANTED = "1 Term\nTwo years.\n1.1 Renewal\nBy notice.\n2 Fees\nNet 30."
+
+
+@query("SELECT * FROM (VALUES (-1, 1, '1', NULL, NULL), (-1, 2, '1.1', '1', '1 Term' || chr(10) || 'Two years.'), (-1, 3, '2', NULL, NULL)) t(doc_id, chunk_no, heading, parent, parent_text)")
+def chunk_parent_child(spark, sf_dir) -> DataFrame:
+    """No document has numbered headings, so this one is planted."""
+    chunks = text.clause_chunks(spark.createDataFrame([(-1, PLANTED)], "doc_id bigint, text string"), "doc_id")
+    return text.with_parent_text(chunks, "doc_id").select("doc_id", "chunk_no", "heading", "parent", "parent_text")
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT source, count(*) AS n_pages FROM documents GROUP BY 1)
+    SELECT source, line, count(*) AS n, any_value(n_pages) AS n_pages FROM l JOIN n USING (source) WHERE line <> '' GROUP BY 1, 2 HAVING count(*) > 0.02 * any_value(n_pages)"""
+)
+def header_footer_lines(spark, sf_dir) -> DataFrame:
+    return text.running_lines(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", "doc_id", 0.02).select("source", "line", "n", "n_pages")
+
+
+PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {PLAIN} AS text FROM pages")
+def html_to_text(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.plain_text(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, length({PLAIN}) < 400 AS needs_ocr FROM pages")
+def scanned_pages(spark, sf_dir) -> DataFrame:
+    """Pages with hardly a text layer: under 400 characters, as no page here has none."""
+    return table(spark, sf_dir, "pages").select("page_id", (F.length(text.plain_text(F.col("html"))) < 400).alias("needs_ocr"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '(?is)<table[^>]*>(.*?)</table>')) AS n_tables, len(regexp_extract_all(html, '(?is)<img[^>]*?src=[\"'']([^\"'']*)')) AS n_images FROM pages")
+def page_tables(spark, sf_dir) -> DataFrame:
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.size(text.html_tables(html)).cast("long").alias("n_tables"), F.size(text.image_sources(html)).cast("long").alias("n_images"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history, count(*) AS n FROM conversations GROUP BY 1")
+def conversation_history(spark, sf_dir) -> DataFrame:
+    ordered = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"), F.count("*").alias("n"))
+    return ordered.select("conv_id", F.array_join(F.transform("x", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("history"), "n")
+
+
+@query("SELECT conv_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'system'), '') AS system, count(*) FILTER (role <> 'system') AS n_other FROM conversations GROUP BY 1")
+def system_prompt_concat(spark, sf_dir) -> DataFrame:
+    """System messages joined in order, apart from the others."""
+    own = F.array_sort(F.collect_list(F.when(F.col("role") == "system", F.struct("turn", "text"))))
+    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(own.alias("x"), F.count_if(F.col("role") != "system").alias("n_other"))
+    return grouped.select("conv_id", F.array_join(F.transform("x", lambda m: m["text"]), "\n\n").alias("system"), "n_other")

@@ -67,8 +67,8 @@ RANDOM_LEVEL = 0.001
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 CAND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("band", pa.int64()), ("counts", pa.list_(pa.int32())), ("passes", pa.bool_())])
 BINNED_CAND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("bin", pa.int32()), ("passes", pa.bool_())])
-BINNED = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(SPAN)), ("candidates", pa.list_(BINNED_CAND))])
-SCAN = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(SPAN)), ("candidates", pa.list_(CAND)), ("symbols", pa.list_(pa.int64()))])
+BINNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base", pa.list_(SPAN)), ("candidates", pa.list_(BINNED_CAND))])
+SCAN = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base", pa.list_(SPAN)), ("candidates", pa.list_(CAND)), ("symbols", pa.list_(pa.int64()))])
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -128,11 +128,11 @@ def candidates(text: str) -> list[tuple]:
     return found
 
 
-def scan_row(doc_id, text) -> Iterator[tuple]:
+def scan_row(doc_id, text_hash, text) -> Iterator[tuple]:
     text = text or ""
     spans = [{"kind": k, "start": a, "end": b} for k, a, b in base_spans(text)]
     names = [f.name for f in CAND]
-    yield doc_id, spans, [dict(zip(names, c, strict=True)) for c in candidates(text)], [text.count(c) for c in SYMBOLS]
+    yield doc_id, text_hash, spans, [dict(zip(names, c, strict=True)) for c in candidates(text)], [text.count(c) for c in SYMBOLS]
 
 
 def log_shares(weights: np.ndarray) -> dict[str, np.ndarray]:
@@ -179,7 +179,8 @@ def cutoff_bins(counts: list[Row], fdr: float) -> dict[str, int]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pass 1, written to the shared folder: base spans, candidates, symbol counts."""
-    return materialise(map_rows(docs, [id_col, text_col], scan_row, SCAN), "secret-scan")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return materialise(map_rows(rows, ["doc_id", "text_hash", "text"], scan_row, SCAN), "secret-scan")
 
 
 def symbol_weights(scanned: DataFrame) -> np.ndarray:
@@ -189,15 +190,16 @@ def symbol_weights(scanned: DataFrame) -> np.ndarray:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 1e-3) -> DataFrame:
-    """One row per document: doc_id, spans array<struct<kind,start,end>>, base included."""
+    """One row per document: doc_id, text_hash (xxhash64), base, spans: arrays of
+    struct<kind,start,end>; spans include base."""
     scanned = scan(docs, id_col, text_col)
     shares = log_shares(symbol_weights(scanned))
 
-    def bins(doc_id, base, found) -> Iterator[tuple]:
+    def bins(doc_id, text_hash, base, found) -> Iterator[tuple]:
         at = [bin_of(ordinary_p(np.array(c["counts"]), shares[c["encoding"]])) for c in found]
-        yield doc_id, base, [{"start": c["start"], "end": c["end"], "stratum": f"{c['encoding']}/{c['band']}", "bin": b, "passes": c["passes"]} for c, b in zip(found, at, strict=True)]
+        yield doc_id, text_hash, base, [{"start": c["start"], "end": c["end"], "stratum": f"{c['encoding']}/{c['band']}", "bin": b, "passes": c["passes"]} for c, b in zip(found, at, strict=True)]
 
-    binned = map_rows(scanned, ["doc_id", "base", "candidates"], bins, BINNED)
+    binned = map_rows(scanned, BINNED.names, bins, BINNED)
     counts = binned.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.bin").agg(F.count("*").alias("n")).collect()
     cut = cutoff_bins(counts, fdr)
     least = F.create_map(*[F.lit(x) for item in (cut or {"": TOP_BIN + 1}).items() for x in item])
@@ -209,7 +211,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
 
     extra = F.transform(F.filter("candidates", lambda c: flagged(c) & clear(c)), lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return binned.select("doc_id", "base", ordered(F.concat("base", extra)).alias("spans"))
+    return binned.select("doc_id", "text_hash", "base", ordered(F.concat("base", extra)).alias("spans"))
 
 
 def ordered(spans):
@@ -222,14 +224,15 @@ def ordered(spans):
 def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", fdr: float = 1e-3) -> DataFrame:
     """``docs`` with every found span of the text replaced by ``mark``; all columns stay.
 
-    Documents are matched to their spans by identifier; rows that share one are each
-    scanned, and the union of their spans is cut only where the text is the same.
+    Rows are matched to their spans by identifier (null equals null) and text, so rows
+    that share an identifier lose their own secrets only.
     """
     found = find_secrets(docs, id_col, text_col, fdr).filter(F.size("spans") > 0)
-    found = found.groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("__spans"))
-    joined_rows = docs.join(found, F.col(id_col) == F.col("__id"), "left")
+    found = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("spans").alias("__spans"))
+    same = (F.xxhash64(text_col) == F.col("__hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    joined_rows = docs.join(found, same, "left")
     masked = mask(F.col(text_col), F.col("__spans"), mark)
-    return joined_rows.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(masked)).drop("__id", "__spans")
+    return joined_rows.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(masked)).drop("__id", "__hash", "__spans")
 
 
 def mask(text, spans, mark: str):

@@ -131,6 +131,8 @@ def test_find_secrets(spark):
     assert all(not got[i] for i in range(32, 32 + len(ODD)))
     assert secret_scan.find_secrets(docs(spark, [])).count() == 0
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs(spark, texts)).collect()}
+    twice = docs(spark, ["password: abcdef tail", "no secret here at all", "password: abcdef"], [7, 7, None])
+    assert sorted(r["text"] for r in secret_scan.redact(twice).collect()) == ["[secret]", "[secret] tail", "no secret here at all"]
     assert clean[30] == "é key [secret] end" and clean[31] == "[secret]" and clean[0] == texts[0] and clean[32] is None
 
 

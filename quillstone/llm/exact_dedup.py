@@ -31,7 +31,13 @@ from quillstone.sources.workspace import fresh_path, materialise
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOG_SCHEMA = "doc_id bigint, file string, row bigint, loc bigint, digest string"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on the executors' disks.  Without fallocate a small store takes what it holds; with it
+#: each store of each partition sets megabytes aside.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def fold_ascii(text: Column) -> Column:
@@ -101,7 +107,7 @@ def dedup_state(spark: SparkSession, log_path: str) -> DataFrame:
         # Overwriting the batch's own folder makes a replay after a failure harmless.
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}):
+    with settings(spark, STATE_STORE):
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", fresh_path(spark, "dedup-state-checkpoint"))

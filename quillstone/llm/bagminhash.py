@@ -15,7 +15,18 @@ every node is compared with three others, its stars, and pairs are verified by t
 exact multiset overlap of the whole texts.  Buckets whose nodes are still in several
 components are looked at again: small ones with all pairs across components, which
 settles them, larger ones with other stars each round, until a round finds no new
-link.  So no large bucket yields all its pairs, and copies cost one row each.
+link.  Copies cost one row each.
+
+What is then still apart in larger buckets is settled exactly (``exact_pairs``).  A
+shingle that more than SMALL of these nodes have is heavy.  Nodes that share a shingle
+that is not heavy meet by it, whatever their bucket; only the pairs whose shared light
+shingles, with all the heavy ones the smaller heavy part can add, may reach the
+threshold are verified.  Pairs without a light shingle in common are near by their
+heavy parts alone.  If x and y are, x is also near to the smallest node whose heavy
+part is that of y, and so is y; so each node of a bucket is compared with the smallest
+node of each heavy part that is large enough.  That is linear where a family shares a
+template, and grows with the square of a bucket only where its nodes are of several
+components, their heavy parts all differ and are most of each text.
 
 Defined results.  Null text counts as empty; texts without words are copies of one
 another.  A text of under five words has one shingle, all its words.  The class of a
@@ -51,6 +62,7 @@ SMALL = 32
 BATCH = 512
 
 SIGNATURE = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("bands", pa.list_(pa.int64()))])
+ELEMENTS = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("unit", pa.int64()), ("size", pa.int64()), ("elements", pa.list_(pa.int64()))])
 VERDICT = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("similarity", pa.float64())])
 
 U = np.uint64
@@ -182,6 +194,60 @@ def all_pairs(entries: DataFrame) -> DataFrame:
     return entries.join(right, "key").filter("node < other AND component <> of").select(F.col("node").alias("u"), F.col("other").alias("v"))
 
 
+def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The multiset as a set: a key for each occurrence of each shingle."""
+    s, w = bag
+    occurrence = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+    return mix(np.repeat(s, w) + occurrence.astype(U) * U(GOLDEN)).view(np.int64)
+
+
+def exact_pairs(apart: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """A superset of the pairs across components, in buckets of ``apart``, that reach the
+    threshold, and small enough to be verified; see above.
+
+    A unit is one text of a node, as several texts may have one identifier.
+    """
+
+    def row(node, component, text) -> Iterator[tuple]:
+        bag = multiset(text)
+        keys = elements(bag)
+        unit = xxhash.xxh3_64_intdigest(bag[0].tobytes() + bag[1].tobytes()) - (1 << 63)
+        yield node, component, unit, len(keys), keys
+
+    def may_reach(shared, a: str, b: str):
+        # An overlap o of sizes a and b reaches t where o (1 + t) >= t (a + b).
+        return shared * (1 + threshold) >= threshold * (F.col(a) + F.col(b)) - 1e-6
+
+    nodes = apart.select("node", "component").distinct()
+    own = map_rows(nodes.join(texts, F.col("node") == F.col("doc_id")), ["node", "component", "text"], row, ELEMENTS, batch_rows=64)
+    each = materialise(own.select("node", "component", "unit", "size", F.explode("elements").alias("element")), "near-elements", compression="zstd")
+    counts = each.groupBy("element").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b"))
+    counts = counts.filter((F.col("n") > SMALL) | (F.col("a") < F.col("b"))).select("element", (F.col("n") > SMALL).alias("heavy"))
+    shared = materialise(each.join(counts, "element"), "near-shared", compression="zstd")
+
+    # Heavy parts are told apart by sums over both halves of their keys: a repeated row
+    # doubles them, and h, which only makes a part of its own with a weaker bound.
+    halves = F.struct(F.sum(F.shiftright("element", 32)), F.sum(F.col("element").bitwiseAND(0xFFFFFFFF)))
+    heavy = shared.filter("heavy").groupBy("node", "unit").agg(F.count("*").alias("h"), halves.alias("part"))
+    units = each.select("node", "unit", "size").distinct().join(heavy, ["node", "unit"], "left")
+    units = materialise(units.select("node", "unit", "size", F.coalesce("h", F.lit(0)).alias("h"), "part"), "near-units")
+
+    left = shared.filter("NOT heavy").select("element", "node", "component", "unit", "size")
+    right = left.select("element", *[F.col(c).alias(f"{c}2") for c in ("node", "component", "unit", "size")])
+    met = left.join(right, "element").filter("component < component2").filter(may_reach(F.least("size", "size2"), "size", "size2"))
+    met = met.groupBy("node", "unit", "size", "node2", "unit2", "size2").agg(F.count("*").alias("o"))
+    parts = units.select("node", "unit", "h")
+    met = met.join(parts, ["node", "unit"]).join(parts.select(F.col("node").alias("node2"), F.col("unit").alias("unit2"), F.col("h").alias("h2")), ["node2", "unit2"])
+    light = met.filter(may_reach(F.col("o") + F.least("h", "h2"), "size", "size2")).select("node", "node2")
+
+    able = units.filter(F.col("h") >= threshold * F.col("size") - 1e-6)
+    able = apart.select("key", "node", "component").join(able, "node")
+    least = able.groupBy("key", "part").agg(F.min(F.struct("size", "node", "component", "h")).alias("s"))
+    least = least.select("key", F.col("s.node").alias("node2"), F.col("s.component").alias("component2"), F.col("s.size").alias("size2"), F.col("s.h").alias("h2"))
+    by_part = able.join(least, "key").filter("component <> component2").filter(may_reach(F.least("h", "h2"), "size", "size2")).select("node", "node2")
+    return light.union(by_part).select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v"))
+
+
 def still_apart(entries: DataFrame, found: DataFrame | None, settled: bool) -> DataFrame:
     """Entries, with components, of the buckets that span several; without the small ones
     once those are settled."""
@@ -209,31 +275,37 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
         texts = materialise(own.join(materialise(member, "near-members").filter("node >= -9223372036854775808"), F.col("doc_id") == F.col("node"), "left_semi"), "near-texts")
 
     found = tested = None
-    turn = 0
-    while True:
-        if turn == 0:
-            pairs = star_pairs(entries.withColumn("component", F.col("node")), turn)
-        else:
-            apart = still_apart(entries, found, settled=turn > 1)
-            sizes = apart.agg(F.count("*").alias("n"), F.count_if(F.col("n") > SMALL).alias("large")).first()
-            if not sizes["n"]:
-                break
-            pairs = all_pairs(apart.filter(F.col("n") <= SMALL)) if turn == 1 else None
-            if sizes["large"]:
-                more = star_pairs(apart.filter(F.col("n") > SMALL), turn)
-                pairs = more if pairs is None else pairs.union(more)
+
+    def link(pairs: DataFrame) -> bool:
+        """Verify pairs not seen before; whether that gave links."""
+        nonlocal found, tested
         pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["u", "v"], "left_anti")
         judged = materialise(verify(pairs, texts), "near-judged")
         links = judged.filter(F.col("similarity") >= threshold).select("u", "v")
-        linked = not links.isEmpty()
         tested = judged.select("u", "v") if tested is None else tested.union(judged.select("u", "v"))
-        if linked:
-            # Components so far stand for the links that made them.
-            before = [] if found is None else [found.select(F.col("node").alias("u"), F.col("component").alias("v"))]
-            found = components(reduce(DataFrame.union, before, links))
-        if turn and not (linked and sizes["large"]):
+        if links.isEmpty():
+            return False
+        # Components so far stand for the links that made them.
+        before = [] if found is None else [found.select(F.col("node").alias("u"), F.col("component").alias("v"))]
+        found = components(reduce(DataFrame.union, before, links))
+        return True
+
+    link(star_pairs(entries.withColumn("component", F.col("node")), 0))
+    turn, large, linked = 1, True, True
+    while large and linked:
+        apart = still_apart(entries, found, settled=turn > 1)
+        sizes = apart.agg(F.count("*").alias("n"), F.count_if(F.col("n") > SMALL).alias("large")).first()
+        large = sizes["large"] > 0
+        if not sizes["n"]:
             break
+        pairs = all_pairs(apart.filter(F.col("n") <= SMALL)) if turn == 1 else None
+        if large:
+            more = star_pairs(apart.filter(F.col("n") > SMALL), turn)
+            pairs = more if pairs is None else pairs.union(more)
+        linked = link(pairs)
         turn += 1
+    if large:
+        link(exact_pairs(still_apart(entries, found, settled=True), texts, threshold))
 
     classes = nodes.select("content", "node")
     if found is not None:

@@ -344,6 +344,24 @@ def test_near_classes(spark):
     assert {(r["doc_id"], r["class_id"]) for r in bagminhash.near_classes(docs(spark, ["q r s", "q r s"], [None, 4])).collect()} == {(None, None), (4, 4)}
 
 
+def test_near_classes_inside_a_family_of_a_template(spark):
+    """Pairs at 0.8 among hundreds of texts that resemble each other at 0.75."""
+    rng = random.Random(24)
+    template = words(rng, 430, 10**6)
+    texts = []
+    for _ in range(150):  # pairs that share 30 more words, and so 0.85
+        shared = words(rng, 30, 10**6)
+        texts += [f"{template} {shared} {words(rng, 40, 10**6)}" for _ in range(2)]
+    sets = [bagminhash.multiset(t) for t in texts]
+    near = [(j, i) for i in range(len(texts)) for j in range(i) if bagminhash.weighted_jaccard(sets[i], sets[j]) >= 0.8]
+    assert near == [(i, i + 1) for i in range(0, len(texts), 2)]
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_classes(docs(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+    # The template alone is near to all of them, and shares no rare shingle with any.
+    got = bagminhash.near_classes(docs(spark, [*texts, template])).collect()
+    assert {r["class_id"] for r in got} == {0}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 100), (200, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}

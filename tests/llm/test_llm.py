@@ -470,6 +470,30 @@ def test_main_text(html, text):
     assert html_extract.settle(row, 8).to_pylist()[0]["text"] == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<body class="has-sidebar"><article>a</article><div class="sidebar">no</div></body>', "a"),
+        ('<body class="search login"><p>a</p></body>', "a"),
+        ('<div class="content with-sidebar"><article>a</article></div>', "a"),
+        ('<div class="widget"><article>a</article></div>', "a"),
+        ('<div id="related"><main>a</main></div>', "a"),
+        ('<article class="post no-comments">a</article>', "a"),
+        ('<article class="widget">a</article>', "a"),
+        ('<article>a<p class="social-history">b</p><div class="share-buttons">no</div></article>', "a\nb"),
+        ('<div class="widget"><article>a</article></div><div class="comments"><article>no</article></div>', "a"),
+        ('<article class="comments">a</article>', "a"),
+        ('<article>a</article><div class="comment-list"><article>no</article></div>', "a"),
+        ('<p>a</p><div class="comments"><article>no</article></div>', "a"),
+        ('<div class="ad-slot-3">no</div><div class="nav_top">no</div><p>a</p>', "a"),
+    ],
+)
+def test_main_text_with_layout_classes(html, text):
+    roles, blocks = html_extract.parse(html)
+    kept = [b for r, b in zip(roles, blocks, strict=True) if r == "m"] or [b for r, b in zip(roles, blocks, strict=True) if r == "u"]
+    assert "\n".join(kept) == text
+
+
 def test_repeated_tokens():
     rng = np.random.default_rng(17)
     for depth in (1, 2, 3, 5, 8):

@@ -2,7 +2,10 @@
 
 Pass 1 (``scan``) reads every whole text.  It finds the pattern spans (assign,
 access, hex) and takes each run of 20 or more ``[A-Za-z0-9+/_-]`` as a candidate.  For
-a candidate the encoding is inferred (the smallest alphabet that holds it) and three
+a candidate the encoding is inferred (the smallest alphabet that holds it).  A run with
+both ``+`` or ``/`` and ``-`` or ``_`` is of no usual alphabet and is cut first: its
+longest part of base64 or base64url becomes a candidate, then those of what is left on
+both sides; if no part is 20 long, the run is judged whole over all 66 symbols.  Three
 tests ask whether its symbols are drawn uniformly and independently from that
 alphabet: chi-squared uniformity, runs about the median symbol, and lag-1 serial
 correlation.  Their z-scores make one p-value of randomness (Bonferroni over three).
@@ -41,6 +44,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+PARTS = (re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9_-]{20,}"))
 KINDS = ("assign", "access", "hex", "random")
 
 ALPHABETS = {
@@ -54,6 +58,8 @@ ALPHABETS = {
     "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    # For runs of both of the last two whose parts are all short.
+    "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 INDEX = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
@@ -120,14 +126,34 @@ def battery(token: str, encoding: str) -> tuple[np.ndarray, float]:
 def candidates(text: str) -> list[tuple]:
     found = []
     for m in CANDIDATE.finditer(text):
-        encoding = infer_encoding(m[0])
-        if encoding:
-            counts, p_random = battery(m[0], encoding)
-            band = max(b for b in BANDS if b <= len(m[0]))
-            found.append((m.start(), m.end(), encoding, band, counts.tolist(), p_random >= RANDOM_LEVEL))
+        for at, token in one_alphabet(m[0]):
+            encoding = infer_encoding(token)
+            counts, p_random = battery(token, encoding)
+            band = max(b for b in BANDS if b <= len(token))
+            found.append((m.start() + at, m.start() + at + len(token), encoding, band, counts.tolist(), p_random >= RANDOM_LEVEL))
     return found
 
 
+def one_alphabet(run: str) -> list[tuple[int, str]]:
+    """Start and text of the disjoint parts in which a run is judged, in order."""
+    parts, todo = [], [(0, run)]
+    while todo:
+        at, rest = todo.pop()
+        if len(rest) < BANDS[0]:
+            continue
+        if infer_encoding(rest) != "mixed":
+            parts.append((at, rest))
+            continue
+        best = max((m for p in PARTS for m in p.finditer(rest)), key=lambda m: len(m[0]), default=None)
+        if best is None:
+            parts.append((at, rest))
+        else:
+            parts.append((at + best.start(), best[0]))
+            end = best.start() + len(best[0])
+            todo += [(at, rest[: best.start()]), (at + end, rest[end:])]
+    return sorted(parts)
+
+
 def scan_row(doc_id, text_hash, text) -> Iterator[tuple]:
     text = text or ""
     spans = [{"kind": k, "start": a, "end": b} for k, a, b in base_spans(text)]

@@ -121,6 +121,24 @@ def test_random_strings_pass_and_words_fail():
     assert [secret_scan.infer_encoding(t) for t in ("0123", "0a", "0A", "gh", "a/B", "a-B", "é")] == ["decimal", "hex", "HEX", "lower", "base64", "base64url", None]
 
 
+def test_runs_of_mixed_alphabets_are_judged():
+    rng = random.Random(25)
+    key = "".join(rng.choice(secret_scan.ALPHABETS["base36"].upper() + "abcdefghijkl") for _ in range(40))
+    for text, part in ((f"/my-app/{key}", f"app/{key}"), (f"sk-{key}+/{key[:5]}", f"{key}+/{key[:5]}"), ("aB3/x-" * 5, "aB3/x-" * 5), (key, key), ("a/b-c", None)):
+        found = [(a, b) for a, b, *_ in secret_scan.candidates(text)]
+        assert found == ([] if part is None else [(text.index(part), text.index(part) + len(part))])
+    both = f"{key}-x+/{key[::-1]}y"
+    spans = [both[a:b] for a, b, *_ in secret_scan.candidates(both)]
+    assert len(spans) == 2 and any(key in s for s in spans) and any(key[::-1] in s for s in spans)
+
+
+def test_mixed_runs_in_texts(spark):
+    key = "/my-app/" + SECRET
+    texts = ["the " + "internationalisationalities contract " * 100] * 30 + [f"key {key} end"]
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs(spark, texts)).collect()}
+    assert SECRET not in clean[30] and clean[0] == texts[0]
+
+
 def test_find_secrets(spark):
     rng = random.Random(5)
     prose = ["the " + " ".join(rng.choice(["contract", "notice", "renewal", "internationalisationalities"]) for _ in range(200)) for _ in range(30)]

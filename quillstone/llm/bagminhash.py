@@ -2,23 +2,27 @@
 
 A text is the multiset of its 5-word windows (words are split at ASCII white space,
 A-Z lower-cased).  For every shingle of weight w the weight axis is cut at 0, 1, 2, 4,
-8, ...; each interval below w carries a Poisson process whose rate is the interval's
-width.  A point has an arrival time, a register and, by further random bits, a place
-in the interval found by halving it; it counts where its unit cell lies below w.  All
-of it is a function of (shingle, interval, number), so texts share points exactly as
-far as their weights overlap, and two registers agree with the weighted Jaccard
-similarity as probability.  Processes stop once their next arrival is later than the
-worst register, so long texts cost little more than one point a shingle.
-
-Signatures are cut into bands.  Texts with equal multisets are one node.  In a bucket
-every node is compared with three others, its stars, and pairs are verified by the
-exact multiset overlap of the whole texts.  Buckets whose nodes are still in several
-components are looked at again: small ones with all pairs across components, which
-settles them, larger ones with other stars each round, until a round finds no new
-link.  Copies cost one row each.
-
-What is then still apart in larger buckets is settled exactly (``exact_pairs``).  A
-shingle that more than SMALL of these nodes have is heavy.  Nodes that share a shingle
+8, ...; each interval that begins below w carries a Poisson process whose rate is the
+interval's width.  Processes are hierarchical: each gives its first point, an arrival
+time with a register, and is then split into its halves.  One half, chosen by a random
+bit, holds the point; the other goes on from that time with a process of its own.  A half
+that begins at w or above is dropped, and a point counts once its half ends at w or
+below.  Only unit cells go on with further points.  All of it is a function of (shingle,
+interval, number), so texts share points exactly as far as their weights overlap, and two
+registers agree with the weighted Jaccard similarity as probability.  Processes stop once
+their next arrival is later than the worst register, so long texts cost little more than
+one point a shingle.
+
+Signatures are cut into bands.  Texts with equal multisets (a 256-bit digest) are one
+node.  Of a bucket's nodes one is the centre.  In a round every node meets one centre at
+most, the least of those of its buckets that are of another component, and the pairs are
+verified by the exact multiset overlap of the whole texts.  Components are contracted, a
+bucket within one component is done with, and others get a new centre.  Rounds go on
+while one pair in ``YIELD`` gives a link, so a family of near copies costs a few rows a
+node however large it is.
+
+What is then still apart is settled exactly, in buckets of any size (``exact_pairs``).  A
+shingle that more than HEAVY of these nodes have is heavy.  Nodes that share a shingle
 that is not heavy meet by it, whatever their bucket; only the pairs whose shared light
 shingles, with all the heavy ones the smaller heavy part can add, may reach the
 threshold are verified.  Pairs without a light shingle in common are near by their
@@ -26,20 +30,23 @@ heavy parts alone.  If x and y are, x is also near to the smallest node whose he
 part is that of y, and so is y; so each node of a bucket is compared with the smallest
 node of each heavy part that is large enough.  That is linear where a family shares a
 template, and grows with the square of a bucket only where its nodes are of several
-components, their heavy parts all differ and are most of each text.
+components, their heavy parts all differ and are most of each text.  HEAVY and YIELD
+move work between the steps; every value gives the same classes.
 
 Defined results.  Null text counts as empty; texts without words are copies of one
 another.  A text of under five words has one shingle, all its words.  The class of a
-document is the least identifier of its component.  A null identifier is left out of
-the classes and its row has a null class.  Repeated identifiers share a class if any
-of their texts is near.  An empty table gives an empty result.  Only the identifier and
-text columns are read.
+document is the least identifier of its component; ties between equal texts go to it
+too.  A null identifier is left out of the classes and its row has a null class.  Rows
+that repeat an identifier are classed each by its own text.  Texts of any length are
+read whole.  An empty table gives an empty result.  Only the identifier and text columns
+are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -50,19 +57,22 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from quillstone.llm.components import components
 from quillstone.llm.exact_dedup import BLOOM, settings
-from quillstone.llm.rows import as_batch, map_rows
+from quillstone.llm.rows import as_batch, free_names, map_rows
 from quillstone.sources.workspace import materialise
 
 WORDS = 5
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Nodes of a bucket up to which all pairs across components are compared.
-SMALL = 32
+#: Nodes from which on a shingle is heavy in the exact step.
+HEAVY = 32
+#: Rounds of centres go on while one verified pair in so many is a link.
+YIELD = 10
 #: Texts hashed together in a task.
 BATCH = 512
 
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("bands", pa.list_(pa.int64()))])
-ELEMENTS = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("unit", pa.int64()), ("size", pa.int64()), ("elements", pa.list_(pa.int64()))])
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("content", pa.binary()), ("bands", pa.list_(pa.int64()))])
+BAG = pa.schema([("node", pa.int64()), ("shingles", pa.binary()), ("counts", pa.binary())])
+ELEMENTS = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("size", pa.int64()), ("elements", pa.list_(pa.int64()))])
 VERDICT = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("similarity", pa.float64())])
 
 U = np.uint64
@@ -118,26 +128,42 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
     seed = mix(np.repeat(element, levels) + (level.astype(U) + U(1)) * U(GOLDEN))
     text, weight = np.repeat(text, levels), np.repeat(weight, levels)
     low = np.where(level == 0, 0, 1 << np.maximum(level - 1, 0))
-    width = np.maximum(low, 1)
-    time, flat, number = np.zeros(len(seed)), best.reshape(-1), 0
-    worst = np.full(len(sets), np.inf)
-    while len(seed):
-        number += 1
-        z = mix(seed + U(number * GOLDEN & 0xFFFFFFFFFFFFFFFF))
-        gap = -np.log(((z >> U(11)).astype(np.float64) + 0.5) * 2.0**-53)
-        time = time + gap / width
+    width, number = np.maximum(low, 1), np.ones(len(seed), U)
+    time, register = next_point(seed, number, width, np.zeros(len(seed)), registers)
+    flat, worst, new = best.reshape(-1), np.full(len(sets), np.inf), np.ones(len(seed), bool)
+    while True:
         live = time < worst[text]
-        if not live.all():
-            seed, time, text, weight, low, width, z = (x[live] for x in (seed, time, text, weight, low, width, z))
-            if not len(seed):
-                break
-        z = mix(z ^ U(GOLDEN))
-        register = ((z >> U(40)) % U(registers)).astype(np.int64)
-        cell = low + ((z & U(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * width).astype(np.int64)
-        inside = cell < weight
-        np.minimum.at(flat, (text * registers + register)[inside], time[inside])
+        text, weight, low, width, seed, number, time, register, new = (x[live] for x in (text, weight, low, width, seed, number, time, register, new))
+        if not len(seed):
+            return best
+        counts = new & (low + width <= weight)
+        np.minimum.at(flat, (text * registers + register)[counts], time[counts])
         worst = best.max(axis=1)
-    return best
+        # A unit cell goes on with its next point; a wider process is split.
+        cell = width == 1
+        number = np.where(cell, number + U(1), number)
+        after = next_point(seed[cell], number[cell], width[cell], time[cell], registers)
+        new &= ~counts
+        whole, half = np.flatnonzero(~cell), width[~cell] // 2
+        side = (mix(seed[whole] ^ U(GOLDEN)) & U(1)).astype(np.int64)
+        other = mix(seed[whole] + (U(3) - side.astype(U)) * U(GOLDEN))
+        beside = low[whole] + (1 - side) * half
+        first = next_point(other, np.ones(len(whole), U), half, time[whole], registers)
+        seed[whole], low[whole], width[whole] = mix(seed[whole] + (U(2) + side.astype(U)) * U(GOLDEN)), low[whole] + side * half, half
+        number[whole] = U(1)
+        time[cell], register[cell], new[cell] = *after, True
+        joined = ((text, text[whole]), (weight, weight[whole]), (low, beside), (width, half), (seed, other), (number, np.ones(len(whole), U)), (time, first[0]), (register, first[1]), (new, np.ones(len(whole), bool)))
+        text, weight, low, width, seed, number, time, register, new = (np.concatenate(x) for x in joined) if len(whole) else (x[0] for x in joined)
+        inside = low < weight
+        if not inside.all():
+            text, weight, low, width, seed, number, time, register, new = (x[inside] for x in (text, weight, low, width, seed, number, time, register, new))
+
+
+def next_point(seed: np.ndarray, number: np.ndarray, width: np.ndarray, time: np.ndarray, registers: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arrival time and register of a process's point of that number, the one before at ``time``."""
+    z = mix(seed + number * U(GOLDEN))
+    gap = -np.log(((z >> U(11)).astype(np.float64) + 0.5) * 2.0**-53)
+    return time + gap / width, ((mix(z ^ U(GOLDEN)) >> U(40)) % U(registers)).astype(np.int64)
 
 
 def band_keys(best: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -149,49 +175,69 @@ def band_keys(best: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return key.view(np.int64)
 
 
+def digest(bag: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Tells multisets apart: SHA-256 of shingles and counts."""
+    return sha256(bag[0].tobytes() + bag[1].tobytes()).digest()
+
+
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, content (128-bit hash of the multiset), bands."""
+    """doc_id, text_hash (xxhash64), content (digest of the multiset), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                sets = [multiset(t or "") for t in part.column(1).to_pylist()]
-                content = [xxhash.xxh3_128_digest(s.tobytes() + w.tobytes()) for s, w in sets]
+                sets = [multiset(t or "") for t in part.column(2).to_pylist()]
                 bands = band_keys(signatures(sets))
-                rows = zip(part.column(0).to_pylist(), content, (b if len(s[0]) else [] for b, s in zip(bands, sets, strict=True)), strict=True)
+                rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), map(digest, sets), (b if len(s[0]) else [] for b, s in zip(bands, sets, strict=True)), strict=True)
                 yield as_batch(list(rows), SIGNATURE)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, from_arrow_schema(SIGNATURE))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), text_col).mapInArrow(run, from_arrow_schema(SIGNATURE))
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """u, v, similarity of each pair, from the whole texts."""
+def bags(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles, counts of the nodes of ``members`` (node, least, content), from the whole texts."""
 
-    def row(u, v, a, b) -> Iterator[tuple]:
-        yield u, v, weighted_jaccard(multiset(a), multiset(b))
+    def row(node, content, text) -> Iterator[tuple]:
+        bag = multiset(text or "")
+        if digest(bag) == content:
+            yield node, bag[0].tobytes(), bag[1].tobytes()
 
-    joined = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-    return map_rows(joined, ["u", "v", "a", "b"], row, VERDICT)
+    # The no-op condition lets Spark build its runtime filter of texts on the members' side.
+    members = materialise(members, "near-members").filter("least >= -9223372036854775808")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    with settings(docs.sparkSession, BLOOM):
+        found = map_rows(own.join(members, F.col("id") == F.col("least")), ["node", "content", "text"], row, BAG, batch_rows=256)
+        return materialise(found.dropDuplicates(["node"]), "near-bags", compression="zstd")
 
 
-def star_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """In every bucket each node with the bucket's three stars of this turn, components apart.
+def bag_of(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(shingles, U), np.frombuffer(counts, np.int64)
 
-    Stars are minima, found by partial aggregation; a bucket's nodes meet them in a
-    join that Spark may split, so one bucket is never one task's work.
-    """
-    # Turn 0 takes the least and the greatest identifier too, else all orders are random.
-    ranks = [F.col("node") if turn == 0 else F.xxhash64("node", F.lit(3 * turn)), -F.col("node") if turn == 0 else F.xxhash64("node", F.lit(3 * turn + 1)), F.xxhash64("node", F.lit(3 * turn + 2))]
-    stars = entries.groupBy("key").agg(*[F.min(F.struct(r.alias("rank"), "node", "component")).alias(f"s{i}") for i, r in enumerate(ranks)])
-    pairs = entries.join(stars, "key").select("node", "component", F.explode(F.array("s0", "s1", "s2")).alias("s")).filter("component <> s.component")
-    return pairs.select(F.least("node", "s.node").alias("u"), F.greatest("node", "s.node").alias("v"))
 
+def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """u, v, similarity of each pair, from the multisets of the whole texts."""
+
+    def row(u, v, a, b) -> Iterator[tuple]:
+        yield u, v, weighted_jaccard(bag_of(**a), bag_of(**b))
 
-def all_pairs(entries: DataFrame) -> DataFrame:
-    """All pairs across components; for buckets of at most SMALL nodes."""
-    right = entries.select("key", F.col("node").alias("other"), F.col("component").alias("of"))
-    return entries.join(right, "key").filter("node < other AND component <> of").select(F.col("node").alias("u"), F.col("other").alias("v"))
+    def side(node: str, bag: str) -> DataFrame:
+        return own.select(F.col("node").alias(node), F.struct("shingles", "counts").alias(bag))
+
+    return map_rows(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v"), ["u", "v", "a", "b"], row, VERDICT)
+
+
+def centre_pairs(apart: DataFrame, turn: int) -> DataFrame:
+    """Each node with the least centre of another component, over all its buckets.
+
+    Centres are minima, found by partial aggregation, of another order each turn; the
+    nodes of a bucket meet the centre in a join that Spark may split.
+    """
+    rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    centres = apart.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "component")).alias("c"))
+    met = apart.join(centres, "key").filter("component <> c.component")
+    met = met.groupBy("node").agg(F.min("c").alias("c"))
+    return met.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v"))
 
 
 def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -201,43 +247,37 @@ def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return mix(np.repeat(s, w) + occurrence.astype(U) * U(GOLDEN)).view(np.int64)
 
 
-def exact_pairs(apart: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def exact_pairs(apart: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
     """A superset of the pairs across components, in buckets of ``apart``, that reach the
-    threshold, and small enough to be verified; see above.
+    threshold, and small enough to be verified; see above."""
 
-    A unit is one text of a node, as several texts may have one identifier.
-    """
-
-    def row(node, component, text) -> Iterator[tuple]:
-        bag = multiset(text)
-        keys = elements(bag)
-        unit = xxhash.xxh3_64_intdigest(bag[0].tobytes() + bag[1].tobytes()) - (1 << 63)
-        yield node, component, unit, len(keys), keys
+    def row(node, component, shingles, counts) -> Iterator[tuple]:
+        keys = elements(bag_of(shingles, counts))
+        yield node, component, len(keys), keys
 
     def may_reach(shared, a: str, b: str):
         # An overlap o of sizes a and b reaches t where o (1 + t) >= t (a + b).
         return shared * (1 + threshold) >= threshold * (F.col(a) + F.col(b)) - 1e-6
 
     nodes = apart.select("node", "component").distinct()
-    own = map_rows(nodes.join(texts, F.col("node") == F.col("doc_id")), ["node", "component", "text"], row, ELEMENTS, batch_rows=64)
-    each = materialise(own.select("node", "component", "unit", "size", F.explode("elements").alias("element")), "near-elements", compression="zstd")
+    spread = map_rows(nodes.join(own, "node"), ["node", "component", "shingles", "counts"], row, ELEMENTS, batch_rows=64)
+    each = materialise(spread.select("node", "component", "size", F.explode("elements").alias("element")), "near-elements", compression="zstd")
     counts = each.groupBy("element").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b"))
-    counts = counts.filter((F.col("n") > SMALL) | (F.col("a") < F.col("b"))).select("element", (F.col("n") > SMALL).alias("heavy"))
+    counts = counts.filter((F.col("n") > HEAVY) | (F.col("a") < F.col("b"))).select("element", (F.col("n") > HEAVY).alias("heavy"))
     shared = materialise(each.join(counts, "element"), "near-shared", compression="zstd")
 
-    # Heavy parts are told apart by sums over both halves of their keys: a repeated row
-    # doubles them, and h, which only makes a part of its own with a weaker bound.
-    halves = F.struct(F.sum(F.shiftright("element", 32)), F.sum(F.col("element").bitwiseAND(0xFFFFFFFF)))
-    heavy = shared.filter("heavy").groupBy("node", "unit").agg(F.count("*").alias("h"), halves.alias("part"))
-    units = each.select("node", "unit", "size").distinct().join(heavy, ["node", "unit"], "left")
-    units = materialise(units.select("node", "unit", "size", F.coalesce("h", F.lit(0)).alias("h"), "part"), "near-units")
+    # Heavy parts are told apart by three sums over 32 bits each of their keys.
+    halves = F.struct(F.sum(F.shiftright("element", 32)), F.sum(F.col("element").bitwiseAND(0xFFFFFFFF)), F.sum(F.col("element").bitwiseXOR(F.shiftright("element", 17)).bitwiseAND(0xFFFFFFFF)))
+    heavy = shared.filter("heavy").groupBy("node").agg(F.count("*").alias("h"), halves.alias("part"))
+    units = each.groupBy("node").agg(F.first("size").alias("size")).join(heavy, "node", "left")
+    units = materialise(units.select("node", "size", F.coalesce("h", F.lit(0)).alias("h"), "part"), "near-units")
 
-    left = shared.filter("NOT heavy").select("element", "node", "component", "unit", "size")
-    right = left.select("element", *[F.col(c).alias(f"{c}2") for c in ("node", "component", "unit", "size")])
+    left = shared.filter("NOT heavy").select("element", "node", "component", "size")
+    right = left.select("element", *[F.col(c).alias(f"{c}2") for c in ("node", "component", "size")])
     met = left.join(right, "element").filter("component < component2").filter(may_reach(F.least("size", "size2"), "size", "size2"))
-    met = met.groupBy("node", "unit", "size", "node2", "unit2", "size2").agg(F.count("*").alias("o"))
-    parts = units.select("node", "unit", "h")
-    met = met.join(parts, ["node", "unit"]).join(parts.select(F.col("node").alias("node2"), F.col("unit").alias("unit2"), F.col("h").alias("h2")), ["node2", "unit2"])
+    met = met.groupBy("node", "size", "node2", "size2").agg(F.count("*").alias("o"))
+    parts = units.select("node", "h")
+    met = met.join(parts, "node").join(parts.select(F.col("node").alias("node2"), F.col("h").alias("h2")), "node2")
     light = met.filter(may_reach(F.col("o") + F.least("h", "h2"), "size", "size2")).select("node", "node2")
 
     able = units.filter(F.col("h") >= threshold * F.col("size") - 1e-6)
@@ -248,75 +288,70 @@ def exact_pairs(apart: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     return light.union(by_part).select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v"))
 
 
-def still_apart(entries: DataFrame, found: DataFrame | None, settled: bool) -> DataFrame:
-    """Entries, with components, of the buckets that span several; without the small ones
-    once those are settled."""
+def still_apart(entries: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Entries, with components, of the buckets that span several."""
     if found is None:
-        marked = entries.withColumn("component", F.col("node"))
-    else:
-        marked = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    buckets = marked.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a < b")
-    if settled:
-        buckets = buckets.filter(F.col("n") > SMALL)
-    return materialise(marked.join(buckets.select("key", "n"), "key"), "near-open")
+        return entries.withColumn("component", F.col("node"))
+    marked = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    buckets = marked.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
+    return materialise(marked.join(buckets.select("key"), "key"), "near-open")
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, node_id (least identifier of its equal multisets)."""
+def content_classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Signatures of the rows, and content, class_id, node_id of each distinct multiset."""
     signed = materialise(sign(docs, id_col, text_col), "near-signatures")
-    nodes = signed.groupBy("content").agg(F.min("doc_id").alias("node"), F.max("bands").alias("bands")).filter("node IS NOT NULL")
-    nodes = materialise(nodes, "near-nodes")
+    nodes = signed.groupBy("content").agg(F.min("doc_id").alias("least"), F.max("bands").alias("bands")).filter("least IS NOT NULL")
+    # Numbers of this table, written before anything reads them.
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     entries = nodes.select("node", F.explode("bands").alias("key"))
     several = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
     entries = materialise(entries.join(several, "key"), "near-buckets")
-    member = entries.select("node").distinct()
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    with settings(docs.sparkSession, BLOOM):
-        texts = materialise(own.join(materialise(member, "near-members").filter("node >= -9223372036854775808"), F.col("doc_id") == F.col("node"), "left_semi"), "near-texts")
+    own = bags(docs, nodes.select("node", "least", "content").join(entries.select("node").distinct(), "node"), id_col, text_col)
 
     found = tested = None
 
     def link(pairs: DataFrame) -> bool:
-        """Verify pairs not seen before; whether that gave links."""
+        """Verify pairs not seen before; whether enough of them were links."""
         nonlocal found, tested
         pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["u", "v"], "left_anti")
-        judged = materialise(verify(pairs, texts), "near-judged")
-        links = judged.filter(F.col("similarity") >= threshold).select("u", "v")
+        judged = materialise(verify(pairs, own), "near-judged")
+        near = F.col("similarity") >= threshold
+        links = judged.filter(near).select("u", "v")
         tested = judged.select("u", "v") if tested is None else tested.union(judged.select("u", "v"))
-        if links.isEmpty():
-            return False
-        # Components so far stand for the links that made them.
-        before = [] if found is None else [found.select(F.col("node").alias("u"), F.col("component").alias("v"))]
-        found = components(reduce(DataFrame.union, before, links))
-        return True
-
-    link(star_pairs(entries.withColumn("component", F.col("node")), 0))
-    turn, large, linked = 1, True, True
-    while large and linked:
-        apart = still_apart(entries, found, settled=turn > 1)
-        sizes = apart.agg(F.count("*").alias("n"), F.count_if(F.col("n") > SMALL).alias("large")).first()
-        large = sizes["large"] > 0
-        if not sizes["n"]:
-            break
-        pairs = all_pairs(apart.filter(F.col("n") <= SMALL)) if turn == 1 else None
-        if large:
-            more = star_pairs(apart.filter(F.col("n") > SMALL), turn)
-            pairs = more if pairs is None else pairs.union(more)
-        linked = link(pairs)
-        turn += 1
-    if large:
-        link(exact_pairs(still_apart(entries, found, settled=True), texts, threshold))
-
-    classes = nodes.select("content", "node")
+        seen = judged.agg(F.count("*").alias("n"), F.count_if(near).alias("near")).first()
+        if seen["near"]:
+            # Components so far stand for the links that made them.
+            before = [] if found is None else [found.select(F.col("node").alias("u"), F.col("component").alias("v"))]
+            found = components(reduce(DataFrame.union, before, links))
+        return seen["near"] * YIELD > seen["n"]
+
+    turn, apart = 0, still_apart(entries, None)
+    while link(centre_pairs(apart, turn)):
+        turn, apart = turn + 1, still_apart(entries, found)
     if found is not None:
-        classes = classes.join(found, "node", "left")
-    else:
-        classes = classes.withColumn("component", F.lit(None).cast("long"))
-    classes = classes.select(F.col("content"), F.col("node").alias("node_id"), F.coalesce("component", "node").alias("class_id"))
+        apart = still_apart(entries, found)
+    link(exact_pairs(apart, own, threshold))
+
+    classes = nodes.select("content", "node", "least")
+    if found is None:
+        return signed, classes.select("content", F.col("least").alias("class_id"), F.col("least").alias("node_id"))
+    classes = materialise(classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-classes")
+    names = classes.groupBy("component").agg(F.min("least").alias("class_id"))
+    return signed, classes.join(names, "component").select("content", "class_id", F.col("least").alias("node_id"))
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id, node_id (least identifier of its equal multisets)."""
+    signed, classes = content_classes(docs, threshold, id_col, text_col)
     return signed.select("doc_id", "content").join(classes, "content", "left").select("doc_id", F.expr("CASE WHEN doc_id IS NOT NULL THEN class_id END").alias("class_id"), "node_id")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the one whose identifier names the class."""
-    gone = near_classes(docs, threshold, id_col, text_col).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each class: the one whose identifier names the class.
+
+    Rows are judged each by its own text, also where they repeat an identifier.
+    """
+    signed, classes = content_classes(docs, threshold, id_col, text_col)
+    gone, hashed = free_names(docs, "gone", "hash")
+    out = signed.join(classes, "content").filter("doc_id <> class_id").select(F.col("doc_id").alias(gone), F.col("text_hash").alias(hashed)).distinct()
+    return docs.join(out, (F.col(id_col) == F.col(gone)) & (F.xxhash64(text_col) == F.col(hashed)), "left_anti")

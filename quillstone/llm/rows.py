@@ -34,3 +34,14 @@ def map_rows(df: DataFrame, columns: list[str], row: Callable[..., Iterable[tupl
 def as_batch(rows: list[tuple], out: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for stem in stems:
+        while f"__{stem}" in taken:
+            stem += "_"
+        found.append(f"__{stem}")
+    return found

@@ -360,6 +360,10 @@ def test_near_classes(spark):
     assert kept.columns == docs(spark, []).columns and {r["doc_id"] for r in kept.collect()} == {root(i) for i in range(len(texts))}
     assert bagminhash.near_classes(docs(spark, [])).count() == 0
     assert {(r["doc_id"], r["class_id"]) for r in bagminhash.near_classes(docs(spark, ["q r s", "q r s"], [None, 4])).collect()} == {(None, None), (4, 4)}
+    # Rows of one identifier are judged each by its own text, and clashing columns stay.
+    again = docs(spark, [texts[0], texts[1], texts[40]], [7, 9, 9]).withColumnsRenamed({"key": "__gone", "ids": "__hash"})
+    kept = bagminhash.drop_near_copies(again)
+    assert kept.columns == again.columns and sorted(r["text"] for r in kept.collect()) == sorted(texts[:2])
 
 
 def test_near_classes_inside_a_family_of_a_template(spark):
@@ -380,6 +384,40 @@ def test_near_classes_inside_a_family_of_a_template(spark):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_bag_signatures_match_plain_recursion():
+    """The vectorised processes against one process at a time, without early ends."""
+
+    def plain(bag, registers):
+        best = np.full(registers, np.inf)
+        one = lambda x: np.array([x])
+        with np.errstate(over="ignore"):
+            for s, w in zip(*bag, strict=True):
+                todo, k = [], 0
+                while k == 0 or 1 << (k - 1) < w:
+                    low = 0 if k == 0 else 1 << (k - 1)
+                    todo.append((bagminhash.mix(one(s) + np.uint64(k + 1) * np.uint64(bagminhash.GOLDEN)), low, max(low, 1), 0.0, None))
+                    k += 1
+                for seed, low, width, time, register in todo:
+                    for number in range(1, 4000 if width == 1 else 2):
+                        if register is None:
+                            t, r = (x[0] for x in bagminhash.next_point(seed, one(np.uint64(number)), one(width), one(time), registers))
+                        else:
+                            t, r, register = time, register, None
+                        time = t
+                        if low + width <= w:
+                            best[r] = min(best[r], t)
+                    if width > 1:
+                        side, half = int(bagminhash.mix(seed ^ np.uint64(bagminhash.GOLDEN))[0] & np.uint64(1)), width // 2
+                        parts = [(bagminhash.mix(seed + np.uint64(2 + h) * np.uint64(bagminhash.GOLDEN)), low + h * half, half, t, r if h == side else None) for h in (0, 1)]
+                        todo += [p for p in parts if p[1] < w]
+        return best
+
+    rng = np.random.default_rng(26)
+    for weights in ([1, 2, 3], [5, 8, 13], [1, 1, 30]):
+        bag = np.sort(rng.integers(0, 2**62, 3).astype(np.uint64)), np.array(weights)
+        assert np.array_equal(bagminhash.signatures([bag], 16)[0], plain(bag, 16))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 100), (200, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}

@@ -15,8 +15,8 @@ one point a shingle.
 
 Signatures are cut into bands.  Texts with equal multisets (a 256-bit digest) are one
 node.  Of a bucket's nodes one is the centre.  In a round every node meets one centre at
-most, the least of those of its buckets that are of another component, and the pairs are
-verified by the exact multiset overlap of the whole texts.  Components are contracted, a
+most: of those of another component that it has not met, the one of most of its buckets.
+The pairs are verified by the exact multiset overlap of the whole texts.  Components are contracted, a
 bucket within one component is done with, and others get a new centre.  Rounds go on
 while one pair in ``YIELD`` gives a link, so a family of near copies costs a few rows a
 node however large it is.
@@ -66,7 +66,7 @@ REGISTERS = BANDS * ROWS
 #: Nodes from which on a shingle is heavy in the exact step.
 HEAVY = 32
 #: Rounds of centres go on while one verified pair in so many is a link.
-YIELD = 10
+YIELD = 20
 #: Texts hashed together in a task.
 BATCH = 512
 
@@ -227,17 +227,33 @@ def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return map_rows(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v"), ["u", "v", "a", "b"], row, VERDICT)
 
 
-def centre_pairs(apart: DataFrame, turn: int) -> DataFrame:
-    """Each node with the least centre of another component, over all its buckets.
+def with_weights(entries: DataFrame) -> DataFrame:
+    """Adds weight: the entries of all of a node's buckets.
 
-    Centres are minima, found by partial aggregation, of another order each turn; the
-    nodes of a bucket meet the centre in a join that Spark may split.
+    Of a family of copies the text that most others are near to is in its largest
+    buckets, so weight tells it from the outer ones.
     """
-    rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n"))
+    weights = entries.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
+    return entries.join(weights, "node")
+
+
+def centre_pairs(apart: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame:
+    """Each node with one centre of another component: the one it shares most buckets
+    with, which tells of their similarity, among those not tested.
+
+    A centre is a bucket's node of largest weight; after the first turn the weights are
+    times for which nodes race, so that lighter ones get their turn.  Centres are found by
+    partial aggregation; a bucket's nodes meet theirs in a join that Spark may split.
+    """
+    luck = (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    rank = -F.col("weight") if turn == 0 else -F.log(luck) / F.col("weight") ** 2
     centres = apart.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "component")).alias("c"))
-    met = apart.join(centres, "key").filter("component <> c.component")
-    met = met.groupBy("node").agg(F.min("c").alias("c"))
-    return met.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v"))
+    met = apart.join(centres, "key").filter("component <> c.component").groupBy("node", F.col("c.node").alias("centre")).agg(F.count("*").alias("n"))
+    pairs = met.select("node", "n", F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v"))
+    if tested is not None:
+        pairs = pairs.join(tested, ["u", "v"], "left_anti")
+    return pairs.groupBy("node").agg(F.max_by(F.struct("u", "v"), F.struct("n", "u", "v")).alias("p")).select("p.*").distinct()
 
 
 def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -305,7 +321,7 @@ def content_classes(docs: DataFrame, threshold: float, id_col: str, text_col: st
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     entries = nodes.select("node", F.explode("bands").alias("key"))
     several = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
-    entries = materialise(entries.join(several, "key"), "near-buckets")
+    entries = materialise(with_weights(materialise(entries.join(several, "key"), "near-buckets")), "near-entries")
     own = bags(docs, nodes.select("node", "least", "content").join(entries.select("node").distinct(), "node"), id_col, text_col)
 
     found = tested = None
@@ -326,7 +342,7 @@ def content_classes(docs: DataFrame, threshold: float, id_col: str, text_col: st
         return seen["near"] * YIELD > seen["n"]
 
     turn, apart = 0, still_apart(entries, None)
-    while link(centre_pairs(apart, turn)):
+    while link(centre_pairs(apart, tested, turn)):
         turn, apart = turn + 1, still_apart(entries, found)
     if found is not None:
         apart = still_apart(entries, found)

@@ -31,13 +31,13 @@ SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 @lru_cache(maxsize=4)
-def encoding(rank_file: str, pattern: str):
+def encoding(rank_file: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
     """The tiktoken encoding of a local rank file; one per Python worker."""
     import tiktoken
 
     with open(rank_file, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
 def safe_pieces(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
@@ -52,10 +52,14 @@ def safe_pieces(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def ids_of(text: str, rank_file: str, pattern: str, piece_chars: int = PIECE_CHARS) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    encode = encoding(rank_file, pattern).encode_to_numpy
-    return b"".join(encode(piece, disallowed_special=()).astype("<u4", copy=False).tobytes() for piece in safe_pieces(text, piece_chars))
+def ids_of(text: str, rank_file: str, pattern: str, piece_chars: int = PIECE_CHARS, special: tuple[tuple[str, int], ...] = ()) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers.
+
+    ``special``: tokens, free of blanks, whose occurrences get the given id; the texts
+    between them are encoded each by itself.
+    """
+    encode, allowed = encoding(rank_file, pattern, special).encode_to_numpy, {token for token, _ in special}
+    return b"".join(encode(piece, allowed_special=allowed, disallowed_special=()).astype("<u4", copy=False).tobytes() for piece in safe_pieces(text, piece_chars))
 
 
 def bytes_of(ids: bytes, rank_file: str, pattern: str) -> bytes:

@@ -12,13 +12,16 @@ What is left at the end of a task, less than one sequence, is cut into sequences
 lengths are powers of two, which need no padding.  So no id of padding is left.
 
 Defined results.  Null text counts as empty: such a document is the end id alone.
-Repeated rows are packed once each.  An empty table gives an empty result.  Sequence
+Repeated rows are packed once each; rests of equal length are taken in any order; a null
+identifier stays null.  Texts of any length are encoded whole.  An empty table gives an
+empty result.  Sequence
 numbers are unique, not consecutive: the task's partition number is in the upper bits.
 Only the identifier and text columns are read.
 """
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -154,19 +157,28 @@ class Packer:
                 at, offset, left = at + n, offset + n, left - n
 
 
-def pack(docs: DataFrame, rank_file: str, pattern: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def added_tokens(vocabulary_file: str) -> dict[str, int]:
+    """The added tokens of a vocabulary file of the tokenizers library, which that library
+    finds in a text before anything else."""
+    with open(vocabulary_file, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def pack(docs: DataFrame, rank_file: str, pattern: str, end_id: int = 1, capacity: int = CAPACITY, special: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary, little-endian unsigned
     32-bit), doc_tokens, sequence_id, offset.
 
     ``rank_file`` and ``pattern`` give the vocabulary as tiktoken reads it.  A byte-level
-    vocabulary of the tokenizers library has the same ids in that form.
+    vocabulary of the tokenizers library has the same ids in that form, with its
+    ``added_tokens`` as ``special``; without them their strings are ordinary text.
     """
+    marks = tuple((special or {}).items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, rows, size = Packer(TaskContext.get().partitionId(), end_id, capacity), [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                for row in packer.add(doc_id.as_py(), ids_of(text.as_py() or "", rank_file, pattern)):
+                for row in packer.add(doc_id.as_py(), ids_of(text.as_py() or "", rank_file, pattern, special=marks)):
                     rows.append(row)
                     size += len(row[3])
                     if size > 4_000_000:

@@ -431,10 +431,10 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     rng = random.Random(15)
-    texts = [words(rng, rng.choice([3, 40, 300, 900, 3000])) for _ in range(150)] + ODD + ["Iß ça — 'll  x\n\n1234"]
-    rows = packing.pack(docs(spark, texts).repartition(2), RANKS, public_tokenizers.PATTERN).collect()
+    texts = [words(rng, rng.choice([3, 40, 300, 900, 3000])) for _ in range(150)] + ODD + ["Iß ça — 'll  x\n\n1234", "hello <|endoftext|> world<|endoftext|><|endoftext|>x  <|endoftext"]
+    texts.append(" <|endoftext|> a b" * 9000)
+    rows = packing.pack(docs(spark, texts).repartition(2), RANKS, public_tokenizers.PATTERN, special=packing.added_tokens(JSON)).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         assert len(r["ids"]) == 4 * r["length"]

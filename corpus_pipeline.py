@@ -2,16 +2,21 @@
 
 Every stage gets what its predecessor kept, written as Parquet and read again, so a
 lost executor repeats part of one stage at most.  All but the last return the columns
-of ``documents``.
+of ``documents``, extra ones too, whatever their names.
+
+Null texts count as empty: they are clean, and copies of one another, so one row of them
+stays.  Rows without an identifier lose to copies that have one and are never near copies.
+Of copies the largest identifier stays, of near copies the least; rows that repeat an
+identifier are judged each by its own text.  Texts of any length are read whole.  An
+empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bagminhash, exact_dedup, packing, secret_scan, toxicity
+from quillstone.llm import bagminhash, exact_dedup, queries, secret_scan, toxicity
 from quillstone.sources.workspace import materialise
 
 
@@ -38,8 +43,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a training sequence."""
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return queries.packed(docs)
 
 
 STAGES = [

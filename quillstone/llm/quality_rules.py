@@ -1,23 +1,30 @@
 """Quality rules whose cutoffs come from labelled holdouts with exact binomial bounds.
 
-Every rule is a share in hundredths (0 to 100) with a cutoff; a text fails the rule
-when its share is above the cutoff.  Per stratum (a language) and rule, cutoffs are
-tested from lenient to strict on the labelled good texts.  The null hypothesis of a
-test is "this cutoff rejects more than ``alpha`` / number of rules of good texts";
-its p-value is the exact binomial tail, i.e. the Clopper-Pearson bound.  Testing
-stops at the first cutoff that is not accepted (fixed-sequence testing, which needs
-no correction along a sequence); over all sequences the level ``delta`` is divided by
-their number (Bonferroni).  So with probability 1 - ``delta`` at once in every
-stratum no more than ``alpha`` of good texts fail.  Of the accepted cutoffs the most
-lenient one is taken that still rejects as many labelled bad texts as any of them: a
-stricter one would risk good texts for nothing.  A stratum with too few labels
-accepts no cutoff and rejects nothing; texts of a stratum without labels are judged
-by the cutoffs of the stratum of all labelled texts.
-
-Defined results.  Null text has no words.  Null language is a stratum of its own.
-An empty table gives an empty result; without labels nothing but the base rule
-rejects.  A document labelled twice counts once, as good if any label says so.
-Repeated rows get the same verdict each.  Only the named columns are read.
+Every rule is a share in hundredths (0 to 100) with a cutoff; a text fails when a share
+is above its cutoff.  Per stratum (a language) the labelled texts are dealt into two
+folds by a hash of their counts, so that copies of a text fall on one side.
+
+The first fold only orders: it gives a path of joint cutoffs from lenient to strict, at
+each step tightening the rule that catches most bad texts for the good ones it costs.
+The second fold, the holdout, only tests, along that path: the null hypothesis of a step
+is "the rules at this step reject more than ``alpha`` of good texts", its p-value the
+exact binomial tail (the Clopper-Pearson bound).  Testing stops at the first step that is
+not accepted (fixed-sequence testing, which needs no correction along a path, and as the
+path is joint, none over rules); over strata the level ``delta`` is divided by their
+number (Bonferroni).  So with probability 1 - ``delta``, in every stratum at once, no
+more than ``alpha`` of good texts fail.  Of the accepted steps the most lenient one is
+taken that rejects as many bad holdout texts as any of them: a stricter one would risk
+good texts for nothing.
+
+A stratum needs log(delta / strata) / log(1 - alpha) good holdout texts before a step can
+be accepted, 144 with four strata at the defaults, about 216 good labels.  One with fewer
+accepts none, and like one without labels it rejects nothing beyond the base rule.
+
+Defined results.  Null text has no words.  Null language is a stratum of its own, apart
+from the empty one.  An empty table gives an empty result; without labels nothing but the
+base rule rejects.  A document labelled twice counts once, as good if any label says so.
+A share equal to its cutoff passes.  Repeated rows get the same verdict each.  Texts of
+any length are read whole.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -37,7 +44,10 @@ from quillstone.sources.workspace import materialise
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 RULES = ("symbol", "dup_line", "repeat", "upper", "shout")
-ALL = "\x00all"
+#: Of so many parts of the labelled texts one orders the cutoffs; the others test them.
+FOLDS = 3
+#: The step of a path at which a text that no step rejects would be rejected.
+NEVER = 1 << 20
 
 MEASURES = pa.schema(
     [("doc_id", pa.int64()), ("stratum", pa.string())]
@@ -112,61 +122,110 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(log_term - top).sum()))
 
 
-def cutoff_of(good: np.ndarray, bad: np.ndarray, alpha: float, level: float) -> int:
-    """The accepted cutoff that rejects most bad texts, the most lenient of equals;
-    100 (which rejects nothing) if none is accepted.
+def cutoff_path(good: dict[str, np.ndarray], bad: dict[str, np.ndarray]) -> list[tuple[str, int]]:
+    """Joint cutoffs from lenient to strict as successive (rule, new cutoff).
 
-    ``good[v]`` and ``bad[v]`` count texts with share v.
+    ``good[rule][v]`` and ``bad[rule][v]`` count texts with share v.  A cutoff lies midway
+    between a share that bad texts have and the next lower one that any text has.
     """
-    n, rejected, caught, most, chosen = int(good.sum()), 0, 0, 0, 100
-    for cutoff in range(99, -1, -1):
-        rejected += int(good[cutoff + 1])
-        caught += int(bad[cutoff + 1])
-        # The tail depends on the rejections alone, so equal counts need no new test.
-        if (good[cutoff + 1] or cutoff == 99) and (n == 0 or binomial_tail(rejected, n, alpha) > level):
+    steps: dict[str, list[tuple[float, int, int]]] = {}
+    for rule in RULES:
+        own, cost = [], 0
+        for v in range(100, 0, -1):
+            cost += int(good[rule][v])
+            if bad[rule][v]:
+                below = next((u for u in range(v - 1, -1, -1) if good[rule][u] or bad[rule][u]), 0)
+                own.append((cost / int(bad[rule][v]), -int(bad[rule][v]), (below + v) // 2))
+                cost = 0
+        steps[rule] = own[::-1]
+    path = []
+    while any(steps.values()):
+        rule = min((r for r in RULES if steps[r]), key=lambda r: steps[r][-1][:2])
+        path.append((rule, steps[rule].pop()[2]))
+    return path
+
+
+def first_steps(path: list[tuple[str, int]]) -> dict[str, list[int]]:
+    """Per rule, for each share, the first step of the path that rejects it."""
+    found = {rule: np.full(101, NEVER) for rule in RULES}
+    for step, (rule, cutoff) in enumerate(path):
+        found[rule][cutoff + 1 :] = np.minimum(found[rule][cutoff + 1 :], step)
+    return {rule: x.tolist() for rule, x in found.items()}
+
+
+def accepted_step(step: np.ndarray, good: np.ndarray, bad: np.ndarray, alpha: float, level: float) -> int:
+    """The accepted step that rejects most bad texts, the most lenient of equals; -1 if
+    none is accepted or none rejects any.
+
+    ``step``: steps at which texts are rejected, in order, with NEVER for the rest;
+    ``good`` and ``bad`` count them.
+    """
+    n, rejected, caught, most, chosen = int(good.sum()), 0, 0, 0, -1
+    for at, g, b in zip(step, good, bad, strict=True):
+        rejected, caught = rejected + int(g), caught + int(b)
+        if at == NEVER or n == 0 or binomial_tail(rejected, n, alpha) > level:
             break
         if caught > most:
-            most, chosen = caught, cutoff
+            most, chosen = caught, int(at)
     return chosen
 
 
-def cutoffs(shares: DataFrame, labels: DataFrame, alpha: float, delta: float, id_col: str = "doc_id") -> DataFrame:
-    """One row per stratum: stratum, n_good, and a cutoff per rule.
+def paths(held: DataFrame) -> DataFrame:
+    """Per stratum: its cutoffs' path (rules and cutoffs) and, per rule, the first step
+    that rejects each share.
 
-    Labelled texts are counted by (stratum, rule, share) in one shuffle of partial
-    counts; each stratum's counts (505 at most) then decide its cutoffs.
+    The ordering fold is counted by (stratum, rule, share) in one shuffle of partial
+    counts; each stratum's counts (505 at most) then decide.
     """
-    marked = labels.groupBy(F.col(id_col).alias("doc_id")).agg(F.max("quality").alias("quality")).filter("quality IN (0, 1)")
-    held = shares.filter(~F.col("base_failed")).join(marked, "doc_id")
-    held = held.select("quality", F.explode(F.array("stratum", F.lit(ALL))).alias("stratum"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("share")) for r in RULES])).alias("x"))
-    counts = held.groupBy("stratum", "x.rule", "x.share").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
-    n_strata = counts.agg(F.count_distinct(F.coalesce("stratum", F.lit(""))).alias("n")).first()["n"]
-    level, per_rule = delta / max(1, n_strata * len(RULES)), alpha / len(RULES)
+    each = held.filter("fold = 0").select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("share")) for r in RULES])).alias("x"))
+    counts = each.groupBy("stratum", "x.rule", "x.share").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+
+    def order(rows: pd.DataFrame) -> pd.DataFrame:
+        good, bad = ({r: np.bincount(rows["share"][rows["rule"] == r], weights=rows[x][rows["rule"] == r], minlength=101) for r in RULES} for x in ("good", "bad"))
+        path = cutoff_path(good, bad)
+        found = {"stratum": rows["stratum"].iloc[0], "rules": [r for r, _ in path], "cutoffs": [c for _, c in path]}
+        return pd.DataFrame([found | {f"at_{r}": x for r, x in first_steps(path).items()}])
+
+    schema = "stratum string, rules array<string>, cutoffs array<int>, " + ", ".join(f"at_{r} array<int>" for r in RULES)
+    return counts.groupBy("stratum").applyInPandas(order, schema)
+
+
+def with_step(rows: DataFrame, path: DataFrame) -> DataFrame:
+    """Adds step: the first of the stratum's path that rejects the text."""
+    found = rows.join(path.withColumnRenamed("stratum", "of"), F.expr("stratum <=> of"), "left").drop("of")
+    return found.withColumn("step", F.least(*[F.coalesce(F.get(f"at_{r}", F.col(r)), F.lit(NEVER)) for r in RULES])).drop(*[f"at_{r}" for r in RULES])
+
+
+def accepted(held: DataFrame, path: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """Per stratum with labels: n_good of the holdout, and the accepted step (-1 for none)."""
+    counts = with_step(held.filter("fold > 0"), path).groupBy("stratum", "step").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+    counts = materialise(counts, "quality-holdout")
+    level = delta / max(1, counts.select("stratum").distinct().count())
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        found = {"stratum": rows["stratum"].iloc[0]}
-        for rule in RULES:
-            own = rows[rows["rule"] == rule]
-            good, bad = (np.bincount(own["share"], weights=own[x], minlength=101).astype(np.int64) for x in ("good", "bad"))
-            found |= {"n_good": int(good.sum()), f"cut_{rule}": cutoff_of(good, bad, per_rule, level)}
-        return pd.DataFrame([found])
+        rows = rows.sort_values("step")
+        chosen = accepted_step(*(rows[x].to_numpy() for x in ("step", "good", "bad")), alpha, level)
+        return pd.DataFrame([{"stratum": rows["stratum"].iloc[0], "n_good": int(rows["good"].sum()), "accepted": chosen}])
 
-    schema = "stratum string, n_good long, " + ", ".join(f"cut_{r} int" for r in RULES)
-    return counts.groupBy("stratum").applyInPandas(decide, schema)
+    return counts.groupBy("stratum").applyInPandas(decide, "stratum string, n_good long, accepted int")
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """One row per document: counts, shares, cutoffs, base_failed, kept."""
+    """One row per document: counts, shares, the step of its stratum's path that would
+    reject it, the accepted step with its cutoffs (cut_*, null for none), base_failed, kept."""
     shares = with_shares(materialise(measures(docs, id_col, text_col, stratum_col), "quality-measures"))
-    cuts = materialise(cutoffs(shares, labels, alpha, delta, id_col), "quality-cutoffs")
-    pooled = cuts.filter(F.col("stratum") == ALL).first()
-    # A few rows; whether to broadcast them is left to their size at run time.
-    judged = shares.join(cuts.withColumnRenamed("stratum", "of"), F.expr("stratum <=> of"), "left").drop("of")
-    for rule in RULES:
-        rest = pooled[f"cut_{rule}"] if pooled else 100
-        judged = judged.withColumn(f"cut_{rule}", F.coalesce(f"cut_{rule}", F.lit(rest)))
-    passes = [F.col(r) <= F.col(f"cut_{r}") for r in RULES]
-    verdict = passes[0]
-    for x in passes[1:]:
-        verdict = verdict & x
-    return judged.withColumn("kept", ~F.col("base_failed") & verdict)
+    marked = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality")).filter("quality IN (0, 1)")
+    held = shares.filter(~F.col("base_failed")).join(marked, "doc_id").withColumn("fold", F.pmod(F.xxhash64(*MEASURES.names[1:]), F.lit(FOLDS)))
+    held = materialise(held.select("stratum", "quality", "fold", *RULES), "quality-labelled")
+    path = materialise(paths(held), "quality-paths")
+    decided = materialise(accepted(held, path, alpha, delta), "quality-accepted")
+    # A row per stratum; whether to broadcast them is left to their size at run time.
+    judged = with_step(shares, path).join(decided.withColumnRenamed("stratum", "of"), F.expr("stratum <=> of"), "left").drop("of")
+    judged = judged.withColumn("accepted", F.coalesce("accepted", F.lit(-1)))
+
+    def cutoff(rule: str):
+        own = F.filter(F.slice(F.arrays_zip("rules", "cutoffs"), 1, F.col("accepted") + 1), lambda s: s["rules"] == rule)
+        return F.array_min(F.transform(own, lambda s: s["cutoffs"]))
+
+    judged = judged.withColumns({f"cut_{rule}": cutoff(rule) for rule in RULES})
+    return judged.drop("rules", "cutoffs").withColumn("kept", ~F.col("base_failed") & (F.col("step") > F.col("accepted")))

@@ -190,31 +190,57 @@ def test_binomial_tail_is_exact():
         assert quality_rules.binomial_tail(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
 
 
-def test_cutoffs_limit_false_rejection():
+def test_accepted_steps_limit_false_rejection():
     rng = np.random.default_rng(7)
-    misses = 0
-    for _ in range(200):  # the true rate of rejection above a cutoff is known here
-        good = np.bincount(np.minimum(100, rng.geometric(0.05, 3000)), minlength=101)
-        cut = quality_rules.cutoff_of(good, np.bincount([90, 40, 5], minlength=101), 0.02, 0.05)
-        misses += 0.95**cut > 0.02
-    assert misses <= 20
-    few = np.bincount([1] * 20, minlength=101)
-    assert quality_rules.cutoff_of(few, np.bincount([99], minlength=101), 0.02, 0.05) == 100
-    many = np.bincount([1] * 5000, minlength=101)
-    assert quality_rules.cutoff_of(many, np.bincount([50], minlength=101), 0.02, 0.05) == 49
+    misses = taken = 0
+    for _ in range(300):  # step k rejects (k + 1) / 200 of good texts; so much is known here
+        step = np.append(np.arange(20), quality_rules.NEVER)
+        good = rng.multinomial(600, [0.005] * 20 + [0.9])
+        at = quality_rules.accepted_step(step, good, np.ones(21), 0.03, 0.05)
+        misses += (at + 1) / 200 > 0.03
+        taken += at >= 0
+    assert misses <= 300 * 0.05 + 10 and taken > 250
+    ends = np.array([0, quality_rules.NEVER])
+    assert quality_rules.accepted_step(ends, np.array([0, 98]), np.array([5, 0]), 0.03, 0.05) == -1  # too few labels
+    assert quality_rules.accepted_step(ends, np.array([0, 99]), np.array([5, 0]), 0.03, 0.05) == 0
+    assert quality_rules.accepted_step(ends, np.array([0, 99]), np.array([0, 5]), 0.03, 0.05) == -1  # catches nothing
+
+
+def test_cutoff_path():
+    none = np.zeros(101)
+    good, bad = ({r: none.copy() for r in quality_rules.RULES} for _ in range(2))
+    good["symbol"][2], good["upper"][40] = 50, 1
+    bad["symbol"][20], bad["symbol"][8], bad["upper"][30] = 3, 4, 2
+    path = quality_rules.cutoff_path(good, bad)
+    # Both symbol steps cost no good text; the upper step costs one.
+    assert path == [("symbol", 14), ("symbol", 5), ("upper", 15)]
+    first = quality_rules.first_steps(path)
+    assert (first["symbol"][15], first["symbol"][14], first["symbol"][5], first["upper"][16], first["shout"][100]) == (0, 1, quality_rules.NEVER, 2, quality_rules.NEVER)
 
 
 def test_judge(spark):
+    """Good texts stay within alpha, bad ones of three kinds are caught, per language."""
     rng = random.Random(8)
-    good = [words(rng, 120) for _ in range(700)]
-    bad = [" ".join(f"{w}***" for w in words(rng, 120).split()) for _ in range(100)]
-    texts = [*good, *bad, *ODD]
-    labels = spark.createDataFrame([(i, int(i < 700)) for i in range(0, 800) if i % 10 < 8], "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, texts), labels, alpha=0.06).collect()}
-    assert all(got[i]["kept"] for i in range(700)) and not any(got[i]["kept"] for i in range(700, 800))
-    assert not got[800]["kept"] and got[800]["base_failed"] and len(got) == len(texts)
-    none = quality_rules.judge(docs(spark, good[:3]), labels.filter("false")).collect()
-    assert all(r["kept"] for r in none)
+    rows = []
+    for i in range(1600):
+        text, kind = words(rng, 120), i % 8
+        if kind == 1:
+            text = " ".join(f"{w}***" for w in text.split())
+        elif kind == 2:
+            text = " ".join(f"{w.upper()}!!" for w in text.split())
+        elif i % 97 == 0:
+            text += " ###"
+        rows.append((i, text, ("en", "de", None, "")[i // 8 % 4], int(kind not in (1, 2))))
+    table = spark.createDataFrame([(i, t, lang, "x", 0) for i, t, lang, _ in rows] + [(1600 + i, t, "en", "x", 0) for i, t in enumerate(ODD)] + [(1700, rows[1][1], "fr", "x", 0)], "doc_id long, text string, lang string, stratum string, fold int")
+    labels = spark.createDataFrame([(i, q) for i, _, _, q in rows if i % 10 < 9] + [(0, 0), (5, None)], "doc_id long, quality int")
+    found = quality_rules.judge(table, labels)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert sum(not got[i]["kept"] for i, _, _, q in rows if q) <= 0.03 * 1200
+    assert np.mean([not got[i]["kept"] for i, _, _, q in rows if not q]) > 0.95
+    assert not got[1600]["kept"] and got[1600]["base_failed"] and len(got) == 1600 + len(ODD) + 1
+    assert got[1700]["kept"] and got[1700]["cut_symbol"] is None  # a stratum without labels
+    none = quality_rules.judge(table, labels.filter("false")).collect()
+    assert all(r["kept"] for r in none if r["doc_id"] < 1600)
     assert quality_rules.judge(docs(spark, []), labels).count() == 0
 
 

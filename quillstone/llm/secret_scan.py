@@ -1,34 +1,38 @@
 """Secret scan: fixed patterns, and a battery of randomness tests for unknown formats.
 
-Pass 1 (``scan``) reads every whole text.  It finds the pattern spans (assign,
-access, hex) and takes each run of 20 or more ``[A-Za-z0-9+/_-]`` as a candidate.  For
-a candidate the encoding is inferred (the smallest alphabet that holds it).  A run with
-both ``+`` or ``/`` and ``-`` or ``_`` is of no usual alphabet and is cut first: its
-longest part of base64 or base64url becomes a candidate, then those of what is left on
-both sides; if no part is 20 long, the run is judged whole over all 66 symbols.  Three
-tests ask whether its symbols are drawn uniformly and independently from that
-alphabet: chi-squared uniformity, runs about the median symbol, and lag-1 serial
-correlation.  Their z-scores make one p-value of randomness (Bonferroni over three).
-
-A run that passes may still be ordinary: short runs pass easily.  So a second p-value
-asks how often an *ordinary* run of the same length, its symbols drawn with the
-corpus's own frequencies within that alphabet, would be as unlikely as the one seen;
-its power grows with the length.  Over all candidates of the corpus, in strata of
-encoding and length band, Benjamini-Hochberg holds the share of ordinary runs among
-the flagged at ``fdr``; the counts for it come from every document, in bins, so what
-reaches the driver has a fixed size.
+One pass (``scan``) reads every whole text.  It finds the pattern spans (assign,
+access, hex) and takes each run of 20 or more ``[A-Za-z0-9+/_-]`` that overlaps none of
+them as a candidate.  For a candidate the encoding is inferred (the smallest alphabet
+that holds it).  A run with both ``+`` or ``/`` and ``-`` or ``_`` is of no usual alphabet
+and is cut first: its longest part of base64 or base64url becomes a candidate, then those
+of what is left on both sides; if no part is 20 long, the run is judged whole over all 66
+symbols.  Three tests ask whether its symbols are drawn uniformly and independently from
+that alphabet: chi-squared uniformity, runs about the median symbol, and lag-1 serial
+correlation.  Their least p-value, times three, is the battery's.
+
+Random strings pass the battery; ordinary ones pass it seldom if they are long, often if
+they are short.  How often is measured, not assumed: for each candidate the battery also
+judges ``DECOYS`` stretches of the document's own other text, brought into the same
+alphabet and of the same length.  Per encoding and length band the decoys' battery values
+are counted over the whole corpus, and a candidate's p-value is the share of them that
+look as random as it does.  On these p-values Benjamini-Hochberg holds the share of
+ordinary runs among the spans added at ``fdr``, in each such stratum by itself, so that
+many ordinary runs of one kind don't hide a few random ones of another.  All counts are of every document, in
+bins, so what reaches the driver has a fixed size.
 
 Defined results.  Null text counts as empty and has no spans.  Offsets are code
-points, end exclusive.  Pattern spans always stay; a random span that overlaps one is
-left out.  Repeated rows are independent.  An empty table gives an empty result.  Only
-the identifier and text columns are read.
+points, end exclusive.  Pattern spans always stay.  A document whose other text is
+shorter than the candidate gives no decoys for it; a stratum without decoys adds nothing.
+Decoys of runs over 4096 symbols have 4096.  Equal battery values are added or left
+together.  Texts of any length are read whole.  Repeated rows are independent.  An empty
+table gives an empty result.  Only the identifier and text columns are read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from quillstone.llm.rows import map_rows
+from quillstone.llm.rows import free_names, map_rows
 from quillstone.sources.workspace import materialise
 
 # Fixed patterns and least lengths.
@@ -61,20 +65,21 @@ ALPHABETS = {
     # For runs of both of the last two whose parts are all short.
     "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
-SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 INDEX = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
 SETS = {name: frozenset(letters) for name, letters in ALPHABETS.items()}
 #: Lower ends of the length bands.
 BANDS = (20, 32, 48, 80, 160)
-#: p-values are binned by tenths of -log10, up to this bin; a bin counts at its larger end.
+#: Stretches of ordinary text that a candidate is held against.
+DECOYS = 199
+DECOY_SYMBOLS = 4096
+#: Battery values are binned by tenths of -log10, up to this bin.
 TOP_BIN = 400
-RANDOM_LEVEL = 0.001
+#: A candidate of a larger bin is not random: its battery value is under 0.001.
+RANDOM_BIN = 30
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-CAND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("band", pa.int64()), ("counts", pa.list_(pa.int32())), ("passes", pa.bool_())])
-BINNED_CAND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("bin", pa.int32()), ("passes", pa.bool_())])
-BINNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base", pa.list_(SPAN)), ("candidates", pa.list_(BINNED_CAND))])
-SCAN = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base", pa.list_(SPAN)), ("candidates", pa.list_(CAND)), ("symbols", pa.list_(pa.int64()))])
+CAND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("bin", pa.int32()), ("decoys", pa.list_(pa.int32()))])
+SCAN = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base", pa.list_(SPAN)), ("candidates", pa.list_(CAND))])
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -93,45 +98,75 @@ def infer_encoding(token: str) -> str | None:
     return next((name for name, letters in SETS.items() if symbols <= letters), None)
 
 
-def tail(z: float) -> float:
+def tail(z: np.ndarray) -> np.ndarray:
     """P(|Z| >= |z|) of a standard normal."""
-    return math.erfc(abs(z) / math.sqrt(2))
+    return np.array([math.erfc(abs(x) / math.sqrt(2)) for x in z])
 
 
-def battery(token: str, encoding: str) -> tuple[np.ndarray, float]:
-    """Symbol counts, and the p-value of "uniform and independent"."""
-    index, n = INDEX[encoding], len(token)
-    q = len(index)
-    x = np.fromiter((index[c] for c in token), dtype=np.float64, count=n)
-    counts = np.bincount(x.astype(np.int64), minlength=q)
-    chi2 = float(((counts - n / q) ** 2).sum() * q / n)
+def codes(text: str, encoding: str) -> np.ndarray:
+    """Indexes in the alphabet of those symbols of the text that it holds."""
+    index = INDEX[encoding]
+    return np.array([index[c] for c in text if c in index], np.int64)
+
+
+def battery(x: np.ndarray, q: int) -> np.ndarray:
+    """For each row of symbol indexes below q the p-value of "uniform and independent"."""
+    m, n = x.shape
+    counts = np.bincount((x + q * np.arange(m)[:, None]).ravel(), minlength=m * q).reshape(m, q)
+    chi2 = ((counts - n / q) ** 2).sum(axis=1) * q / n
     z_chi = (chi2 - (q - 1)) / math.sqrt(2 * (q - 1) * (1 - 1 / n))
-    p_chi = 0.5 * math.erfc(z_chi / math.sqrt(2))  # one-sided: only too uneven counts against it
+    p_chi = np.array([0.5 * math.erfc(z / math.sqrt(2)) for z in z_chi])  # one-sided: only too uneven counts against it
     above = x > (q - 1) / 2
-    n1 = int(above.sum())
-    n2 = n - n1
-    if n1 and n2:
-        runs = 1 + int((above[1:] != above[:-1]).sum())
-        mean = 1 + 2 * n1 * n2 / n
-        spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
-        p_runs = tail((runs - mean) / spread)
-    else:
-        p_runs = 0.0
-    centred = x - x.mean()
-    power = float((centred**2).sum())
-    p_serial = tail((float((centred[1:] * centred[:-1]).sum()) / power + 1 / n) * math.sqrt(n)) if power else 0.0
-    return counts, min(1.0, 3 * min(p_chi, p_runs, p_serial))
-
-
-def candidates(text: str) -> list[tuple]:
-    found = []
+    n1 = above.sum(axis=1)
+    runs = 1 + (above[:, 1:] != above[:, :-1]).sum(axis=1)
+    mean = 1 + 2 * n1 * (n - n1) / n
+    spread = np.sqrt(np.maximum(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+    p_runs = np.where((n1 > 0) & (n1 < n), tail((runs - mean) / spread), 0.0)
+    centred = x - x.mean(axis=1, keepdims=True)
+    power = (centred**2).sum(axis=1)
+    serial = (centred[:, 1:] * centred[:, :-1]).sum(axis=1) / np.maximum(power, 1e-9)
+    p_serial = np.where(power > 0, tail((serial + 1 / n) * math.sqrt(n)), 0.0)
+    return np.minimum(1.0, 3 * np.minimum(np.minimum(p_chi, p_runs), p_serial))
+
+
+def bins(p: np.ndarray) -> np.ndarray:
+    return np.minimum(TOP_BIN, np.floor(-10 * np.log10(np.maximum(p, 1e-60)))).astype(np.int64)
+
+
+def decoy_bins(rest: str, token: str, encoding: str) -> list[int]:
+    """Binned battery values of stretches of ordinary text like the token; none if it is too short."""
+    letters = SETS[encoding]
+    if not any(c.islower() for c in letters):
+        rest = rest.upper()
+    elif not any(c.isupper() for c in letters):
+        rest = rest.lower()
+    x, n = codes(rest, encoding), min(len(token), DECOY_SYMBOLS)
+    if len(x) < n:
+        return []
+    starts = np.unique(np.linspace(0, len(x) - n, DECOYS).astype(np.int64))
+    return bins(battery(x[starts[:, None] + np.arange(n)], len(letters))).tolist()
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
+    """start, end, stratum, bin, decoys' bins of each candidate that overlaps no base span."""
+    found, at, rest = [], 0, []
+    taken = [(a, b) for _, a, b in base]
     for m in CANDIDATE.finditer(text):
-        for at, token in one_alphabet(m[0]):
-            encoding = infer_encoding(token)
-            counts, p_random = battery(token, encoding)
-            band = max(b for b in BANDS if b <= len(token))
-            found.append((m.start() + at, m.start() + at + len(token), encoding, band, counts.tolist(), p_random >= RANDOM_LEVEL))
-    return found
+        taken.append(m.span())
+        found += [(m.start() + start, token) for start, token in one_alphabet(m[0])]
+    found = [(a, t) for a, t in found if not any(s < a + len(t) and a < e for _, s, e in base)]
+    if not found:
+        return []
+    for start, end in sorted(taken):
+        rest.append(text[at:start])
+        at = max(at, end)
+    ordinary, rows = "".join([*rest, text[at:]]), []
+    for start, token in found:
+        encoding = infer_encoding(token)
+        band = max(b for b in BANDS if b <= len(token))
+        own = int(bins(battery(codes(token, encoding)[None, :], len(SETS[encoding])))[0])
+        rows.append((start, start + len(token), f"{encoding}/{band}", own, decoy_bins(ordinary, token, encoding)))
+    return rows
 
 
 def one_alphabet(run: str) -> list[tuple[int, str]]:
@@ -156,88 +191,54 @@ def one_alphabet(run: str) -> list[tuple[int, str]]:
 
 def scan_row(doc_id, text_hash, text) -> Iterator[tuple]:
     text = text or ""
-    spans = [{"kind": k, "start": a, "end": b} for k, a, b in base_spans(text)]
+    base = base_spans(text)
     names = [f.name for f in CAND]
-    yield doc_id, text_hash, spans, [dict(zip(names, c, strict=True)) for c in candidates(text)], [text.count(c) for c in SYMBOLS]
-
-
-def log_shares(weights: np.ndarray) -> dict[str, np.ndarray]:
-    """Per encoding the log frequencies of its symbols in ordinary text (add-one smoothed)."""
-    own = {name: np.array([weights[SYMBOLS.index(c)] for c in letters]) + 1.0 for name, letters in ALPHABETS.items()}
-    return {name: np.log(w / w.sum()) for name, w in own.items()}
-
-
-def ordinary_p(counts: np.ndarray, log_share: np.ndarray) -> float:
-    """P(ordinary text of this length is as unlikely as these symbol counts): the normal
-    limit of the log likelihood of independent symbols."""
-    share, n = np.exp(log_share), counts.sum()
-    mean = float((share * log_share).sum())
-    variance = float((share * log_share**2).sum()) - mean**2
-    if variance < 1e-9:
-        return 1.0
-    z = (float((counts * log_share).sum()) - n * mean) / math.sqrt(n * variance)
-    return 0.5 * math.erfc(-z / math.sqrt(2))
-
-
-def bin_of(p: float) -> int:
-    return min(TOP_BIN, int(-10 * math.log10(p))) if p > 0 else TOP_BIN
+    yield doc_id, text_hash, [{"kind": k, "start": a, "end": b} for k, a, b in base], [dict(zip(names, c, strict=True)) for c in candidates(text, base)]
 
 
 def cutoff_bins(counts: list[Row], fdr: float) -> dict[str, int]:
-    """Per stratum the least bin that Benjamini-Hochberg rejects.
+    """Per stratum the largest bin whose candidates Benjamini-Hochberg accepts as random.
 
-    ``counts``: stratum, bin, n.  There are at most len(ALPHABETS) * len(BANDS) strata
-    of TOP_BIN + 1 bins.
+    ``counts``: stratum, bin, n (candidates), decoys.  There are at most len(ALPHABETS) *
+    len(BANDS) strata of TOP_BIN + 1 bins.
     """
-    by: dict[str, Counter] = {}
+    own, decoys = defaultdict(Counter), defaultdict(Counter)
     for r in counts:
-        by.setdefault(r["stratum"], Counter())[r["bin"]] += r["n"]
+        own[r["stratum"]][r["bin"]] += r["n"]
+        decoys[r["stratum"]][r["bin"]] += r["decoys"]
     cut = {}
-    for stratum, bins in by.items():
-        total, so_far = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):
-            so_far += bins[b]
-            # The level is shared among the strata.
-            if 10 ** (-b / 10) * total <= fdr / len(by) * so_far:
+    for stratum, found in own.items():
+        total, m, taken, so_far, null = sum(decoys[stratum].values()), sum(found.values()), 0, 0, sorted(decoys[stratum].items(), reverse=True)
+        for b in sorted(k for k, n in found.items() if n and k <= RANDOM_BIN):
+            while null and null[-1][0] <= b:
+                so_far += null.pop()[1]
+            taken += found[b]
+            if (1 + so_far) / (1 + total) <= fdr * taken / m:
                 cut[stratum] = b
     return cut
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pass 1, written to the shared folder: base spans, candidates, symbol counts."""
+    """The pass over the texts, written to the shared folder: base spans and candidates."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     return materialise(map_rows(rows, ["doc_id", "text_hash", "text"], scan_row, SCAN), "secret-scan")
 
 
-def symbol_weights(scanned: DataFrame) -> np.ndarray:
-    """Corpus counts of the 66 symbols."""
-    sums = scanned.agg(*[F.sum(F.element_at("symbols", i + 1)).alias(f"s{i}") for i in range(len(SYMBOLS))]).first()
-    return np.array([float(x or 0) for x in sums])
-
-
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 1e-3) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01) -> DataFrame:
     """One row per document: doc_id, text_hash (xxhash64), base, spans: arrays of
     struct<kind,start,end>; spans include base."""
     scanned = scan(docs, id_col, text_col)
-    shares = log_shares(symbol_weights(scanned))
-
-    def bins(doc_id, text_hash, base, found) -> Iterator[tuple]:
-        at = [bin_of(ordinary_p(np.array(c["counts"]), shares[c["encoding"]])) for c in found]
-        yield doc_id, text_hash, base, [{"start": c["start"], "end": c["end"], "stratum": f"{c['encoding']}/{c['band']}", "bin": b, "passes": c["passes"]} for c, b in zip(found, at, strict=True)]
-
-    binned = map_rows(scanned, BINNED.names, bins, BINNED)
-    counts = binned.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.bin").agg(F.count("*").alias("n")).collect()
-    cut = cutoff_bins(counts, fdr)
-    least = F.create_map(*[F.lit(x) for item in (cut or {"": TOP_BIN + 1}).items() for x in item])
+    each = scanned.select(F.explode("candidates").alias("c"))
+    own = each.select("c.stratum", "c.bin", F.lit(1).alias("n"), F.lit(0).alias("decoys"))
+    null = each.select("c.stratum", F.explode("c.decoys").alias("bin"), F.lit(0).alias("n"), F.lit(1).alias("decoys"))
+    counts = own.union(null).groupBy("stratum", "bin").agg(F.sum("n").alias("n"), F.sum("decoys").alias("decoys")).collect()
+    cut = F.create_map(*[F.lit(x) for item in (cutoff_bins(counts, fdr) or {"": -1}).items() for x in item])
 
     def flagged(c):
-        return c["passes"] & (c["bin"] >= F.coalesce(F.try_element_at(least, c["stratum"]), F.lit(TOP_BIN + 1)))
-
-    def clear(c):
-        return ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+        return c["bin"] <= F.coalesce(F.try_element_at(cut, c["stratum"]), F.lit(-1))
 
-    extra = F.transform(F.filter("candidates", lambda c: flagged(c) & clear(c)), lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return binned.select("doc_id", "text_hash", "base", ordered(F.concat("base", extra)).alias("spans"))
+    extra = F.transform(F.filter("candidates", flagged), lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    return scanned.select("doc_id", "text_hash", "base", ordered(F.concat("base", extra)).alias("spans"))
 
 
 def ordered(spans):
@@ -247,18 +248,18 @@ def ordered(spans):
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", fdr: float = 1e-3) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01) -> DataFrame:
     """``docs`` with every found span of the text replaced by ``mark``; all columns stay.
 
     Rows are matched to their spans by identifier (null equals null) and text, so rows
     that share an identifier lose their own secrets only.
     """
+    key, hashed, spans = free_names(docs, "id", "hash", "spans")
     found = find_secrets(docs, id_col, text_col, fdr).filter(F.size("spans") > 0)
-    found = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("spans").alias("__spans"))
-    same = (F.xxhash64(text_col) == F.col("__hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-    joined_rows = docs.join(found, same, "left")
-    masked = mask(F.col(text_col), F.col("__spans"), mark)
-    return joined_rows.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(masked)).drop("__id", "__hash", "__spans")
+    found = found.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(hashed)).agg(F.first("spans").alias(spans))
+    same = (F.xxhash64(text_col) == F.col(hashed)) & F.col(id_col).cast("long").eqNullSafe(F.col(key))
+    masked = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(mask(F.col(text_col), F.col(spans), mark))
+    return docs.join(found, same, "left").withColumn(text_col, masked).drop(key, hashed, spans)
 
 
 def mask(text, spans, mark: str):

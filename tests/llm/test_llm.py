@@ -113,28 +113,53 @@ def test_base_spans_are_those_of_the_plain_patterns():
 
 def test_random_strings_pass_and_words_fail():
     rng = random.Random(4)
+
+    def judged(token, encoding):
+        return secret_scan.battery(secret_scan.codes(token, encoding)[None, :], len(secret_scan.ALPHABETS[encoding]))[0]
+
     b64 = secret_scan.ALPHABETS["base64"]
-    passed = sum(secret_scan.battery("".join(rng.choice(b64) for _ in range(60)), "base64")[1] >= secret_scan.RANDOM_LEVEL for _ in range(300))
+    passed = sum(judged("".join(rng.choice(b64) for _ in range(60)), "base64") >= 0.001 for _ in range(300))
     assert passed > 290
-    assert secret_scan.battery("internationalisationofcontracts", "lower")[1] < 0.05
-    assert secret_scan.battery("a" * 40, "hex")[1] == 0.0
+    assert judged("internationalisationofcontracts", "lower") < 0.05
+    assert judged("a" * 40, "hex") == 0.0
     assert [secret_scan.infer_encoding(t) for t in ("0123", "0a", "0A", "gh", "a/B", "a-B", "é")] == ["decimal", "hex", "HEX", "lower", "base64", "base64url", None]
 
 
+def test_power_and_false_discoveries(spark):
+    """Planted random strings are found, ordinary long runs among prose are left."""
+    rng = random.Random(27)
+    stock = ["contract", "notice", "renewal", "payment", "clause", "tenant", "liability", "warranty", "the", "of", "and", "shall", "within", "days", "agreement", "party"]
+    texts, planted = [], {}
+    for i in range(400):
+        w = [rng.choice(stock) for _ in range(rng.randrange(80, 200))]
+        joiner = rng.choice(["", "_", "-", "/"])
+        w.insert(20, joiner.join(rng.choice([str.title, str.lower])(rng.choice(stock)) for _ in range(rng.randrange(4, 9))))
+        if i % 8 == 0:
+            letters = secret_scan.ALPHABETS[rng.choice(["base64", "base64url", "BASE36", "base32"])]
+            planted[i] = "".join(rng.choice(letters) for _ in range(rng.randrange(32, 64)))
+            w.insert(40, planted[i])
+        texts.append(" ".join(w))
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in secret_scan.find_secrets(docs(spark, texts)).collect()}
+    hits = sum(any(len(s) >= 20 and s in planted[i] for s in found[i]) for i in planted)
+    false = sum(s not in planted.get(i, "") for i, spans in found.items() for s in spans)
+    assert hits >= 0.9 * len(planted) and false <= 0.05 * len(planted)
+
+
 def test_runs_of_mixed_alphabets_are_judged():
     rng = random.Random(25)
     key = "".join(rng.choice(secret_scan.ALPHABETS["base36"].upper() + "abcdefghijkl") for _ in range(40))
     for text, part in ((f"/my-app/{key}", f"app/{key}"), (f"sk-{key}+/{key[:5]}", f"{key}+/{key[:5]}"), ("aB3/x-" * 5, "aB3/x-" * 5), (key, key), ("a/b-c", None)):
-        found = [(a, b) for a, b, *_ in secret_scan.candidates(text)]
+        found = [(a, b) for a, b, *_ in secret_scan.candidates(text, [])]
         assert found == ([] if part is None else [(text.index(part), text.index(part) + len(part))])
     both = f"{key}-x+/{key[::-1]}y"
-    spans = [both[a:b] for a, b, *_ in secret_scan.candidates(both)]
+    spans = [both[a:b] for a, b, *_ in secret_scan.candidates(both, [])]
     assert len(spans) == 2 and any(key in s for s in spans) and any(key[::-1] in s for s in spans)
 
 
 def test_mixed_runs_in_texts(spark):
     key = "/my-app/" + SECRET
-    texts = ["the " + "internationalisationalities contract " * 100] * 30 + [f"key {key} end"]
+    texts = ["the " + "internationalisationalities contract " * 100] * 30
+    texts.append(f"{texts[0]} key {key} end")
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs(spark, texts)).collect()}
     assert SECRET not in clean[30] and clean[0] == texts[0]
 
@@ -142,7 +167,7 @@ def test_mixed_runs_in_texts(spark):
 def test_find_secrets(spark):
     rng = random.Random(5)
     prose = ["the " + " ".join(rng.choice(["contract", "notice", "renewal", "internationalisationalities"]) for _ in range(200)) for _ in range(30)]
-    texts = [*prose, f"é key {SECRET} end", "token = abcdef1", *ODD, "t = " + SECRET]
+    texts = [*prose, f"é key {SECRET} end {prose[0]}", "token = abcdef1", *ODD, "t = " + SECRET]
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.find_secrets(docs(spark, texts)).collect()}
     assert got[30] == [("random", 6, 6 + len(SECRET))] and got[31] == [("assign", 0, 15)]
     assert all(not got[i] for i in range(30)) and got[len(texts) - 1][0][0] == "random"
@@ -151,13 +176,15 @@ def test_find_secrets(spark):
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs(spark, texts)).collect()}
     twice = docs(spark, ["password: abcdef tail", "no secret here at all", "password: abcdef"], [7, 7, None])
     assert sorted(r["text"] for r in secret_scan.redact(twice).collect()) == ["[secret]", "[secret] tail", "no secret here at all"]
-    assert clean[30] == "é key [secret] end" and clean[31] == "[secret]" and clean[0] == texts[0] and clean[32] is None
+    assert clean[30] == f"é key [secret] end {prose[0]}" and clean[31] == "[secret]" and clean[0] == texts[0] and clean[32] is None
 
 
 def test_benjamini_hochberg_bins():
-    rows = [{"stratum": "hex/32", "bin": b, "n": n} for b, n in ((0, 900), (5, 90), (60, 10))]
-    assert secret_scan.cutoff_bins(rows, 0.01) == {"hex/32": 60}
-    assert secret_scan.cutoff_bins(rows[:2], 0.01) == {}
+    rows = [{"stratum": "hex/32", "bin": b, "n": n, "decoys": d} for b, n, d in ((2, 30, 0), (9, 5, 3), (25, 0, 400), (60, 65, 1000))]
+    assert secret_scan.cutoff_bins(rows, 0.01) == {"hex/32": 9}
+    assert secret_scan.cutoff_bins(rows, 0.0005) == {}
+    assert secret_scan.cutoff_bins([dict(r, decoys=0) for r in rows], 0.01) == {}
+    assert secret_scan.cutoff_bins([], 0.01) == {}
 
 
 # Quality rules

@@ -11,14 +11,20 @@ that is no unit as a whole is linked by its lines: the message that most of them
 from, the latest of equals.  Only an earlier turn can be an original.
 
 A message's parent is the original of its outermost linked passage (of the one with
-most lines, then the latest).  Paths from the root are built by pointer doubling, so
-the rounds number the logarithm of the depth.  In reply order a message comes after
-its parent and its parent's earlier branches, and branches come by turn.
+most lines, then the latest).  In reply order a message comes after its parent and its
+parent's earlier branches, and branches come by turn.  That order is found without a path
+or a thread in one place: the tree is walked round as a list that enters and leaves each
+message, every element knows only the next one, and pointer doubling sums what lies
+behind each, so rows keep their size and the rounds number the logarithm of the longest
+thread.  What is summed is the messages entered (the position) and the levels (the
+depth).  Branches and threads are put in order by ``ranked``, which deals them into
+ranges, so a message with a third of all replies, or a conversation with a third of all
+rows, is many tasks' work.
 
 Defined results.  Null text counts as empty.  A null conversation is a conversation of
 its own; a null turn comes first and is never linked.  Rows that repeat a turn are
 messages of their own, ordered by their text; equal rows get the same links and
-successive positions.  Attribution lines ("... wrote:") directly above a quotation go
+successive positions.  Texts of any length are read whole.  Attribution lines ("... wrote:") directly above a quotation go
 with it.  An empty table gives an empty result.  Only the four named columns are read.
 """
 
@@ -32,8 +38,6 @@ from quillstone.sources.workspace import materialise
 QUOTED = r"^[ \t]*>"
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
 ATTRIBUTION = r"(?i)(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
-#: First turns whose threads are numbered together; see ``positions``.
-BLOCK = 1024
 
 
 def normalise(text: Column) -> Column:
@@ -92,31 +96,65 @@ def linked_passages(found: DataFrame, units: DataFrame) -> DataFrame:
     return whole.join(by_lines, same, "left").select(*passage, F.size("lines").alias("n_lines"), F.coalesce("by_whole", "by_lines").alias("original"))
 
 
-def paths(parents: DataFrame) -> DataFrame:
-    """conv_id, turn, msg, parent_turn, path (array of (turn, msg) from the root) of replies."""
-    here = F.struct("turn", "msg")
-    now = materialise(parents.select("conv_id", "turn", "msg", F.col("parent.turn").alias("parent_turn"), F.col("parent").alias("top"), F.array("parent", here).alias("path")), "reply-paths")
-    while True:
-        up = now.select(F.col("conv_id").alias("of"), F.col("turn").alias("t"), F.col("msg").alias("m"), F.col("top").alias("next"), F.col("path").alias("above"))
-        joined = now.join(up, F.expr("conv_id <=> of AND top.turn = t AND top.msg = m"), "left")
-        if joined.filter("next IS NOT NULL").isEmpty():
-            return now
-        longer = F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", F.slice("path", 2, F.size("path"))))
-        now = materialise(joined.select("conv_id", "turn", "msg", "parent_turn", F.coalesce("next", "top").alias("top"), longer.alias("path")), "reply-paths")
+def ranked(rows: DataFrame, group: str, order: list[str], weight: Column, name: str) -> DataFrame:
+    """Adds ``name``: the summed weight of the rows before each in its group.
+
+    Rows are dealt into ranges of (group, order), summed within them, and the ranges'
+    sums are added, so that no group is one task's work.  Rows of equal order share a range.
+    """
+    dealt = rows.repartitionByRange(group, *order).withColumns({"range": F.spark_partition_id(), "weight": weight})
+    dealt = materialise(dealt, "ranges")
+    sums = dealt.groupBy(group, "range").agg(F.sum("weight").alias("n"))
+    before = sums.select(F.col(group).alias("of"), F.col("range").alias("at"), (F.sum("n").over(Window.partitionBy(group).orderBy("range")) - F.col("n")).alias("before"))
+    within = F.sum("weight").over(Window.partitionBy(group, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("weight")
+    found = dealt.withColumn("within", within).join(before, F.expr(f"{group} <=> of AND range = at"))
+    return found.withColumn(name, F.col("before") + F.col("within")).drop("of", "at", "before", "within", "range", "weight")
 
 
-def positions(rows: DataFrame) -> DataFrame:
-    """Adds position, from 0 along the paths of a conversation.
+def walk(nodes: DataFrame) -> DataFrame:
+    """id, root (id), size (messages from here to the end of the walk), depth.
 
-    Rows are numbered within blocks of neighbouring threads and the blocks' sizes are
-    summed, so a conversation with many threads is many tasks' work.
+    ``nodes``: id, parent (id, null for a root), turn, msg, copies.
     """
-    rows = rows.withColumn("block", F.floor(F.col("path")[0]["turn"] / BLOCK))
-    sizes = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    before = sizes.select(F.col("conv_id").alias("of"), F.col("block").alias("at"), (F.sum("n").over(Window.partitionBy("conv_id").orderBy("block")) - F.col("n")).alias("before"))
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("path", "msg")))
-    placed = numbered.join(before, F.expr("conv_id <=> of AND block <=> at"))
-    return placed.withColumn("position", F.col("before") + F.col("i") - 1).drop("of", "at", "before", "i", "block")
+    children = materialise(ranked(nodes.filter("parent IS NOT NULL"), "parent", ["turn", "msg"], F.lit(1), "rank"), "reply-ranks")
+    first = children.filter("rank = 0").select(F.col("parent").alias("of"), F.col("id").alias("first"))
+    following = children.select(F.col("parent").alias("of"), (F.col("rank") - 1).alias("after"), F.col("id").alias("following"))
+    siblings = children.join(following, F.expr("parent = of AND rank = after"), "left").select(F.col("id").alias("sibling_of"), "following")
+    own = nodes.join(first, F.col("id") == F.col("of"), "left").join(siblings, F.col("id") == F.col("sibling_of"), "left")
+    enter = F.struct((F.col("id") * 2).alias("el"), F.coalesce(F.col("first") * 2, F.col("id") * 2 + 1).alias("next"), F.col("copies").alias("size"), F.lit(1).alias("level"))
+    leave = F.struct((F.col("id") * 2 + 1).alias("el"), F.coalesce(F.col("following") * 2, F.col("parent") * 2 + 1).alias("next"), F.lit(0).cast("long").alias("size"), F.lit(-1).alias("level"))
+    now = materialise(own.select(F.explode(F.array(enter, leave)).alias("e")).select("e.*", F.col("e.el").alias("end")), "reply-walk")
+    while not now.filter("next IS NOT NULL").isEmpty():
+        ahead = now.select(F.col("el").alias("at"), F.col("next").alias("then"), F.col("size").alias("more"), F.col("level").alias("levels"), F.col("end").alias("last"))
+        both = now.join(ahead, F.col("next") == F.col("at"), "left")
+        added = [(F.col(x) + F.coalesce(y, F.lit(0))).alias(x) for x, y in (("size", "more"), ("level", "levels"))]
+        now = materialise(both.select("el", F.col("then").alias("next"), *added, F.coalesce("last", "end").alias("end")), "reply-walk")
+    # From an entrance to the end as many levels are left as were entered before it, and itself.
+    return now.filter("el % 2 = 0").select((F.col("el") / 2).cast("long").alias("id"), ((F.col("end") - 1) / 2).cast("long").alias("root"), "size", (-F.col("level")).cast("long").alias("depth"))
+
+
+def positions(every: DataFrame, reply: DataFrame) -> DataFrame:
+    """conv_id, turn, msg of each distinct message, with position (of its first copy),
+    depth and parent_turn.  ``reply``: conv_id, turn, msg, parent (turn, msg)."""
+    vertices = every.groupBy("conv_id", "turn", "msg").agg(F.count("*").alias("copies"))
+    linked = reply.filter("parent IS NOT NULL").select("conv_id", "turn", "msg", "parent")
+    ends = linked.select("conv_id", "turn", "msg").union(linked.select("conv_id", "parent.turn", "parent.msg")).distinct()
+    same = F.expr("conv_id <=> of AND turn <=> t AND msg = m")
+    joined = vertices.join(ends.select(F.col("conv_id").alias("of"), F.col("turn").alias("t"), F.col("msg").alias("m"), F.lit(True).alias("linked")), same, "left").drop("of", "t", "m")
+    # Numbers of this table, written before anything reads them.
+    vertices = materialise(joined.withColumn("id", F.monotonically_increasing_id()), "messages")
+    trees = vertices.filter("linked")
+    parents = linked.select(F.col("conv_id").alias("of"), F.col("turn").alias("t"), F.col("msg").alias("m"), "parent")
+    above = trees.select(F.col("conv_id").alias("of"), F.col("turn").alias("t"), F.col("msg").alias("m"), F.col("id").alias("parent"))
+    nodes = trees.join(parents, same, "left").drop("of", "t", "m").withColumnRenamed("parent", "up")
+    nodes = nodes.join(above, F.expr("conv_id <=> of AND up.turn <=> t AND up.msg = m"), "left").select("id", "parent", F.col("up.turn").alias("parent_turn"), "turn", "msg", "copies")
+    nodes = materialise(nodes, "reply-nodes")
+    walked = materialise(walk(nodes), "reply-order").join(nodes.select("id", "parent", "parent_turn"), "id")
+    found = vertices.select("conv_id", "turn", "msg", "copies", "id").join(walked, "id", "left")
+    found = materialise(found.withColumns({"root": F.coalesce("root", "id"), "size": F.coalesce("size", "copies"), "depth": F.coalesce("depth", F.lit(0))}), "message-order")
+    tops = ranked(found.filter("parent IS NULL").select("conv_id", "turn", "msg", "id", "size"), "conv_id", ["turn", "msg"], F.col("size"), "start")
+    tops = tops.select(F.col("id").alias("top"), (F.col("start") + F.col("size")).alias("stop"))
+    return found.join(tops, F.col("root") == F.col("top")).select("conv_id", "turn", "msg", (F.col("stop") - F.col("size")).alias("start"), "depth", "parent_turn")
 
 
 def link_quotations(conversations: DataFrame) -> DataFrame:
@@ -133,18 +171,21 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
         F.max(F.when(F.col("original").isNotNull(), F.struct((-F.col("level")).alias("outer"), "n_lines", F.col("original.turn").alias("turn"), F.col("original.msg").alias("msg")))).alias("best"),
     )
     reply = materialise(reply.withColumn("parent", F.when(F.col("best").isNotNull(), F.struct("best.turn", "best.msg"))), "quote-replies")
-    chains = paths(reply.filter("parent IS NOT NULL"))
-    facts = reply.join(chains.select(F.col("conv_id").alias("of"), F.col("turn").alias("t"), F.col("msg").alias("m"), "parent_turn", "path"), F.expr("conv_id <=> of AND turn <=> t AND msg = m"), "left")
-    facts = facts.select(F.col("conv_id").alias("of"), F.col("turn").alias("t"), F.col("msg").alias("m"), "n_passages", "n_linked", "parent_turn", "path")
-    rows = every.join(facts, F.expr("conv_id <=> of AND turn <=> t AND msg = m"), "left").drop("of", "t", "m", "text")
-    rows = rows.withColumn("path", F.coalesce("path", F.array(F.struct("turn", "msg"))))
-    return positions(rows).select(
+
+    def keyed(facts: DataFrame, *columns: str) -> DataFrame:
+        return facts.select(F.col("conv_id").alias("of"), F.col("turn").alias("t"), F.col("msg").alias("m"), *columns)
+
+    same = F.expr("conv_id <=> of AND turn <=> t AND msg = m")
+    rows = every.drop("text").join(keyed(positions(every, reply), "start", "depth", "parent_turn"), same).drop("of", "t", "m")
+    rows = rows.join(keyed(reply, "n_passages", "n_linked"), same, "left").drop("of", "t", "m")
+    copy = F.row_number().over(Window.partitionBy("conv_id", "turn", "msg").orderBy("role")) - 1
+    return rows.select(
         "conv_id",
         "turn",
         "role",
-        "position",
+        (F.col("start") + copy).alias("position"),
         "parent_turn",
-        (F.size("path") - 1).cast("long").alias("depth"),
+        "depth",
         F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.col("own").alias("text"),

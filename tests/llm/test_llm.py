@@ -553,6 +553,77 @@ def test_quotations(spark):
     assert quotation_linking.link_quotations(df.filter("false")).count() == 0
 
 
+def brute_quotations(rows):
+    """(conv, turn, text) -> position, parent turn, depth, passages, linked; turns are distinct."""
+    quoted = re.compile(r"^[ \t]*>")
+
+    def norm(t):
+        return " ".join(t.split()).lower()
+
+    own, found = {}, {}
+    for c, t, text in rows:
+        own[c, t] = "\n".join(x for x in text.split("\n") if not quoted.match(x)).strip("\n") if any(map(quoted.match, text.split("\n"))) else text
+        runs = []
+        for x in text.split("\n"):
+            marks = re.match(r"(?:[ \t]*>)+", x)
+            level = marks[0].count(">") if marks else 0
+            body = norm(x[marks.end() :]) if marks else ""
+            if not (runs and runs[-1][0] == level):
+                runs.append((level, []))
+            runs[-1][1].append(body)
+        found[c, t] = [(level, [b for b in bodies if b]) for level, bodies in runs if level and any(bodies)]
+    units = {}
+    for (c, t), text in sorted(own.items()):
+        for u in {norm(text), *map(norm, text.split("\n\n")), *map(norm, text.split("\n"))} - {""}:
+            units.setdefault((c, u), t)
+    out, children = {}, defaultdict(list)
+    for (c, t), passages in found.items():
+        best, linked = None, 0
+        for level, bodies in passages:
+            first = units.get((c, " ".join(bodies)), t)
+            if first >= t:
+                votes = Counter(units[c, b] for b in bodies if units.get((c, b), t) < t)
+                first = max(((n, u) for u, n in votes.items()), default=(0, None))[1]
+            if first is not None and first < t:
+                linked += 1
+                best = max(best or (-99, 0, 0), (-level, len(bodies), first))
+        parent = best[2] if best else None
+        out[c, t] = [parent, len(passages), linked]
+        children[c, parent].append(t)
+
+    def visit(c, parent, depth, at):
+        for t in sorted(children[c, parent]):
+            out[c, t] += [depth, len(at)]
+            at.append(t)
+            visit(c, t, depth + 1, at)
+        return at
+
+    for c in {c for c, _ in out}:
+        visit(c, None, 0, [])
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_quotations_against_brute_force(spark):
+    rng = random.Random(28)
+    rows = []
+    for c in range(12):
+        said = []
+        for t in range(rng.choice([1, 9, 30])):
+            lines = [words(rng, 3, 40) for _ in range(rng.randrange(1, 4))]
+            if said and rng.random() < 0.7:
+                source = rng.choice(said).split("\n")
+                part = source[rng.randrange(len(source)) :]
+                lines = [("> " if rng.random() < 0.8 else ">> ") + x for x in part] + lines
+            said.append("\n".join(lines))
+            rows.append((c, t, said[-1]))
+    # A chain in which each message quotes the one before, and a message that most reply to.
+    rows += [(90, t, f"> word{t - 1}\nword{t}" if t else "word0") for t in range(150)]
+    rows += [(91, t, f"> root\nsay{t}" if t else "root") for t in range(200)]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["n_passages"], r["n_linked"], r["depth"], r["position"]) for r in quotation_linking.link_quotations(df).collect()}
+    assert got == brute_quotations(rows)
+
+
 # HTML extraction
 
 

@@ -640,14 +640,32 @@ def test_quotations_against_brute_force(spark):
         (None, ""),
         ("<article></article>", ""),
         ("<<>><p", "<<>><p"),
+        ("<article><p class='ad'>buy<p>first<p>second</article>", "first\nsecond"),
+        ("<article><ul><li class=ad>buy<li>a<ul><li>b</ul><li>c</ul><table><tr><td class=ad>x<td>y<tr><td>z</table></article>", "a\nb\nc\ny\nz"),
+        ("<article>let <math><mi>x</mi>=<mn>1</mn></math> and <svg><text>label</text></svg> <object>shown</object><p id='related-work'>prior</p></article>", "let x=1 and label shown\nprior"),
+        ("<article><p>a<div>b</p>c</div></article><p>d", "a\nb\nc"),
+        ("<article><p>a <b>b <p>c</article>", "a b\nc"),
+        ("<p>a<!-- b --> c <![CDATA[x]]>d <? e ?>f<p title='>'>g", "a c d f\ng"),
+        ('<article>a</article><p title="x>b', "a"),
+        ("<article>a <span class=ad><b>buy</span> c</article>", "a\nc"),
     ],
 )
 def test_main_text(html, text):
-    import pyarrow as pa
-
     roles, blocks = html_extract.parse(html or "")
-    row = pa.table({"page_id": [1], "url": ["u"], "roles": [roles], "blocks": ["\n".join(blocks)]})
-    assert html_extract.settle(row, 8).to_pylist()[0]["text"] == text
+    assert next(html_extract.settle_row(1, "u", roles, "\n".join(blocks), None, 8))[2] == text
+
+
+@pytest.mark.parametrize("part", ['<a "', "<p>", "<p></div>", "<div></span>", '<a ">"', "<p '>", "<script>", "<table><p>", "<b></i>", "<div class=ad>x", "<!--", "&amp", "<li>", "</p>"])
+def test_parsing_takes_time_in_proportion(part):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_extract.parse(part * n)
+        return time.process_time() - start
+
+    seconds(2000)
+    assert min(seconds(32_000) for _ in range(2)) < 8 * seconds(8000) + 0.3
 
 
 @pytest.mark.parametrize(
@@ -674,40 +692,54 @@ def test_main_text_with_layout_classes(html, text):
     assert "\n".join(kept) == text
 
 
-def test_repeated_tokens():
-    rng = np.random.default_rng(17)
-    for depth in (1, 2, 3, 5, 8):
-        for _ in range(20):
-            pages = [rng.integers(0, 3, rng.integers(0, 25)).tolist() for _ in range(4)]
-            stream, page = [], []
-            for i, p in enumerate(pages):
-                stream += [*p, -1 - i]
-                page += [i] * (len(p) + 1)
-            where = defaultdict(set)
-            for i, p in enumerate(pages):
-                for j in range(len(p) - depth + 1):
-                    where[tuple(p[j : j + depth])].add(i)
-            want = []
-            for p in pages:
-                covered = [False] * (len(p) + 1)
-                for j in range(len(p) - depth + 1):
-                    if len(where[tuple(p[j : j + depth])]) > 1:
-                        covered[j : j + depth] = [True] * depth
-                want += covered
-            assert html_extract.repeated_tokens(np.array(stream), np.array(page), depth).tolist() == want
+def test_repeated_substrings_against_brute_force(spark):
+    rng = random.Random(17)
+    common = [words(rng, 12, 30) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(common) if rng.random() < 0.4 else words(rng, rng.randrange(1, 25), 12) for _ in range(5)]
+        rows.append((i, f"http://h{i % 3}/{i}", "".join(f"<p>{p}" for p in parts)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_extract.main_texts(df, min_tokens=5).collect()}
+    streams = {i: [w for b in html_extract.parse(h)[1] for w in b.split(" ")] for i, _, h in rows}
+    where = defaultdict(set)
+    for i, w in streams.items():
+        for j in range(len(w) - 4):
+            where[i % 3, tuple(w[j : j + 5])].add(i)
+    for i, _, h in rows:
+        covered = [False] * len(streams[i])
+        for j in range(len(streams[i]) - 4):
+            if len(where[i % 3, tuple(streams[i][j : j + 5])]) > 1:
+                covered[j : j + 5] = [True] * 5
+        kept, at = [], 0
+        for block in html_extract.parse(h)[1]:
+            own = block.split(" ")
+            hit, at = covered[at : at + len(own)], at + len(own)
+            left = [w for w, x in zip(own, hit, strict=True) if not x] if 2 * sum(hit) >= len(own) else own
+            kept += [" ".join(left)] if left else []
+        assert (got[i]["n_repeated"], got[i]["n_tokens"], got[i]["text"]) == (sum(covered), len(covered), "\n".join(kept))
 
 
 def test_host_boilerplate(spark):
     rng = random.Random(18)
     note = words(rng, 20)
-    rows = [(i, f"http://H.example/p{i}", f"<body><p>{note}</p><p>{words(rng, 30)}</p></body>") for i in range(5)]
+    rows = [(i, f"http://H.example/p{i}", f"<body><p>{note}</p><p>{words(rng, 30)}</p><p>{words(rng, 30)}</p><p>{words(rng, 30)}</p></body>") for i in range(5)]
     rows += [(9, "http://other.example/", f"<p>{note}</p>"), (10, None, None), (10, None, None), (None, "::", "<p>x")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    # The same article under a second address, and one page that quotes another's sentence.
+    rows += [(20, "http://h.example/print", rows[0][2].replace("<body>", "<body><p>print view"))]
+    rows += [(21, "http://h.example/q", f"<p>{words(rng, 40)} {rows[1][2].split('<p>')[2][:60]} {words(rng, 40)}<p>{words(rng, 60)}")]
+    # Article pages: what they share stays, and the array sees what is left out.
+    rows += [(30 + i, "http://a.example/", f"<nav>{note}</nav><article><p>{note}<p>{words(rng, 30)}</article>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "row", "content", "start", "roles")})
     got = html_extract.main_texts(df).collect()
     assert len(got) == len(rows)
     text = {r["page_id"]: r["text"] for r in got}
-    assert all(text[i] == re.findall("<p>(.*?)</p>", rows[i][2])[1] for i in range(5))
+    for i in range(5):
+        assert text[i].split("\n") == re.findall("<p>(.*?)</p>", rows[i][2])[1:]
     assert text[9] == note and text[10] == "" and text[None] == "x"
+    assert text[20] == "print view\n" + text[0]
+    assert text[21] == "\n".join(rows[10][2].split("<p>")[1:])
+    assert all(text[30 + i].startswith(note) for i in range(2)) and {r["n_removed"] for r in got if (r["page_id"] or 0) >= 30} == {20}
     assert html_extract.main_texts(df.filter("false")).count() == 0
 
 

@@ -303,14 +303,38 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.cut_repeats(docs(spark, [])).count() == 0
 
 
-def test_suffix_dedup_repeated_rows_and_long_texts(spark, monkeypatch):
+def test_suffix_dedup_repeated_rows(spark):
     rng = random.Random(10)
-    text = words(rng, 100)
-    got = suffix_dedup.cut_repeats(docs(spark, [text, text], [1, 1])).collect()
-    assert [bytes(r["kept"]) for r in got] == [b"", b""]
+    text = words(rng, 400)
+    table = docs(spark, [text] * 60 + [words(rng, 100)], [1] * 60 + [2])
+    rows = suffix_dedup.keyed(table, "doc_id", "text")
+    contexts = suffix_dedup.contexts(np.frombuffer(text.encode(), np.uint8))
+    assert suffix_dedup.shared_contexts(rows).count() == 60 * len(contexts[0])  # not the square of 60
+    got = suffix_dedup.cut_repeats(table).collect()
+    assert sorted(len(r["kept"]) for r in got)[:60] == [0] * 60 and len(got) == 61
+
+
+def test_suffix_dedup_of_texts_over_a_piece(spark):
+    rng = random.Random(29)
     data = np.frombuffer(words(rng, 3000).encode(), np.uint8)
-    whole = suffix_dedup.contexts(data)
-    assert whole[3].sum() == len(data) - 199
+    assert suffix_dedup.contexts(data)[3].sum() == len(data) - 199
+    piece = suffix_dedup.PIECE
+    passage = words(rng, 200, 10**6)[:900]
+    filler = words(rng, 300_000, 10**7)
+    texts = [filler[: piece - 400] + passage + filler[piece : 2 * piece + 300], words(rng, 50, 10**6) + passage, words(rng, 50, 10**6)]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in suffix_dedup.cut_repeats(docs(spark, texts)).collect()}
+    start = len(texts[1]) - 900
+    assert got == {0: [(piece - 400, piece + 500)], 1: [(start, start + 900)], 2: []}
+
+
+def test_suffix_dedup_splits_heavy_anchors(spark, monkeypatch):
+    rng = random.Random(30)
+    line = words(rng, 60, 10**6)[:240]
+    texts = [f"{words(rng, 60)}\n{line}\n{words(rng, 60)}" for _ in range(40)] + [words(rng, 100) for _ in range(3)]
+    texts += [texts[0][50:], texts[1]]
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 5)
+    got = {r["doc_id"]: (bytes(r["kept"]), [tuple(s) for s in r["spans"]]) for r in suffix_dedup.cut_repeats(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_cut(texts, 200)
 
 
 def test_column_order_flags_common_prefixes():

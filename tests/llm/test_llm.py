@@ -362,7 +362,7 @@ def test_toxicity(spark):
     marks = [int(i % 5 == 0) for i in range(600)]
     texts = [text(m) for m in marks] + ODD
     table = docs(spark, texts)
-    labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks[:400])] + [(3, 0), (7, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, 1 - i % 2, m) for i, m in enumerate(marks[:400])] + [(3, None, 0), (7, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     chain = toxicity.fit(table, labels)
     got = {r["doc_id"]: r for r in toxicity.score(table, chain).collect()}
     held_out = [got[i]["toxic"] == bool(marks[i]) for i in range(400, 600)]
@@ -374,14 +374,37 @@ def test_toxicity(spark):
     assert not any(r["toxic"] for r in toxicity.score(table, toxicity.fit(table, labels.filter("false"))).collect())
 
 
+def test_batches_score_like_single_terms(spark):
+    """The batch scores against the chain worked out term by term."""
+    rng = random.Random(31)
+    index = {"w:bad": 0, "s:nast": 1, "w:nasty": 2, "w:fine": 3}
+    weights = [np.array([0.5, 1.0, -0.25, -2.0, 0.1]), np.array([1.5, 0.5, 0.75, -1.0, 2.0, -0.5])]
+    chain = toxicity.Chain(index, weights, 0.5)
+    texts = [" ".join(rng.choice(["bad", "Nasty", "nastier", "fine", "other", "12"]) for _ in range(rng.randrange(0, 30))) for _ in range(600)] + ODD
+    for text, got in zip(texts, chain.probabilities([t or "" for t in texts]), strict=True):
+        own, p = re.findall(r"[^\W\d_]+", (text or "").lower()), []
+        n = [own.count("bad"), sum(w.startswith("nast") for w in own), own.count("nasty"), own.count("fine")]
+        for w in weights:
+            z = sum(a * math.log1p(b) for a, b in zip(w, n, strict=False)) + sum(a * b for a, b in zip(w[4:], p, strict=False)) + w[-1]
+            p.append(1 / (1 + math.exp(-z)) if own else 0.0)
+        assert got.tolist() == pytest.approx(p)
+
+
 def test_chain_uses_out_of_fold_predictions():
     rng = np.random.default_rng(12)
     x = rng.normal(size=(400, 3))
-    y = {"severe": (x[:, 0] > 1).astype(int), "abusive": (x[:, 0] > 0.5).astype(int), "toxic": (x[:, 0] > 0).astype(int)}
-    weights, out = toxicity.fit_chain(x, y, np.arange(400) % 5)
+    y = [(x[:, 0] > cut).astype(float) for cut in (1, 0.5, 0)]
+    y[0][:50] = np.nan
+    every = [np.arange(3)] * (toxicity.FOLDS + 1)
+    weights, out = toxicity.fit_chain(x, y, np.arange(400) % 5, every)
     assert [len(w) for w in weights] == [4, 5, 6]
-    cut = toxicity.best_threshold(out, y["toxic"])
-    assert 0 < cut < 1 and np.mean((out > cut) == y["toxic"]) > 0.95
+    cut = toxicity.best_threshold(out, y[2])
+    assert 0 < cut < 1 and np.mean((out > cut) == y[2]) > 0.95
+    # A fold's terms are not those of its own labels: here only fold 0 may use the first column.
+    picked = [np.arange(3), *[np.arange(1, 3)] * toxicity.FOLDS]
+    _, out = toxicity.fit_chain(x, y[2:], np.arange(400) % 5, picked)
+    right = (out > 0.5) == y[2]
+    assert right[::5].mean() > 0.9 > right[np.arange(400) % 5 > 0].mean()
 
 
 # BagMinHash

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.ordering import ranked
+
 from quillstone.functions.labels import STAGE_PROGRESS, STAGES, lookup
 
 
@@ -77,5 +79,14 @@ def rate_windows(events: DataFrame, tenant: str, width: str, limit: int) -> Data
 
 
 def first_of(actions: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """Actions with their number among equals; all but number 1 are duplicates."""
-    return actions.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """Actions with their number (nth) among equals; all but number 1 are duplicates.
+
+    Only actions that have an equal are put in order, and in ranges: an action repeated
+    without end is no one task's work.
+    """
+    several = actions.groupBy(*[F.col(k).alias(f"of_{k}") for k in keys]).agg(F.count("*").alias("n_equal")).filter("n_equal > 1")
+    same = F.expr(" AND ".join(f"{k} <=> of_{k}" for k in keys))
+    marked = actions.join(several, same, "left").drop(*[f"of_{k}" for k in keys])
+    repeated = ranked(marked.filter("n_equal > 1").withColumn("group_key", F.struct(*keys)), "group_key", list(order), F.lit(1), "nth")
+    single = marked.filter("n_equal IS NULL").withColumn("nth", F.lit(1).cast("long"))
+    return single.drop("n_equal").unionByName(repeated.withColumn("nth", F.col("nth") + 1).drop("n_equal", "group_key"))

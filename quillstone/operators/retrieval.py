@@ -3,61 +3,62 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that go to the executors together: at most this many, whatever the input.
+from quillstone.sources.workspace import materialise
+
+#: Queries and vectors compared together, about.
 QUERY_BLOCK = 1024
+VECTOR_BLOCK = 4096
 RANKED = "query long, id long, similarity double"
 
 
-def block_topk(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """The k nearest per query and task of one block of queries; the rest is ranked later."""
-    ids = np.array([i for i, _ in queries], np.int64)
-    block = np.array([v for _, v in queries], np.float64)
-    block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query, id, similarity (9 decimals), rank: exact cosine neighbours of a stated query set.
+
+    Both have (id, vector).  Queries and vectors are packed into blocks of about
+    ``QUERY_BLOCK`` and ``VECTOR_BLOCK`` rows by a hash of their ids, and every query block
+    meets every vector block once, in any task; of each such pair k rows per query go on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s, best_i = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
         for batch in batches:
-            batch = batch.filter(pa.compute.is_valid(batch.column(1)))
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = np.round(block @ x.T, 9)
-            s[ids[:, None] == own[None, :]] = -3.0  # a query is no answer to itself
-            s, i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(own, s.shape)])
-            order = np.lexsort((i, -s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        keep = best_s > -3.0
-        rows = np.broadcast_to(ids[:, None], best_s.shape)[keep], best_i[keep], best_s[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["query", "id", "similarity"])
-
-    return vectors.mapInArrow(run, RANKED)
+            for asked, own in zip(batch.column(0), batch.column(1), strict=True):
+                yield nearest_in_block(*unpacked(asked), *unpacked(own), k)
 
+    pairs = packed(vectors, VECTOR_BLOCK, "own").crossJoin(packed(queries, QUERY_BLOCK, "asked")).select("asked", "own")
+    return top(pairs.mapInArrow(run, RANKED), "similarity", k)
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, id, similarity (9 decimals), rank: exact cosine neighbours of a stated query set.
 
-    Both have (id, vector).  Queries go through in blocks of fixed size, each one scan of
-    the vectors; a task sends k rows per query, so the shuffle is small.
-    """
-    parts, block = [], []
-    for row in queries.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == QUERY_BLOCK:
-            parts.append(block_topk(vectors, block, k))
-            block = []
-    if block or not parts:
-        parts.append(block_topk(vectors, block, k) if block else vectors.sparkSession.createDataFrame([], RANKED))
-    found = reduce(DataFrame.unionByName, parts)
-    return top(found, "similarity", k)
+def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows (id, vector) without null vectors in blocks of about ``size``: one array column."""
+    rows = rows.filter("vector IS NOT NULL").select("id", "vector")
+    blocks = max(1, -(-rows.count() // size))
+    dealt = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    return dealt.agg(F.collect_list(F.struct("id", "vector")).alias(name)).select(name)
+
+
+def unpacked(block: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a block."""
+    rows = block.values
+    ids = rows.field("id").to_numpy(zero_copy_only=False)
+    x = rows.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+    return ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def nearest_in_block(ids: np.ndarray, block: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k nearest vectors of a block per query of a block, ties by id."""
+    s = np.round(block @ x.T, 9)
+    s[ids[:, None] == own[None, :]] = -3.0  # a query is no answer to itself
+    order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+    best, found = np.take_along_axis(s, order, 1), own[order]
+    keep = best > -3.0
+    rows = np.broadcast_to(ids[:, None], best.shape)[keep], found[keep], best[keep]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["query", "id", "similarity"])
 
 
 def top(scored: DataFrame, score: str, k: int) -> DataFrame:
@@ -81,14 +82,16 @@ def idf(postings: DataFrame, n_docs: int) -> DataFrame:
 def bm25(texts: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query, id, score of every text that shares a term with a query.
 
-    The queries' terms cut the postings before anything is shuffled by term.
+    One scan counts the texts' words; of them only the queries' terms are exploded, so
+    nothing else is shuffled.
     """
-    postings = terms(texts, "id")
-    lengths = texts.select("id", F.size(F.filter(F.split(F.lower("text"), "[ \n]+"), lambda w: w != "")).alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
     wanted = terms(queries, "id").select(F.col("id").alias("query"), "term")
-    weighted = idf(postings.join(wanted.select("term").distinct(), "term", "left_semi"), stats["n"])
-    matched = postings.join(wanted, "term").join(weighted, "term").join(lengths, "id")
+    words = F.filter(F.split(F.lower("text"), "[ \n]+"), lambda w: w != "")
+    counted = texts.select("id", words.alias("words")).withColumn("len", F.size("words"))
+    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    each = counted.select("id", "len", F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    postings = materialise(each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
+    matched = postings.join(wanted, "term").join(idf(postings, stats["n"]), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(stats["mean"])))
     return matched.groupBy("query", "id").agg(F.round(F.sum(part), 6).alias("score"))
 

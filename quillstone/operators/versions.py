@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,46 +44,47 @@ def set_null(child: DataFrame, fk: str, gone: DataFrame, key: str) -> DataFrame:
     return marked.withColumn(fk, F.when(F.col("__gone").isNull(), F.col(fk))).drop("__gone")
 
 
-def longest_common(a: list[str], b: list[str]) -> np.ndarray:
-    """table[i, j]: length of the longest common subsequence of a[i:] and b[j:]."""
+def matched(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of each side belong to the longest common subsequence.
+
+    Row by row from the end, one bit is kept for each pair of places: whether passing the
+    left token keeps at least as much in common as passing the right one.  So memory is
+    an eighth of a byte a pair, and of equal choices a deletion comes first.
+    """
     known: dict[str, int] = {}
     x, y = (np.array([known.setdefault(t, len(known)) for t in s], dtype=np.int64) for s in (a, b))
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    kept = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    below, bits = np.zeros(len(y) + 1, np.int32), [b""] * len(x)
     for i in range(len(x) - 1, -1, -1):
-        row = table[i + 1].copy()
-        row[:-1] = np.maximum(row[:-1], np.where(y == x[i], table[i + 1, 1:] + 1, 0))
+        row = below.copy()
+        row[:-1] = np.maximum(row[:-1], np.where(y == x[i], below[1:] + 1, 0))
         # A row falls from left to right, so its maxima from the right complete it.
-        table[i] = np.maximum.accumulate(row[::-1])[::-1]
-    return table
-
-
-def word_diff(before: str, after: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """(text, kind) segments of both sides; kinds same, del, add.  White-space runs are
-    tokens, so each side's segments give it back; of equal choices a deletion comes first."""
-    a, b = TOKEN.findall(before or ""), TOKEN.findall(after or "")
-    table = longest_common(a, b)
-    sides: tuple[list, list] = ([], [])
-
-    def put(side: int, text: str, kind: str) -> None:
-        own = sides[side]
-        if own and own[-1][1] == kind:
-            own[-1] = (own[-1][0] + text, kind)
-        else:
-            own.append((text, kind))
-
+        row = np.maximum.accumulate(row[::-1])[::-1]
+        bits[i] = np.packbits(below[:-1] >= row[1:]).tobytes()
+        below = row
     i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            put(0, a[i], "same")
-            put(1, b[j], "same")
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            kept[0][i] = kept[1][j] = True
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and table[i + 1, j] >= table[i, j + 1]):
-            put(0, a[i], "del")
+        elif bits[i][j >> 3] >> (7 - (j & 7)) & 1:
             i += 1
         else:
-            put(1, b[j], "add")
             j += 1
-    return sides
+    return kept
+
+
+def word_diff(before: str, after: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(text, kind) segments of both sides; kinds same, del, add.  White-space runs are
+    tokens, so each side's segments give it back."""
+    tokens = TOKEN.findall(before or ""), TOKEN.findall(after or "")
+
+    def segments(own: list[str], kept: np.ndarray, kind: str) -> list[tuple[str, str]]:
+        edges = [0, *(np.flatnonzero(np.diff(kept)) + 1).tolist(), len(own)]
+        return [("".join(own[at:end]), "same" if kept[at] else kind) for at, end in pairwise(edges) if at < end]
+
+    left, right = matched(*tokens)
+    return segments(tokens[0], left, "del"), segments(tokens[1], right, "add")
 
 
 SEGMENT = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.string())]))

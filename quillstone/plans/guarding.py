@@ -58,7 +58,7 @@ def redact_fields(spark, sf_dir) -> DataFrame:
     return rows.select("event_id", F.col("m")["API_Token"].alias("api_token"), F.col("m")["kind"].alias("kind"))
 
 
-@query()
+@query("""SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' AS props FROM events""")
 def redact_props(spark, sf_dir) -> DataFrame:
     props = F.from_json("props", "map<string,string>")
     return table(spark, sf_dir, "events").select("event_id", F.to_json(guardrails.redact(props)).alias("props"))

@@ -40,10 +40,16 @@ def clause_chunks(spark, sf_dir) -> DataFrame:
 PLANTED = "1 Term\nTwo years.\n1.1 Renewal\nBy notice.\n2 Fees\nNet 30."
 
 
-@query("SELECT * FROM (VALUES (-1, 1, '1', NULL, NULL), (-1, 2, '1.1', '1', '1 Term' || chr(10) || 'Two years.'), (-1, 3, '2', NULL, NULL)) t(doc_id, chunk_no, heading, parent, parent_text)")
+@query(
+    f"""{CHUNKS.replace("FROM documents", "FROM d").replace("WITH l", "WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, '" + PLANTED.replace(chr(10), "' || chr(10) || '") + "'), l")},
+    k AS (SELECT doc_id, chunk_no, max(heading) AS heading, string_agg(line, chr(10) ORDER BY pos) AS text FROM c GROUP BY 1, 2),
+    p AS (SELECT *, CASE WHEN contains(heading, '.') THEN regexp_replace(heading, '[.][0-9]+$', '') END AS parent FROM k)
+    SELECT p.doc_id, p.chunk_no, p.heading, p.parent, u.text AS parent_text FROM p LEFT JOIN p u ON u.doc_id = p.doc_id AND u.heading = p.parent"""
+)
 def chunk_parent_child(spark, sf_dir) -> DataFrame:
-    """No document has numbered headings, so this one is planted."""
-    chunks = text.clause_chunks(spark.createDataFrame([(-1, PLANTED)], "doc_id bigint, text string"), "doc_id")
+    """Every document's chunks; no document has numbered headings, so one is planted beside them."""
+    planted = spark.createDataFrame([(-1, PLANTED)], "doc_id bigint, text string")
+    chunks = text.clause_chunks(table(spark, sf_dir, "documents").select("doc_id", "text").union(planted), "doc_id")
     return text.with_parent_text(chunks, "doc_id").select("doc_id", "chunk_no", "heading", "parent", "parent_text")
 
 

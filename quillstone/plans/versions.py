@@ -85,12 +85,10 @@ def set_null(spark, sf_dir) -> DataFrame:
     return v.set_null(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", gone, "c_custkey")
 
 
-COMPARED = f"""WITH n AS (SELECT o_custkey, o_orderkey, version_number, max(version_number) OVER (PARTITION BY o_custkey) AS last FROM {NUMBERED}),
-    c AS (SELECT l_orderkey, l_returnflag || l_linestatus AS topic, round(sum(l_quantity), 2) AS value FROM lineitem GROUP BY 1, 2),
-    x AS (SELECT o_custkey AS doc, topic, value FROM n JOIN c ON o_orderkey = l_orderkey WHERE version_number = last - 1),
-    y AS (SELECT o_custkey AS doc, topic, value FROM n JOIN c ON o_orderkey = l_orderkey WHERE version_number = last AND last > 1),
-    d AS (SELECT doc, topic, x.value AS left_value, y.value AS right_value, CASE WHEN x.value IS NULL OR y.value IS NULL THEN 'missing' WHEN x.value = y.value THEN 'same' ELSE 'changed' END AS diff
-    FROM x FULL JOIN y USING (doc, topic))"""
+COMPARED = f"""WITH n AS MATERIALIZED (SELECT o_custkey, o_orderkey, version_number = last AS is_last FROM (SELECT *, max(version_number) OVER (PARTITION BY o_custkey) AS last FROM {NUMBERED}) WHERE last > 1 AND version_number >= last - 1),
+    c AS MATERIALIZED (SELECT l_orderkey, l_returnflag || l_linestatus AS topic, round(sum(l_quantity), 2) AS value FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM n) GROUP BY 1, 2),
+    x AS (SELECT o_custkey AS doc, topic, max(value) FILTER (NOT is_last) AS left_value, max(value) FILTER (is_last) AS right_value FROM n JOIN c ON o_orderkey = l_orderkey GROUP BY 1, 2),
+    d AS (SELECT *, CASE WHEN left_value IS NULL OR right_value IS NULL THEN 'missing' WHEN left_value = right_value THEN 'same' ELSE 'changed' END AS diff FROM x)"""
 
 
 def compared(spark, sf_dir) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from quillstone.functions.labels import STAGE_PROGRESS, STAGES
 from quillstone.sources.tables import SCHEMAS
-from quillstone.sources.workspace import fresh_path
+from quillstone.sources.workspace import fresh_path, settings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,8 +23,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(SCHEMAS["events"]).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
-    """Run what is there through the stream and read the last state of its result."""
+def run_to_table(stream: DataFrame, mode: str, numbered: bool = False) -> DataFrame:
+    """Run what is there through the stream and read the last state of its result;
+    ``numbered`` adds the batch of each row where batches are added."""
     spark, out = stream.sparkSession, fresh_path(stream.sparkSession, "stream-result")
 
     def publish(batch: DataFrame, number: int) -> None:
@@ -33,7 +34,7 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", fresh_path(spark, "stream-checkpoint")).trigger(availableNow=True).foreachBatch(publish).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())]) if numbered else stream.schema).parquet(out)
 
 
 def stage_counts(events: DataFrame) -> DataFrame:
@@ -45,16 +46,22 @@ STATE = StructType([StructField("stage", StringType()), StructField("progress",
 OUTPUT = StructType([StructField("job", LongType()), *STATE.fields])
 
 
+
 class JobMachine(StatefulProcessor):
-    """Per job: events (seq, stage, phase) move the state; every batch emits the new state."""
+    """Per job: events (seq, stage, phase, by ts if they have it) move the state; every
+    batch emits the new state.  A state that no event touches for ``hours`` goes."""
+
+    def __init__(self, hours: int | None = None):
+        self.hours = hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", STATE)
+        self.state = handle.getValueState("job", STATE, self.hours and self.hours * 3_600_000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         stage, progress, attempts, status = self.state.get() if self.state.exists() else (None, 0, 0, "PENDING")
-        for batch in rows:
-            for r in batch.sort_values("seq").itertuples():
+        # A key's rows of one trigger may come in several batches.
+        for batch in [pd.concat(rows)]:
+            for r in batch.sort_values([c for c in ("ts", "seq") if c in batch]).itertuples():
                 if r.phase == "start":
                     attempts += r.stage == STAGES[0]
                     stage, status = r.stage, "RUNNING"
@@ -71,6 +78,19 @@ class JobMachine(StatefulProcessor):
         pass
 
 
-def job_stream(log: DataFrame) -> DataFrame:
-    """The state machine over a stream of (job, seq, stage, phase); needs RocksDB state."""
-    return log.groupBy("job").transformWithStateInPandas(statefulProcessor=JobMachine(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+def job_stream(log: DataFrame, hours: int | None = None) -> DataFrame:
+    """The state machine over a stream of (job, seq, stage, phase); needs RocksDB state.
+
+    With ``hours`` (24 in a service) states expire by processing time.  Such a stream is
+    for a trigger that goes on: over what is there it would wait for expiries without end.
+    """
+    mode = "ProcessingTime" if hours else "None"
+    return log.groupBy("job").transformWithStateInPandas(statefulProcessor=JobMachine(hours), outputStructType=OUTPUT, outputMode="Update", timeMode=mode)
+
+
+def latest_states(states: DataFrame) -> DataFrame:
+    """Run what is there through the state machine; the last state of each job."""
+    spark = states.sparkSession
+    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+        found = run_to_table(states, "update", numbered=True)
+    return found.groupBy("job").agg(F.max_by(F.struct(*STATE.fieldNames()), "batch").alias("s")).select("job", "s.*")

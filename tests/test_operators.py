@@ -135,3 +135,71 @@ def test_job_stream_matches_batch(spark, tmp_path):
     stream = spark.readStream.schema("job long, seq long, stage string, phase string").parquet(f"{tmp_path}/log")
     got = {r["job"]: r for r in jobs.run_to_table(jobs.job_stream(stream), "update").collect()}
     assert (got[1]["status"], got[1]["progress"], got[2]["status"], got[2]["attempts"]) == ("RUNNING", 25, "FAILED", 1)
+
+
+def test_word_diff_against_brute_force():
+    """The longest common subsequence, deletions first, on random token lists."""
+    import functools
+    import random
+
+    rng = random.Random(5)
+    for _ in range(150):
+        a, b = ("".join(rng.choice(["a", "b", "c", "d"]) + rng.choice([" ", "  "]) for _ in range(rng.randrange(9))) for _ in range(2))
+        x, y = versions.TOKEN.findall(a), versions.TOKEN.findall(b)
+
+        @functools.cache
+        def common(i, j, x=x, y=y):
+            if i == len(x) or j == len(y):
+                return 0
+            return 1 + common(i + 1, j + 1) if x[i] == y[j] else max(common(i + 1, j), common(i, j + 1))
+
+        want, i, j = ([], []), 0, 0
+        while i < len(x) or j < len(y):
+            if i < len(x) and j < len(y) and x[i] == y[j]:
+                want[0].append((x[i], "same"))
+                want[1].append((y[j], "same"))
+                i, j = i + 1, j + 1
+            elif j == len(y) or (i < len(x) and common(i + 1, j) >= common(i, j + 1)):
+                want[0].append((x[i], "del"))
+                i += 1
+            else:
+                want[1].append((y[j], "add"))
+                j += 1
+        for got, own in zip(versions.word_diff(a, b), want, strict=True):
+            flat = [(t, kind) for text, kind in got for t in versions.TOKEN.findall(text)]
+            assert [k for _, k in flat] == [k for _, k in own] and "".join(t for t, _ in flat) == "".join(t for t, _ in own)
+            assert all(p[1] != q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+def test_half_even_rounds_the_binary_number(spark):
+    from quillstone.operators.service import half_even
+
+    values = [2.675, 0.125, 0.375, -0.125, 1.005, 2.5, 0.0, 1e9 + 0.125, 99.995, 6.55, 0.015, 123456.785]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", half_even(F.col("v")).alias("r")).collect()
+    assert {r["v"]: r["r"] for r in rows} == {v: round(v, 2) for v in values}
+
+
+def test_nth_of_a_hot_group(spark):
+    rows = spark.range(2000).selectExpr("id", "IF(id % 2 = 0, 'hot', IF(id % 5 = 0, CAST(NULL AS STRING), CAST(id AS STRING))) AS k")
+    got = {r["id"]: r["nth"] for r in ingest.first_of(rows, ["k"], "id").collect()}
+    assert len(got) == 2000 and all(got[i] == i // 2 + 1 for i in range(0, 2000, 2))
+    nulls = [i for i in range(1, 2000, 2) if i % 5 == 0]
+    assert [got[i] for i in nulls] == list(range(1, len(nulls) + 1)) and got[1] == 1
+
+
+def test_state_machine_expires(spark, tmp_path):
+    """With hours the state has a time to live; a trigger that goes on is stopped by its user."""
+    from quillstone.sources.workspace import settings
+    from quillstone.streaming import jobs
+
+    schema = "job long, seq long, stage string, phase string"
+    spark.createDataFrame([(1, 0, "parse", "start")], schema).write.parquet(f"{tmp_path}/log")
+    stream = jobs.job_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/log"), hours=24)
+    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": jobs.ROCKSDB}):
+        query = stream.writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", f"{tmp_path}/c").start()
+        try:
+            while not spark.table("states").count():
+                assert query.isActive or not query.exception()
+        finally:
+            query.stop()
+    assert spark.table("states").first()["status"] == "RUNNING"

@@ -56,9 +56,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from quillstone.llm.components import components
-from quillstone.llm.exact_dedup import BLOOM, settings
+from quillstone.llm.exact_dedup import BLOOM
 from quillstone.llm.rows import as_batch, free_names, map_rows
-from quillstone.sources.workspace import materialise
+from quillstone.sources.workspace import materialise, settings
 
 WORDS = 5
 BANDS, ROWS = 24, 5

@@ -21,13 +21,15 @@ any other.  An empty table gives an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quillstone.sources.workspace import fresh_path, materialise
+from quillstone.llm.rows import free_names
+from quillstone.sources.workspace import fresh_path, materialise, settings
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOG_SCHEMA = "doc_id bigint, file string, row bigint, loc bigint, digest string"
@@ -54,22 +56,19 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    """Session settings for the jobs started inside, put back after."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def place(docs: DataFrame) -> tuple[Column, Column]:
+    """File and row of a table read from files, also where a column is called _metadata."""
+    hidden = docs.metadataColumn("_metadata")
+    return hidden["file_path"], hidden["row_index"]
+
+
+def two_columns(docs: DataFrame, id_col: str, text_col: str) -> StructType:
+    return StructType([docs.schema[c] for c in dict.fromkeys((id_col, text_col))])
 
 
 def located(docs: DataFrame, id_col: str) -> DataFrame:
     """``docs`` with file, row and a 64-bit hash of both; batch or stream over files."""
-    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    file, row = place(docs)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), "norm", file.alias("file"), row.alias("row"), F.xxhash64(file, row).alias("loc")
     )
@@ -78,7 +77,8 @@ def located(docs: DataFrame, id_col: str) -> DataFrame:
 def digest_log(spark: SparkSession, path: str, schema, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> str:
     """Stream the Parquet documents at ``path`` into a log of digests; returns the log's path."""
     # A pattern, as the stream source takes a folder or a pattern but not one file's path.
-    pattern = f"{path[:-1]}[{path[-1]}]"
+    plain = re.sub(r"([\\{}\[\]*?])", r"\\\1", path.rstrip("/"))
+    pattern = f"{plain[:-1]}[{plain[-1]}]"
     stream = spark.readStream.schema(schema).parquet(pattern).withColumn("norm", fold_ascii(F.col(text_col)))
     rows = located(stream, id_col).withColumn("digest", digest(F.col("norm"))).drop("norm")
     out = fresh_path(spark, "digest-log")
@@ -152,7 +152,8 @@ def dedup_exact(
 
     ``digest`` maps a normalised text to a string; a weak one costs time, not rightness.
     """
-    docs = spark.read.parquet(path)
+    whole = spark.read.parquet(path)
+    docs = spark.read.schema(two_columns(whole, id_col, text_col)).parquet(path)
     log_path = digest_log(spark, path, docs.schema, id_col, text_col, digest)
     log = spark.read.schema(LOG_SCHEMA).parquet(log_path)
     state = dedup_state(spark, log_path)
@@ -184,8 +185,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     path = fresh_path(spark, "dedup-input")
     docs.write.parquet(path)
     dropped = dedup_exact(spark, path, id_col, text_col).filter(~F.col("kept"))
-    dropped = dropped.select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    file, row = F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row")
-    rows = spark.read.schema(docs.schema).parquet(path).select("*", file, row)
-    keys = F.expr("__at_file = __file AND __at_row = __row")
-    return rows.join(dropped, keys, "left_anti").drop("__at_file", "__at_row")
+    file, row, at_file, at_row = free_names(docs, "file", "row", "at_file", "at_row")
+    dropped = dropped.select(F.col("file").alias(file), F.col("row").alias(row))
+    rows = spark.read.schema(docs.schema).parquet(path)
+    own_file, own_row = place(rows)
+    rows = rows.select("*", own_file.alias(at_file), own_row.alias(at_row))
+    return rows.join(dropped, F.expr(f"`{at_file}` = `{file}` AND `{at_row}` = `{row}`"), "left_anti").drop(at_file, at_row)

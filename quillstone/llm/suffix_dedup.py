@@ -45,9 +45,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from quillstone.llm.exact_dedup import BLOOM, settings
+from quillstone.llm.exact_dedup import BLOOM
 from quillstone.llm.rows import as_batch, map_rows
-from quillstone.sources.workspace import materialise
+from quillstone.sources.workspace import materialise, settings
 
 LENGTH = 200
 GRAM = 32

@@ -55,6 +55,8 @@ def test_exact_dedup_edges(spark, tmp_path):
     assert [r["kept"] for r in rows if r["group_size"] == 1] == [True]
     docs(spark, []).write.parquet(f"{tmp_path}/none")
     assert exact_dedup.dedup_exact(spark, f"{tmp_path}/none").count() == 0
+    odd = docs(spark, ["q", "Q", "r"]).withColumnsRenamed({"key": "_metadata", "ids": "__file", "spans": "__at_row"})
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(odd).collect()) == [1, 2] and exact_dedup.drop_copies(odd).columns == odd.columns
     kept = exact_dedup.drop_copies(docs(spark, ["q", "Q", "r"]))
     assert kept.columns == docs(spark, []).columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
 

@@ -1,7 +1,7 @@
 """Working tables in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset
-(tests, notebooks on one machine) is a temporary folder made and set.
+The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset and
+Spark runs on one machine (tests, notebooks) is a temporary folder made and set.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder, set on first use where the cluster names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -30,15 +32,21 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quillstone/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, replaces: DataFrame | None = None, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts lineage: a lost executor costs a reread, never a recomputation.
+    This cuts lineage: a lost executor costs a reread, never a recomputation.  In a loop
+    ``replaces`` names the round before, a result of this function that nothing but ``df``
+    still reads; its table goes once the new one is written.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.working_path = path
+    if replaces is not None and getattr(replaces, "__dict__", {}).get("working_path"):
+        delete(spark, replaces.working_path)
+    return found
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -110,6 +110,19 @@ def test_tables_and_images(spark):
     assert row["t"] == [[["A", "b c"], ["d"]]] and row["i"] == ["i.png"]
 
 
+def test_rounds_leave_one_table(spark):
+    import os
+
+    from quillstone.sources.workspace import materialise
+
+    now = materialise(spark.range(5), "round")
+    first = now.working_path.removeprefix("file://")
+    then = materialise(now.filter("id > 2"), "round", replaces=now)
+    assert not os.path.exists(first) and then.count() == 2
+    materialise(then, "round", replaces=spark.range(3))
+    assert then.count() == 2
+
+
 def test_object_store(spark, tmp_path):
     store = ObjectStore(spark, f"file://{tmp_path}")
     store.put("tenants/a/doc.pdf", b"%PDF-1")

@@ -304,13 +304,13 @@ def exact_pairs(apart: DataFrame, own: DataFrame, threshold: float) -> DataFrame
     return light.union(by_part).select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v"))
 
 
-def still_apart(entries: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Entries, with components, of the buckets that span several."""
+def still_apart(entries: DataFrame, found: DataFrame | None, before: DataFrame | None = None) -> DataFrame:
+    """Entries, with components, of the buckets that span several; ``before`` are those of the last turn."""
     if found is None:
         return entries.withColumn("component", F.col("node"))
     marked = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     buckets = marked.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
-    return materialise(marked.join(buckets.select("key"), "key"), "near-open")
+    return materialise(marked.join(buckets.select("key"), "key"), "near-open", replaces=before)
 
 
 def content_classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -343,9 +343,9 @@ def content_classes(docs: DataFrame, threshold: float, id_col: str, text_col: st
 
     turn, apart = 0, still_apart(entries, None)
     while link(centre_pairs(apart, tested, turn)):
-        turn, apart = turn + 1, still_apart(entries, found)
+        turn, apart = turn + 1, still_apart(entries, found, apart)
     if found is not None:
-        apart = still_apart(entries, found)
+        apart = still_apart(entries, found, apart)
     link(exact_pairs(apart, own, threshold))
 
     classes = nodes.select("content", "node", "least")

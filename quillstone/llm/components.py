@@ -40,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     while True:
-        now = materialise(star(star(now, large=True), large=False), "edges")
+        now = materialise(star(star(now, large=True), large=False), "edges", replaces=now)
         if is_forest_of_stars(now):
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())

@@ -114,7 +114,7 @@ def walk(nodes: DataFrame) -> DataFrame:
         ahead = now.select(F.col("el").alias("at"), F.col("next").alias("then"), F.col("size").alias("more"), F.col("level").alias("levels"), F.col("end").alias("last"))
         both = now.join(ahead, F.col("next") == F.col("at"), "left")
         added = [(F.col(x) + F.coalesce(y, F.lit(0))).alias(x) for x, y in (("size", "more"), ("level", "levels"))]
-        now = materialise(both.select("el", F.col("then").alias("next"), *added, F.coalesce("last", "end").alias("end")), "reply-walk")
+        now = materialise(both.select("el", F.col("then").alias("next"), *added, F.coalesce("last", "end").alias("end")), "reply-walk", replaces=now)
     # From an entrance to the end as many levels are left as were entered before it, and itself.
     return now.filter("el % 2 = 0").select((F.col("el") / 2).cast("long").alias("id"), ((F.col("end") - 1) / 2).cast("long").alias("root"), "size", (-F.col("level")).cast("long").alias("depth"))
 

@@ -21,12 +21,11 @@ HEADING = "^[0-9]+([.][0-9]+)* +[A-Z]"
 def risk_findings(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per (text, matching rule) with the excerpt as evidence.
 
-    Patterns are literals, so each is compiled once, and no row is copied per rule.
+    Patterns are literals, so each is compiled once; each is matched once, as no rule
+    matches an empty string; and no row is copied per rule.
     """
-    hits = [
-        F.when(F.col(text_col).rlike(p), F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.regexp_extract(text_col, p, 0).alias("evidence"))) for name, severity, p in RULES
-    ]
-    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    found = [F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.regexp_extract(text_col, p, 0).alias("evidence")) for name, severity, p in RULES]
+    found = F.filter(F.array(*found), lambda x: x["evidence"] != "")
     return texts.select("*", F.explode(found).alias("x")).drop(text_col).select("*", "x.*").drop("x")
 
 

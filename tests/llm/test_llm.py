@@ -779,6 +779,8 @@ def test_host_boilerplate(spark):
     rows += [(21, "http://h.example/q", f"<p>{words(rng, 40)} {rows[1][2].split('<p>')[2][:60]} {words(rng, 40)}<p>{words(rng, 60)}")]
     # Article pages: what they share stays, and the array sees what is left out.
     rows += [(30 + i, "http://a.example/", f"<nav>{note}</nav><article><p>{note}<p>{words(rng, 30)}</article>") for i in range(2)]
+    # The host is looked at because of a page without article; of a host without such pages nothing is asked.
+    rows += [(50, "http://a.example/", f"<p>{words(rng, 30)}"), (60, "http://b.example/", f"<article>{note}</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "row", "content", "start", "roles")})
     got = html_extract.main_texts(df).collect()
     assert len(got) == len(rows)
@@ -788,7 +790,8 @@ def test_host_boilerplate(spark):
     assert text[9] == note and text[10] == "" and text[None] == "x"
     assert text[20] == "print view\n" + text[0]
     assert text[21] == "\n".join(rows[10][2].split("<p>")[1:])
-    assert all(text[30 + i].startswith(note) for i in range(2)) and {r["n_removed"] for r in got if (r["page_id"] or 0) >= 30} == {20}
+    assert all(text[30 + i].startswith(note) for i in range(2)) and {r["n_removed"] for r in got if (r["page_id"] or 0) in (30, 31)} == {20}
+    assert text[60] == note and [r["n_removed"] for r in got if r["page_id"] == 60] == [None]
     assert html_extract.main_texts(df.filter("false")).count() == 0
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bagminhash, bpe, exact_dedup, html_extract, packing, quality_rules, quotation_linking, secret_scan, suffix_dedup, toxicity
+from quillstone.llm import bagminhash, bpe, exact_dedup, html_extract, packing, quality_rules, quotation_linking, secret_scan, spelling_variants, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(documents(spark, sf_dir))
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -86,6 +90,27 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+#: The table of CRC-32, byte by byte, and the checksum of a string in DuckDB.
+CRC_TABLE = """tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) x(i)))"""
+
+
+def crc32_sql(key: str) -> str:
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, 1 + octet_length(encode({key}))), lambda i: ('0x' || substr(hex(encode({key})), 2 * i - 1, 2))::BIGINT), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+OP13_SQL = f"""WITH RECURSIVE {CRC_TABLE},
+  r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+  d AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY 1, 2), h AS (SELECT run, n, {crc32_sql("doc_id || ':' || run")} AS h FROM d, tab WHERE length(run) >= 7),
+  w AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+  v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+  k AS MATERIALIZED (SELECT word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: word[:i - 1] || '*' || word[i + 1:])) AS hole, unnest(list_transform(range(1, length(word) + 1), lambda i: word[:i - 1] || word[i + 1:])) AS less FROM v),
+  p AS MATERIALIZED (SELECT a.word, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.hole = b.hole AND a.word <> b.word
+    UNION SELECT k.word, v.word, v.n FROM k JOIN v ON v.word = k.less UNION SELECT v.word, k.word, k.n FROM k JOIN v ON v.word = k.less),
+  q AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS k FROM p),
+  f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM v LEFT JOIN q ON q.word = v.word AND k = 1),
+  s AS (SELECT word, word AS root FROM f UNION SELECT s.word, f.form FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.word = f.word JOIN f e ON e.word = s.root WHERE e.form IS NULL"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -99,8 +124,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quotation_linking": op9_quotation_linking,
         "op10_html_extract": op10_html_extract,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op13_spelling_variants": OP13_SQL}

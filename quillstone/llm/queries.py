@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bagminhash, bpe, exact_dedup, html_extract, packing, quality_rules, quotation_linking, secret_scan, spelling_variants, suffix_dedup, toxicity
+from quillstone.llm import bagminhash, bpe, exact_dedup, html_extract, packing, pivot_index, quality_rules, quotation_linking, role_repair, secret_scan, spelling_variants, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,15 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = role_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return role_repair.repair_report(rows).select("conv_id", "gaps", *role_repair.COUNTS, "cost", "audit", "repaired_sha256")
+
+
+def op12_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(documents(spark, sf_dir))
 
@@ -98,6 +107,36 @@ def crc32_sql(key: str) -> str:
     return f"xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, 1 + octet_length(encode({key}))), lambda i: ('0x' || substr(hex(encode({key})), 2 * i - 1, 2))::BIGINT), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295)"
 
 
+OP11_SQL = f"""WITH RECURSIVE {CRC_TABLE},
+  o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d FROM conversations, tab),
+  g AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o WHERE d <> 0),
+  n AS (SELECT *, row_number() OVER w AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, role[1] AS i, lag(role[1]) OVER w AS before, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS e
+    FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+  f AS MATERIALIZED (SELECT *, CASE WHEN e = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN e NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n),
+  c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n_rows, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+  -- the grammar: from an item an edit of a turn with an initial, or any, to the next item
+  m(item, edit, initial, onward, put) AS (VALUES ('open', 'K', 's', 'said', ''), ('open', 'K', 'u', 'asked', ''), ('said', 'K', 'u', 'asked', ''), ('asked', 'K', 'a', 'answered', ''), ('answered', 'K', 'u', 'asked', ''),
+    ('open', 'R', NULL, 'asked', 'user'), ('said', 'R', NULL, 'asked', 'user'), ('asked', 'R', NULL, 'answered', 'assistant'), ('answered', 'R', NULL, 'asked', 'user'),
+    ('open', 'D', NULL, 'open', ''), ('said', 'D', NULL, 'said', ''), ('asked', 'D', NULL, 'asked', ''), ('answered', 'D', NULL, 'answered', '')),
+  x(item, ins, onward, put) AS (VALUES ('open', '', 'open', []), ('said', '', 'said', []), ('asked', '', 'asked', []), ('answered', '', 'answered', []), ('open', 'I', 'asked', ['user:']), ('said', 'I', 'asked', ['user:']), ('asked', 'I', 'answered', ['assistant:']), ('answered', 'I', 'asked', ['user:']),
+    ('open', 'II', 'answered', ['user:', 'assistant:']), ('said', 'II', 'answered', ['user:', 'assistant:'])),
+  -- the least (cost, audit) of each item before each turn, and the lines it has put out
+  s AS (SELECT c.conv_id, 1::BIGINT AS k, x.onward AS item, {{'cost': 3 * length(ins), 'audit': ins, 'lines': x.put}} AS best FROM c, x WHERE x.item = 'open'
+    UNION ALL SELECT s.conv_id, s.k + 1, x.onward, min({{'cost': best.cost + CASE edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END + 3 * length(ins), 'audit': best.audit || edit || ins,
+      'lines': best.lines || CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [m.put || ':' || text] END || x.put}})
+    FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.k = s.k JOIN m ON m.item = s.item AND (m.initial IS NULL OR m.initial = f.i) AND (m.edit = 'D' OR fault NOT IN ('blank', 'duplicate')) JOIN x ON x.item = m.onward GROUP BY 1, 2, 3),
+  z AS (SELECT s.conv_id, min(best) AS best FROM s JOIN c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND s.k = c.n_rows + 1 WHERE s.item IN ('open', 'answered') GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+  sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+OP12_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+  l AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+  c AS (SELECT vec_id, vec_id AS root FROM e UNION SELECT c.vec_id, l.w FROM c JOIN l ON l.u = c.root),
+  n AS (SELECT u, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, min(root) AS component_id, vec_id = min(root) AS kept FROM c LEFT JOIN n ON n.u = vec_id GROUP BY vec_id, n_links"""
+
 OP13_SQL = f"""WITH RECURSIVE {CRC_TABLE},
   r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
   d AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY 1, 2), h AS (SELECT run, n, {crc32_sql("doc_id || ':' || run")} AS h FROM d, tab WHERE length(run) >= 7),
@@ -124,9 +163,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quotation_linking": op9_quotation_linking,
         "op10_html_extract": op10_html_extract,
+        "op11_role_repair": op11_role_repair,
+        "op12_pivot_index": op12_pivot_index,
         "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op13_spelling_variants": OP13_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op11_role_repair": OP11_SQL, "op12_pivot_index": OP12_SQL, "op13_spelling_variants": OP13_SQL}

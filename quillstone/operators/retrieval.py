@@ -17,9 +17,11 @@ VECTOR_BLOCK = 4096
 RANKED = "query long, id long, similarity double"
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, same_ids: bool = True) -> DataFrame:
     """query, id, similarity (9 decimals), rank: exact cosine neighbours of a stated query set.
 
+    With ``same_ids`` a query's identifier is that of its own vector, which is no answer to it.
+
     Both have (id, vector).  Queries and vectors are packed into blocks of about
     ``QUERY_BLOCK`` and ``VECTOR_BLOCK`` rows by a hash of their ids, and every query block
     meets every vector block once, in any task; of each such pair k rows per query go on.
@@ -28,7 +30,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for asked, own in zip(batch.column(0), batch.column(1), strict=True):
-                yield nearest_in_block(*unpacked(asked), *unpacked(own), k)
+                yield nearest_in_block(*unpacked(asked), *unpacked(own), k, same_ids)
 
     pairs = packed(vectors, VECTOR_BLOCK, "own").crossJoin(packed(queries, QUERY_BLOCK, "asked")).select("asked", "own")
     return top(pairs.mapInArrow(run, RANKED), "similarity", k)
@@ -50,10 +52,11 @@ def unpacked(block: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def nearest_in_block(ids: np.ndarray, block: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
+def nearest_in_block(ids: np.ndarray, block: np.ndarray, own: np.ndarray, x: np.ndarray, k: int, same_ids: bool) -> pa.RecordBatch:
     """The k nearest vectors of a block per query of a block, ties by id."""
     s = np.round(block @ x.T, 9)
-    s[ids[:, None] == own[None, :]] = -3.0  # a query is no answer to itself
+    if same_ids:
+        s[ids[:, None] == own[None, :]] = -3.0
     order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
     best, found = np.take_along_axis(s, order, 1), own[order]
     keep = best > -3.0

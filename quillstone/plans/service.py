@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.labels import STAGES
-from quillstone.operators import retrieval, service, text
+from quillstone.operators import service, text
 from quillstone.plans.catalogue import query
 from quillstone.plans.ingestion import JOBS
-from quillstone.plans.retrieval import BM25, lexical, metric_sql, metrics, vectors
+from quillstone.plans.retrieval import metric_sql, metrics
 from quillstone.plans.tenancy import customers
 from quillstone.sources.tables import table
 from quillstone.streaming import jobs
@@ -103,24 +103,6 @@ def evaluation_runs(spark, sf_dir) -> DataFrame:
     return service.evaluation_runs(runs[0].union(runs[1]), RUN_METRICS).select("config", "dataset", "n_samples", F.explode("metrics").alias("metric", "mean"))
 
 
-@query(
-    f"""WITH {BM25}, s AS (SELECT b.item_id AS query, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity
-    FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e WHERE b.item_id % 100 = 0 AND q.vec_id <> e.vec_id),
-    dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM s) WHERE rank <= 24)
-    SELECT query, id, bm.rank AS lexical_rank, dn.rank AS dense_rank, round(coalesce(1.0 / (60 + bm.rank), 0) + coalesce(1.0 / (60 + dn.rank), 0), 9)::DOUBLE AS score FROM bm FULL JOIN dn USING (query, id)"""
-)
-def hybrid_search(spark, sf_dir) -> DataFrame:
-    """Fusion of two retrievers: BM25 over texts, cosine over vectors.  A vector belongs to
-    the document of its id, a question's vector to the question's id."""
-    asked = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("id"))
-    own = vectors(spark, sf_dir)
-    dense = retrieval.dense_topk(own, own.join(asked, "id", "left_semi"), 24)
-    words = lexical(spark, sf_dir)
-    both = words.select("query", "id", F.col("rank").cast("long").alias("lexical_rank")).join(dense.select("query", "id", F.col("rank").cast("long").alias("dense_rank")), ["query", "id"], "full_outer")
-    score = F.coalesce(1.0 / (60 + F.col("lexical_rank")), F.lit(0.0)) + F.coalesce(1.0 / (60 + F.col("dense_rank")), F.lit(0.0))
-    return both.withColumn("score", F.round(score, 9))
-
-
 @query(f"SELECT job, status, current_stage AS stage, progress, attempts FROM {JOBS}")
 def job_stream_state(spark, sf_dir) -> DataFrame:
     """The streaming state machine, run over the stage log that is there."""

@@ -113,9 +113,9 @@ def expanded(rows: list[tuple]) -> list[tuple[str, str | None, int]]:
     return out
 
 
-def predicted(turns: list[tuple], start: str = "open") -> list[set[str]]:
-    """The chart's sets: items reached before each turn and at the end, inserts followed."""
-    sets, now = [], {start}
+def predicted(turns: list[tuple], starts: tuple[str, ...]) -> list[set[str]]:
+    """The chart's sets: items reached from ``starts`` before each turn and at the end, inserts followed."""
+    sets, now = [], set(starts)
     for k in range(len(turns) + 1):
         agenda = list(now)
         while agenda:
@@ -175,7 +175,9 @@ def followed(turns: list[tuple], chart: list[dict], start: str) -> tuple[str, st
 
 
 def in_segments(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    return rows.select("conv_id", "segment", *columns).repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", *order)
+    """Rows dealt by segment; in as many tasks as the session shuffles to, as parsing is work that bytes do not tell."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("conv_id", "segment", *columns).repartition(tasks, "conv_id", "segment").sortWithinPartitions("conv_id", "segment", *order)
 
 
 def by_segment(rows: DataFrame, columns: list[str], out: pa.Schema, work) -> DataFrame:
@@ -204,8 +206,9 @@ WHOLE = -1
 def costed(rows: list[tuple]) -> dict:
     """A segment's faults, its outer role initials, and its costs from each item to each."""
     turns = expanded(rows)
-    sets = [predicted(turns, start) for start in ITEMS]
-    costs = [min(FAR, completed(turns, own, {i: 0 if i == end else FAR for i in ITEMS})[0][start][0]) for start, own in zip(ITEMS, sets, strict=True) for end in ITEMS]
+    sets = predicted(turns, ITEMS)
+    firsts = [completed(turns, sets, {i: 0 if i == end else FAR for i in ITEMS})[0] for end in ITEMS]
+    costs = [min(FAR, first[start][0]) for start in ITEMS for first in firsts]
     illegal = sum(times - 1 for *_, times in turns) + sum(a[0] + b[0] not in NEXT_TO for a, b in zip(turns, turns[1:], strict=False))
     counts = {c: sum(times for _, fault, times in turns if fault == c) for c in (BLANK, DUPLICATE, CUT)}
     return {"costs": costs, "first": turns[0][0] if turns else None, "last": turns[-1][0] if turns else None, "illegal": illegal} | counts
@@ -227,7 +230,8 @@ def audited(rows: list[tuple]) -> dict:
     """A segment's best audit from each item, given the costs behind it, and where it ends."""
     turns = expanded([r[:3] for r in rows])
     behind = dict(zip(ITEMS, rows[0][3], strict=True))
-    found = [followed(turns, completed(turns, predicted(turns, start), behind), start) for start in ITEMS]
+    chart = completed(turns, predicted(turns, ITEMS), behind)
+    found = [followed(turns, chart, start) for start in ITEMS]
     return {"audits": [audit for audit, _ in found], "ends": [end for _, end in found]}
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.operators import embedding, retrieval
+from quillstone.operators import embedding, evidence, retrieval
 from quillstone.plans.catalogue import query
 from quillstone.plans.retrieval import BM25, lexical, questions, texts
+from quillstone.sources.tables import table
 from quillstone.sources.workspace import materialise
 
 
@@ -53,3 +54,58 @@ def hybrid(spark, sf_dir) -> DataFrame:
     both = words.select("query", "id", F.col("rank").cast("long").alias("lexical_rank")).join(dense.select("query", "id", F.col("rank").cast("long").alias("dense_rank")), ["query", "id"], "full_outer")
     score = F.coalesce(1.0 / (60 + F.col("lexical_rank")), F.lit(0.0)) + F.coalesce(1.0 / (60 + F.col("dense_rank")), F.lit(0.0))
     return both.withColumn("score", F.round(score, 9))
+
+
+NEGATIONS = ", ".join(f"'{w}'" for w in evidence.NEGATIONS)
+
+
+def _claims_sql() -> str:
+    """j: one judged claim a row (conv_id, turn, claim_no, coverage, verdict)."""
+
+    def tokens(text: str) -> str:
+        return f"regexp_extract_all(lower({text}), '{evidence.TERM}')"
+
+    def sentences(text: str) -> str:
+        return f"list_filter(list_transform(regexp_extract_all({text}, '{evidence.SENTENCE}'), lambda s: trim(s)), lambda s: regexp_matches(s, '{evidence.TERM}'))"
+
+    return f"""en AS (SELECT doc_id AS chunk, text FROM documents WHERE lang = 'en'),
+  cs AS (SELECT conv_id, turn, text, (conv_id * 10 + turn) % 900 AS chunk FROM conversations WHERE role = 'assistant'),
+  ds AS (SELECT doc_id AS chunk, {sentences('d.text')} AS s FROM documents d WHERE doc_id IN (SELECT chunk FROM cs)),
+  an AS (SELECT conv_id, turn, cs.chunk, text || chr(10) || CASE WHEN conv_id % 3 = 0 THEN 'Not ' ELSE '' END || coalesce(s[1 + turn % len(s)], '') AS text FROM cs LEFT JOIN ds USING (chunk)),
+  se AS (SELECT *, {sentences('text')} AS s FROM an),
+  cl AS (SELECT conv_id, turn, chunk, unnest(range(len(s))) AS claim_no, unnest(s) AS claim FROM se),
+  wt AS (SELECT conv_id, turn, claim_no, chunk, len({tokens('claim')}) AS n, unnest(list_distinct({tokens('claim')})) AS term FROM cl),
+  dt AS (SELECT chunk, {tokens('text')} AS t FROM en), tf AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM dt) GROUP BY 1), nn AS (SELECT count(*) AS nd FROM en),
+  wg AS (SELECT wt.*, ln(1 + (nd - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS weight, regexp_matches(term, '[0-9]') OR term IN ({NEGATIONS}) AS must FROM wt LEFT JOIN tf USING (term), nn),
+  tt AS (SELECT conv_id, turn, claim_no, chunk, sum(weight) AS total, count(*) FILTER (must) AS musts, 2 * max(n) AS width, bool_or(term IN ({NEGATIONS})) AS negated FROM wg GROUP BY ALL),
+  ws AS (SELECT chunk, unnest(range(len(t))) AS pos, unnest(t) AS term FROM dt WHERE chunk IN (SELECT chunk FROM cl)),
+  hs AS MATERIALIZED (SELECT conv_id, turn, claim_no, chunk, pos, term, weight, must FROM ws JOIN wg USING (chunk, term)),
+  ng AS (SELECT conv_id, turn, claim_no, chunk, pos FROM ws JOIN tt USING (chunk) WHERE NOT negated AND term IN ({NEGATIONS})),
+  wn AS (SELECT a.conv_id, a.turn, a.claim_no, a.chunk, a.pos AS start, max(b.pos) AS last, count(DISTINCT b.term) FILTER (b.must) AS musts, list_sum(list_transform(list_distinct(list({{'t': b.term, 'w': b.weight}})), lambda x: x.w)) AS w
+    FROM hs a JOIN tt USING (conv_id, turn, claim_no, chunk) JOIN hs b ON b.conv_id = a.conv_id AND b.turn = a.turn AND b.claim_no = a.claim_no AND b.pos >= a.pos AND b.pos < a.pos + width GROUP BY ALL),
+  wi AS (SELECT wn.conv_id, wn.turn, wn.claim_no, round(w / total, 6) AS coverage, wn.musts = tt.musts AND NOT EXISTS (SELECT 1 FROM ng WHERE ng.conv_id = wn.conv_id AND ng.turn = wn.turn AND ng.claim_no = wn.claim_no AND ng.pos >= wn.start AND ng.pos < wn.last) AS fits FROM wn JOIN tt USING (conv_id, turn, claim_no, chunk)),
+  bw AS (SELECT conv_id, turn, claim_no, max(coverage) AS coverage, bool_or(coverage >= {evidence.SHARE} AND fits) AS ok FROM wi GROUP BY ALL),
+  j AS (SELECT cl.conv_id, cl.turn, cl.claim_no, coalesce(coverage, 0)::DOUBLE AS coverage, CASE WHEN chunk NOT IN (SELECT chunk FROM en) THEN 'INSUFFICIENT_EVIDENCE' WHEN coalesce(ok, false) THEN 'supported' ELSE 'unsupported' END AS verdict FROM cl LEFT JOIN bw USING (conv_id, turn, claim_no))"""
+
+
+def judged_claims(spark, sf_dir) -> DataFrame:
+    """Stand-in: an assistant turn cites one document (plans.retrieval) and ends by quoting a sentence of it,
+    turned round in every third conversation; English documents are the ones retrieved."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk"), "lang", "text")
+    said = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text", ((F.col("conv_id") * 10 + F.col("turn")) % 900).alias("chunk"))
+    s = evidence.sentences(F.col("quoted"))
+    quoted = docs.select("chunk", F.col("text").alias("quoted")).join(said.select("chunk").distinct(), "chunk", "left_semi").select("chunk", s.alias("s"))
+    quote = F.concat(F.when(F.col("conv_id") % 3 == 0, "Not ").otherwise(""), F.coalesce(F.try_element_at("s", (F.col("turn") % F.size("s") + 1).cast("int")), F.lit("")))
+    answers = said.join(quoted.filter(F.size("s") > 0), "chunk", "left").select("conv_id", "turn", "chunk", F.concat("text", F.lit("\n"), quote).alias("text"))
+    claims = materialise(evidence.split_claims(answers).withColumn("id", F.struct("conv_id", "turn", "claim_no")), "claims")
+    return evidence.judge_claims(claims.select("id", "claim", "chunk"), docs.filter("lang = 'en'").select("chunk", "text")).select("id.conv_id", "id.turn", F.col("id.claim_no").cast("long").alias("claim_no"), "coverage", "verdict")
+
+
+@query(f"WITH {_claims_sql()} SELECT * FROM j")
+def claim_support(spark, sf_dir) -> DataFrame:
+    return judged_claims(spark, sf_dir)
+
+
+@query(f"WITH {_claims_sql()} SELECT conv_id, turn, count(*) AS n_claims, round(avg((verdict = 'supported')::INT), 6) AS groundedness, CASE WHEN bool_and(verdict = 'supported') THEN 'answered' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict FROM j GROUP BY ALL")
+def groundedness(spark, sf_dir) -> DataFrame:
+    return evidence.grounded(judged_claims(spark, sf_dir), ["conv_id", "turn"])

@@ -143,13 +143,6 @@ def citation_drop(spark, sf_dir) -> DataFrame:
     return citations(spark, sf_dir).join(retrieved(spark, sf_dir), "doc_id", "left_anti").select("conv_id", "turn", "doc_id")
 
 
-@query(f"SELECT conv_id, round(avg((s.doc_id IS NOT NULL)::INT), 6) AS groundedness, bool_and(s.doc_id IS NOT NULL) AS sufficient FROM {CITED} c LEFT JOIN {SEEN} s USING (doc_id) GROUP BY 1")
-def groundedness(spark, sf_dir) -> DataFrame:
-    marked = citations(spark, sf_dir).join(retrieved(spark, sf_dir).withColumn("found", F.lit(True)), "doc_id", "left")
-    supported = F.col("found").isNotNull()
-    return marked.groupBy("conv_id").agg(F.round(F.avg(supported.cast("int")), 6).alias("groundedness"), F.bool_and(supported).alias("sufficient"))
-
-
 @query("SELECT doc_id, nth FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS nth FROM documents) WHERE nth > 1")
 def sha_dedupe(spark, sf_dir) -> DataFrame:
     """Uploads whose content is there already."""

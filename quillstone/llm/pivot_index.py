@@ -181,7 +181,9 @@ def linked_in_cell(cell: pa.Table, threshold: float) -> pa.Table:
 
 def near_links(described: DataFrame, threshold: float) -> DataFrame:
     """key, links, least: what the cells and the balls find, several rows a key."""
-    found = cells(described).groupBy("list", "a", "b").applyInArrow(lambda cell: linked_in_cell(cell, threshold), FOUND)
+    # Dealt by cell, or Spark would leave all cells of a list where the list's entries met.
+    tasks = int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cells(described).repartition(tasks, "list", "a", "b").groupBy("list", "a", "b").applyInArrow(lambda cell: linked_in_cell(cell, threshold), FOUND)
     balls = described.filter("ball IS NOT NULL").groupBy("ball").agg(F.sum("copies").alias("weight"), F.min("key").alias("least"))
     inside = described.select("key", "copies", "ball").join(balls, "ball").filter("weight > copies")
     return found.union(inside.select("key", (F.col("weight") - F.col("copies")).alias("links"), "least"))

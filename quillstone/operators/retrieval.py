@@ -47,7 +47,7 @@ def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
 def unpacked(block: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     """Ids and unit vectors of a block."""
     rows = block.values
-    ids = rows.field("id").to_numpy(zero_copy_only=False)
+    ids = rows.field("id").to_numpy(zero_copy_only=False).astype(np.int64)
     x = rows.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
     return ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
@@ -132,8 +132,3 @@ def grouped_metrics(ranked: DataFrame, n_relevant: DataFrame, k: int) -> DataFra
         F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("rr"),
         F.round(F.coalesce(F.try_divide(F.col("dcg"), ideal), F.lit(0.0)), 6).alias("ndcg"),
     )
-
-
-def upsert(index: DataFrame, new: DataFrame, version: str) -> DataFrame:
-    """Delete the versions that come, then add their rows: doing it twice changes nothing."""
-    return index.join(new.select(version).distinct(), version, "left_anti").unionByName(new)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.tenancy import MAX_PAGE, TenantTable
-from quillstone.sources.workspace import materialise
 
 #: Fixed file types: extension and MIME type.
 FILE_TYPES = {"pdf": "application/pdf"}
@@ -99,13 +98,6 @@ def found_or_first(asked: DataFrame, key: str, rows: DataFrame, row_key: str) ->
     return asked.join(own, F.col(key) == F.col("match"), "left").join(F.broadcast(first), F.lit(True)).withColumn("found", F.coalesce("match", "first")).drop("match", "first")
 
 
-def swapped(index: DataFrame, fresh: DataFrame, tenant_col: str, tenant) -> DataFrame:
-    """The index after one tenant's rows are written anew to a location of their own and
-    put in place of the old ones; readers of the old index are not disturbed."""
-    written = materialise(fresh.filter(F.col(tenant_col) == F.lit(tenant)), "reembedded")
-    return index.filter(~F.col(tenant_col).eqNullSafe(F.lit(tenant))).unionByName(written)
-
-
 def half_even(x: Column) -> Column:
     """A double rounded to two places as an exact binary number, ties to even.
 

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quillstone.plans import evidence, guarding, ingestion, portfolio, retrieval, service, tenancy, texts, versions  # noqa: F401
+    from quillstone.plans import evidence, guarding, index, ingestion, portfolio, retrieval, service, tenancy, texts, versions  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -154,16 +154,3 @@ def sha_dedupe(spark, sf_dir) -> DataFrame:
 def embedding_cache_miss(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("lang", F.sha2("text", 256).alias("sha256"))
     return docs.join(docs.filter("lang = 'en'").select("sha256"), "sha256", "left_anti").select("sha256").distinct()
-
-
-@query("SELECT doc_id, source, CASE WHEN source = 'src3' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents")
-def delete_then_upsert(spark, sf_dir) -> DataFrame:
-    index = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    new = index.filter("source = 'src3'").withColumn("n_chars", F.col("n_chars") + 1)
-    return retrieval.upsert(retrieval.upsert(index, new, "source"), new, "source")
-
-
-@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
-def delete_vectors(spark, sf_dir) -> DataFrame:
-    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(gone, "doc_id", "left_anti")

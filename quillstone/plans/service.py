@@ -168,21 +168,6 @@ def caption_chunks(spark, sf_dir) -> DataFrame:
     return pages.select("page_id", F.lit("text").alias("chunk_type"), F.lit("page").alias("caption")).unionByName(images).unionByName(tables)
 
 
-@query("SELECT vec_id, label, round(CASE WHEN label = 3 THEN 2 * embedding[1]::DOUBLE ELSE embedding[1]::DOUBLE END, 6) AS first_value FROM embeddings")
-def reembed_tenant(spark, sf_dir) -> DataFrame:
-    """A label is the tenant; its vectors are written anew (doubled) and swapped in."""
-    index = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    fresh = index.withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(2).cast("float")))
-    return service.swapped(index, fresh, "label", 3).select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"))
-
-
-@query("SELECT doc_id, source FROM documents WHERE NOT (source = 'src3' AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))")
-def delete_vectors_scoped(spark, sf_dir) -> DataFrame:
-    """Deleting documents' vectors takes the tenant too: other tenants' rows stay."""
-    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("gone"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(gone, F.expr("doc_id = gone AND source = 'src3'"), "left_anti")
-
-
 @query(
     """WITH e AS (SELECT event_id, value, floor(abs(value) * 1048576)::HUGEINT AS high, floor((abs(value) * 1048576 - floor(abs(value) * 1048576)) * 1099511627776)::HUGEINT AS low FROM events),
     p AS (SELECT event_id, value, (high * 1099511627776 + low) * 100 AS x FROM e), q AS (SELECT event_id, value, x // 1152921504606846976 AS w, x % 1152921504606846976 AS r FROM p)

@@ -97,13 +97,6 @@ def test_dense_topk_blocks_agree(spark, monkeypatch):
     assert retrieval.dense_topk(vectors, vectors.filter("false"), 5).count() == 0
 
 
-def test_upsert_is_idempotent(spark):
-    index = spark.createDataFrame([(1, "v1"), (2, "v2")], "id int, version string")
-    new = spark.createDataFrame([(3, "v2")], "id int, version string")
-    twice = retrieval.upsert(retrieval.upsert(index, new, "version"), new, "version")
-    assert sorted((r["id"], r["version"]) for r in twice.collect()) == [(1, "v1"), (3, "v2")]
-
-
 def test_tables_and_images(spark):
     html = "<table><tr><th>A</th><td>b <b>c</b></td></tr><tr><td>d</td></tr></table><img alt=x src='i.png'>"
     row = spark.createDataFrame([(html,)], "h string").select(text.html_tables(F.col("h")).alias("t"), text.image_sources(F.col("h")).alias("i")).first()

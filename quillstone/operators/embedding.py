@@ -2,81 +2,104 @@
 
 No model is called.  A feature's bucket is the start of its MD5, so that any engine finds the
 same one; a bucket has a slot of the vector and a sign.  Rarity is counted per bucket, of which
-there are ``BUCKETS``, so that its table is small whatever the corpus: it is broadcast, and no
-term meets another table in a shuffle.
+there are ``BUCKETS``: a task adds up its own texts' buckets, and only these sums are shuffled.
+Texts are read twice and never exploded; a text becomes its vector within its row.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 768
 #: Four hexadecimal digits of MD5.
 BUCKETS = 1 << 16
+SPACE = re.compile("[ \n]+")
 
 
-def features(texts: DataFrame) -> DataFrame:
-    """id, bucket, tf of texts (id, text): lower-cased words and the trigrams of each.
+def bucket(feature: str) -> int:
+    return int.from_bytes(md5(feature.encode("utf-8", "surrogatepass")).digest()[:2])
 
-    A word's trigrams are cut once per text, however often it stands there.
-    """
-    words = texts.select("id", F.explode(F.split(F.lower("text"), "[ \n]+")).alias("word")).filter("word <> ''")
-    words = words.groupBy("id", "word").agg(F.count("*").alias("tf"))
-    framed = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(framed, i, F.lit(3)))
-    each = words.select("id", "tf", F.explode(F.concat(F.array(F.concat(F.lit("w:"), "word")), grams)).alias("feature"))
-    return each.groupBy("id", bucket_of(F.col("feature")).alias("bucket")).agg(F.sum("tf").alias("tf"))
 
+#: Texts share few trigrams, and words in part.
+trigram_bucket = lru_cache(1 << 18)(bucket)
 
-def bucket_of(feature: Column) -> Column:
-    return F.conv(F.substring(F.md5(feature.cast("binary")), 1, 4), 16, 10).cast("int")
 
+@lru_cache(1 << 16)
+def word_buckets(word: str) -> list[int]:
+    """The buckets of a word: itself and its trigrams, framed."""
+    framed = f"<{word}>"
+    return [bucket(f"w:{word}"), *(trigram_bucket(framed[i : i + 3]) for i in range(len(word)))]
 
-def rarity(found: DataFrame, n_texts: int) -> DataFrame:
-    """bucket, idf: at most ``BUCKETS`` rows."""
-    counted = found.groupBy("bucket").agg(F.count("*").alias("df"))
-    return counted.select("bucket", (F.log((1 + F.lit(n_texts)) / (1 + F.col("df"))) + 1).alias("idf"))
 
+def text_buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, how often each) of a lower-cased text."""
+    words = Counter(w for w in SPACE.split(text) if w)
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    own, times = [], []
+    for word, n in words.items():
+        buckets = word_buckets(word)
+        own += buckets
+        times += [n] * len(buckets)
+    counts = np.bincount(own, times, BUCKETS)
+    found = np.flatnonzero(counts)
+    return found, counts[found]
 
-def vectors(found: DataFrame, idf: DataFrame, n_texts: int) -> DataFrame:
-    """id, vector: unit vectors of ``DIMENSIONS`` doubles of features (id, bucket, tf).
 
-    A bucket that the corpus never had is as rare as can be.  A text without words has no row.
-    """
-    unseen = float(np.log(1 + n_texts) + 1)
-    sign = F.when(F.floor(F.col("bucket") / DIMENSIONS) % 2 == 0, 1.0).otherwise(-1.0)
-    weighed = found.join(F.broadcast(idf), "bucket", "left")  # BUCKETS rows at most
-    weight = sign * (1 + F.log("tf")) * F.coalesce("idf", F.lit(unseen))
-    gathered = weighed.groupBy("id").agg(F.collect_list(F.struct((F.col("bucket") % DIMENSIONS).alias("slot"), weight.alias("weight"))).alias("parts"))
+def lowered(texts: DataFrame) -> DataFrame:
+    return texts.filter("text IS NOT NULL").select("id", F.lower("text").alias("text"))
+
+
+def rarity(texts: DataFrame) -> np.ndarray:
+    """idf of every bucket over texts (id, text): of one never seen the highest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            parts = batch.column(1)
-            flat, ends = parts.flatten(), np.diff(parts.offsets.to_numpy())
-            dense = np.zeros((len(batch), DIMENSIONS))
-            np.add.at(dense, (np.repeat(np.arange(len(batch)), ends), flat.field("slot").to_numpy(zero_copy_only=False)), flat.field("weight").to_numpy(zero_copy_only=False))
-            dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
-            values = pa.ListArray.from_arrays(np.arange(0, dense.size + 1, DIMENSIONS, dtype=np.int32), dense.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["id", "vector"])
+            for text in batch.column(0):
+                df[text_buckets(text.as_py())[0]] += 1
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(df[seen])], ["bucket", "df"])
 
-    return gathered.mapInArrow(run, f"id {dict(found.dtypes)['id']}, vector array<double>")
+    counted = lowered(texts).select("text").mapInArrow(run, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()  # BUCKETS rows at most
+    df = np.zeros(BUCKETS)
+    for r in counted:
+        df[r["bucket"]] = r["df"]
+    return np.log((1 + texts.count()) / (1 + df)) + 1
 
 
 class TextEmbedder:
     """Vectors of texts by the rarities of one corpus (id, text)."""
 
     def __init__(self, corpus: DataFrame):
-        self.n_texts = corpus.count()
-        self.own = features(corpus)
-        self.idf = rarity(self.own, self.n_texts)
-
-    def corpus(self) -> DataFrame:
-        return vectors(self.own, self.idf, self.n_texts)
+        self.idf = corpus.sparkSession.sparkContext.broadcast(rarity(corpus))  # half a megabyte
 
     def embed(self, texts: DataFrame) -> DataFrame:
-        return vectors(features(texts), self.idf, self.n_texts)
+        """id, vector: unit vectors of ``DIMENSIONS`` doubles of texts (id, text); none for a text without words."""
+        shared = self.idf
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for some in (batch.slice(i, 1024) for i in range(0, len(batch), 1024)):
+                    dense, some_words = np.zeros((len(some), DIMENSIONS)), np.zeros(len(some), bool)
+                    for row, text in enumerate(some.column(1)):
+                        buckets, tf = text_buckets(text.as_py())
+                        some_words[row] = len(buckets) > 0
+                        sign = 1 - 2 * (buckets // DIMENSIONS % 2)
+                        np.add.at(dense[row], buckets % DIMENSIONS, sign * (1 + np.log(tf)) * shared.value[buckets])
+                    dense = dense[some_words]
+                    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+                    vectors = pa.ListArray.from_arrays(np.arange(0, dense.size + 1, DIMENSIONS, dtype=np.int32), dense.ravel())
+                    yield pa.RecordBatch.from_arrays([some.column(0).filter(pa.array(some_words)), vectors], ["id", "vector"])
+
+        own = lowered(texts)
+        return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, vector array<double>")

@@ -30,7 +30,7 @@ ASKED = "(SELECT item_id AS id, text FROM benchmark WHERE item_id % 100 = 0)"
 @query(f"WITH {_vector_sql('own', DOCS, 'own')} SELECT id AS doc_id, array_to_string(list_transform(vector, lambda x: round(x * 1000000)::BIGINT), ',') AS millionths FROM own")
 def embed_texts(spark, sf_dir) -> DataFrame:
     """Every document's vector, its parts as millionths."""
-    found = embedding.TextEmbedder(texts(spark, sf_dir)).corpus()
+    found = embedding.TextEmbedder(texts(spark, sf_dir)).embed(texts(spark, sf_dir))
     parts = F.transform("vector", lambda x: F.round(x * 1_000_000).cast("long").cast("string"))
     return found.select(F.col("id").alias("doc_id"), F.array_join(parts, ",").alias("millionths"))
 
@@ -48,7 +48,7 @@ def hybrid_search(spark, sf_dir) -> DataFrame:
 
 def hybrid(spark, sf_dir) -> DataFrame:
     embedder = embedding.TextEmbedder(texts(spark, sf_dir))
-    own = materialise(embedder.corpus(), "text-vectors")
+    own = materialise(embedder.embed(texts(spark, sf_dir)), "text-vectors")
     dense = retrieval.dense_topk(own, embedder.embed(questions(spark, sf_dir)), 24, same_ids=False)
     words = lexical(spark, sf_dir)
     both = words.select("query", "id", F.col("rank").cast("long").alias("lexical_rank")).join(dense.select("query", "id", F.col("rank").cast("long").alias("dense_rank")), ["query", "id"], "full_outer")

@@ -92,8 +92,8 @@ def test_vector_index_recall_and_pruning(spark, tmp_path):
 
 def test_text_vectors(spark):
     corpus = spark.createDataFrame([(1, "the tenant pays the rent"), (2, "The tenant pays rent"), (3, "entirely other words here"), (4, ""), (5, None)], "id int, text string")
-    embedder = embedding.TextEmbedder(corpus.fillna(""))
-    got = {r["id"]: np.array(r["vector"]) for r in embedder.corpus().collect()}
+    embedder = embedding.TextEmbedder(corpus)
+    got = {r["id"]: np.array(r["vector"]) for r in embedder.embed(corpus).collect()}
     assert set(got) == {1, 2, 3} and all(len(v) == 768 and math.isclose(np.linalg.norm(v), 1) for v in got.values())
     assert got[1] @ got[2] > 0.7 > 0.2 > got[1] @ got[3]
     asked = {r["id"]: np.array(r["vector"]) for r in embedder.embed(spark.createDataFrame([(9, "tenants paying rents"), (8, "zzz")], "id int, text string")).collect()}

@@ -14,6 +14,8 @@ from quillstone.sources.workspace import materialise
 #: Queries and vectors compared together, about.
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 4096
+#: Terms of all queries that a scan carries along.
+FEW_TERMS = 1000
 RANKED = "query long, id long, similarity double"
 
 
@@ -85,14 +87,18 @@ def idf(postings: DataFrame, n_docs: int) -> DataFrame:
 def bm25(texts: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query, id, score of every text that shares a term with a query.
 
-    One scan counts the texts' words; of them only the queries' terms are exploded, so
-    nothing else is shuffled.
+    One scan counts the texts' words.  Where the queries have at most ``FEW_TERMS`` terms, only those
+    words leave the row; more of them meet the exploded words in a join.
     """
     wanted = terms(queries, "id").select(F.col("id").alias("query"), "term")
     words = F.filter(F.split(F.lower("text"), "[ \n]+"), lambda w: w != "")
     counted = texts.select("id", words.alias("words")).withColumn("len", F.size("words"))
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
-    each = counted.select("id", "len", F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    few = [r["term"] for r in wanted.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    if len(few) <= FEW_TERMS:
+        each = counted.select("id", "len", F.explode(F.filter("words", lambda w: w.isin(few) if few else F.lit(False))).alias("term"))
+    else:
+        each = counted.select("id", "len", F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     postings = materialise(each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
     matched = postings.join(wanted, "term").join(idf(postings, stats["n"]), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(stats["mean"])))
@@ -107,9 +113,13 @@ def fused(first: DataFrame, second: DataFrame, k: int = 60) -> DataFrame:
 
 
 def overlap(queries: DataFrame, texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Lexical rerank score of candidates: the share of the query's distinct terms in the text."""
+    """Lexical rerank score of candidates: the share of the query's distinct terms in the text.
+
+    Only texts that are a candidate are split.
+    """
     q = queries.select(F.col("id").alias("query"), F.array_distinct(F.split(F.lower("text"), "[ \n]+")).alias("q"))
-    t = texts.select("id", F.array_distinct(F.split(F.lower("text"), "[ \n]+")).alias("t"))
+    few = texts.join(candidates.select("id").distinct(), "id", "left_semi")
+    t = few.select("id", F.array_distinct(F.split(F.lower("text"), "[ \n]+")).alias("t"))
     joined = candidates.join(q, "query").join(t, "id")
     return joined.withColumn("overlap", F.round(F.size(F.array_intersect("q", "t")) / F.size("q"), 6)).drop("q", "t")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.operators import embedding, evidence, retrieval
+from quillstone.operators import agent, embedding, evidence, retrieval
 from quillstone.plans.catalogue import query
 from quillstone.plans.retrieval import BM25, lexical, questions, texts
 from quillstone.sources.tables import table
@@ -109,3 +109,50 @@ def claim_support(spark, sf_dir) -> DataFrame:
 @query(f"WITH {_claims_sql()} SELECT conv_id, turn, count(*) AS n_claims, round(avg((verdict = 'supported')::INT), 6) AS groundedness, CASE WHEN bool_and(verdict = 'supported') THEN 'answered' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict FROM j GROUP BY ALL")
 def groundedness(spark, sf_dir) -> DataFrame:
     return evidence.grounded(judged_claims(spark, sf_dir), ["conv_id", "turn"])
+
+
+RISKY = "Licensed under"
+TOOLS = {
+    "qa": agent.Registered("query:run", 1, agent.search),
+    "compare": agent.Registered("query:run", 2, agent.search),
+    "multi_document": agent.Registered("query:run", 3, agent.search),
+    "risk": agent.Registered("analysis:run", 1, agent.search_where(lambda text: text.contains(RISKY))),
+    "summarize": agent.Registered("analysis:run", 1, agent.search),
+    "extract": agent.Registered("analysis:run", 1, agent.search),
+}
+#: A question is a benchmark text behind a phrase that tells its intent; its tenant is a language.
+PHRASES = ("", "Compare ", "risk of ", "Summarize ", "Extract ", "across documents ")
+TENANTS = ("en", "de", "fr", "es")
+ROLE_NAMES = ("ADMIN", "VIEWER", "ANALYST", "LEGAL_MANAGER", "VIEWER")
+
+
+def _pick(values: tuple[str, ...], key: str) -> str:
+    return "CASE " + " ".join(f"WHEN {key} % {len(values)} = {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+@query(
+    f"""WITH RECURSIVE qs AS (SELECT item_id AS id, {_pick(PHRASES, "item_id")} || text AS text, {_pick(TENANTS, "(item_id // 6)")} AS tenant, {_pick(ROLE_NAMES, "item_id")} AS role FROM benchmark),
+    ro AS (SELECT *, {_pick(("qa", "compare", "risk", "summarize", "extract", "multi_document"), "id")} AS intent, CASE id % 6 WHEN 1 THEN 2 WHEN 5 THEN 3 ELSE 1 END AS needed, id % 6 IN (0, 1, 5) OR role <> 'VIEWER' AS permitted FROM qs),
+    kinds AS (SELECT unnest([false, true]) AS risky),
+    d AS (SELECT risky, doc_id AS id, lang, coalesce(text, '') AS text FROM documents, kinds WHERE NOT risky OR contains(text, '{RISKY}')),
+    w AS (SELECT risky, id, unnest(string_split_regex(lower(text), '[ \\n]+')) AS term FROM d), p AS (SELECT risky, id, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY ALL),
+    l AS (SELECT d.risky, d.id, coalesce(sum(tf), 0) AS len FROM d LEFT JOIN p ON p.id = d.id AND p.risky = d.risky GROUP BY ALL), st AS (SELECT risky, count(*) AS n, avg(len) AS mean FROM l GROUP BY 1), f AS (SELECT risky, term, count(*) AS df FROM p GROUP BY ALL),
+    qt AS (SELECT DISTINCT id AS question, tenant, intent = 'risk' AS risky, unnest(string_split_regex(lower(text), '[ \\n]+')) AS term FROM ro WHERE permitted),
+    sc AS (SELECT question, id, tenant, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM qt JOIN p USING (risky, term) JOIN f USING (risky, term) JOIN l USING (risky, id) JOIN st USING (risky) WHERE term <> '' GROUP BY ALL),
+    ca AS (SELECT question, sc.id, row_number() OVER (PARTITION BY question ORDER BY score DESC, sc.id) AS place FROM sc JOIN documents ON doc_id = sc.id WHERE lang = tenant),
+    ov AS MATERIALIZED (SELECT question, ca.id, place, round(len(list_intersect(list_distinct(string_split_regex(lower(q.text), '[ \\n]+')), list_distinct(string_split_regex(lower(d.text), '[ \\n]+')))) / len(list_distinct(string_split_regex(lower(q.text), '[ \\n]+'))), 6) AS overlap
+      FROM ca JOIN ro q ON q.id = question JOIN documents d ON doc_id = ca.id WHERE place <= 18),
+    s AS (SELECT id, needed, 0 AS rounds, CASE WHEN permitted THEN 'open' ELSE 'FORBIDDEN' END AS verdict, []::BIGINT[] AS citations FROM ro
+      UNION ALL SELECT id, needed, rounds + 1, CASE WHEN len(c) >= needed THEN 'answered' WHEN rounds = 2 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'open' END, c FROM
+        (SELECT s.id, s.needed, s.rounds, list_concat(s.citations, coalesce((SELECT list(ov.id) FROM ov WHERE question = s.id AND overlap >= 0.8 AND place > 6 * s.rounds AND place <= 6 * s.rounds + 6), [])) AS c FROM s WHERE verdict = 'open'))
+    SELECT s.id, intent, rounds::BIGINT AS rounds, verdict, array_to_string(list_sort(citations), ',') AS citations FROM s JOIN ro USING (id) WHERE verdict <> 'open'"""
+)
+def agent_rounds(spark, sf_dir) -> DataFrame:
+    """Every benchmark text as a question of a tenant and a role; documents are the chunks."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("tenant"), F.coalesce("text", F.lit("")).alias("text"))
+    i = F.col("item_id")
+    asked = table(spark, sf_dir, "benchmark").select(
+        i.alias("id"), F.concat(F.expr(_pick(PHRASES, "item_id")), "text").alias("text"), F.expr(_pick(TENANTS, "(item_id div 6)")).alias("tenant"), F.expr(_pick(ROLE_NAMES, "item_id")).alias("role")
+    )
+    found = agent.answer(asked, docs, agent.ToolRegistry(spark, TOOLS))
+    return found.withColumn("citations", F.array_join(F.col("citations").cast("array<string>"), ","))

@@ -21,9 +21,7 @@ def risk_rules(spark, sf_dir) -> DataFrame:
 
 @query("SELECT doc_id, lang FROM documents WHERE NOT regexp_matches(text, 'Licensed under the [A-Z][A-Za-z]+')")
 def missing_clause(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    have = docs.filter(F.col("text").rlike(text.RULES[0][2])).select("doc_id")
-    return docs.join(have, "doc_id", "left_anti").select("doc_id", "lang")
+    return table(spark, sf_dir, "documents").filter(~F.col("text").rlike(text.RULES[0][2])).select("doc_id", "lang")
 
 
 CHUNKS = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

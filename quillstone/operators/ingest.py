@@ -65,11 +65,17 @@ def readiness(services: DataFrame) -> DataFrame:
 
 
 def sessions(events: DataFrame, key: str, gap_seconds: int) -> DataFrame:
-    """Heartbeat gaps: events of a key further apart than the gap open a new session."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    marked = events.withColumn("opens", F.coalesce((gap > gap_seconds * 1_000_000).cast("int"), F.lit(1)))
-    return marked.withColumn("session", F.sum("opens").over(w)).groupBy(key, "session").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+    """Heartbeat gaps: events of a key (ts) further apart than the gap open a new session.
+
+    Spark merges a task's events into sessions before the shuffle, so a key with a third of all events
+    is shuffled as its sessions; only these are numbered.
+    """
+    kind = dict(events.dtypes)["ts"]
+    timed = events.select(F.col(key), F.col("ts").cast("timestamp").alias("ts"))
+    window = F.session_window("ts", f"{gap_seconds} seconds").alias("w")  # an event exactly the gap later still belongs
+    found = timed.groupBy(key, window).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("first_ts")).cast("long")
+    return found.select(key, number.alias("session"), F.col("first_ts").cast(kind).alias("first_ts"), F.col("last_ts").cast(kind).alias("last_ts"), "n")
 
 
 def rate_windows(events: DataFrame, tenant: str, width: str, limit: int) -> DataFrame:

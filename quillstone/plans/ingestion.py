@@ -9,7 +9,7 @@ from quillstone.functions.labels import STAGES
 from quillstone.operators import ingest
 from quillstone.plans.catalogue import query
 from quillstone.sources.tables import table
-from quillstone.streaming import jobs
+from quillstone.streaming import heartbeat, jobs
 
 STAGE = "['parse','ocr','chunk','embed','index'][CAST(1 + event_id % 5 AS INT)]"
 PHASE = "CASE WHEN event_id % 23 = 0 THEN 'fail' WHEN event_id % 3 = 0 THEN 'start' ELSE 'end' END"
@@ -69,6 +69,18 @@ def worker_heartbeat(spark, sf_dir) -> DataFrame:
     return beats.join(F.broadcast(latest), F.lit(True)).select("worker", "last_beat", F.expr("last_beat < latest - INTERVAL 1 HOUR").alias("down"))
 
 
+@query(
+    """WITH u AS (SELECT max(ts) - INTERVAL 10 MINUTE AS until FROM events), e AS (SELECT user_id % 10 AS worker, ts FROM events, u WHERE ts <= date_trunc('millisecond', until)),
+    m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS o FROM e WINDOW w AS (PARTITION BY worker ORDER BY ts)),
+    s AS (SELECT worker, min(ts) AS first_ts, max(ts) + INTERVAL 1 HOUR AS over FROM (SELECT *, sum(o) OVER (PARTITION BY worker ORDER BY ts) AS session FROM m) GROUP BY worker, session)
+    SELECT worker, 'up' AS status, first_ts AS at FROM s UNION ALL SELECT worker, 'down', over FROM s, u WHERE over < date_trunc('millisecond', until)"""
+)
+def worker_transitions(spark, sf_dir) -> DataFrame:
+    """The streaming watch, run over the beats that are there; it knows of the time up to its watermark."""
+    beats = jobs.event_stream(spark, sf_dir).select((F.col("user_id") % 10).alias("worker"), "ts")
+    return heartbeat.transitions_now(beats, 3600, "10 minutes").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query(
     """WITH m AS (SELECT user_id, ts, event_id, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) <= 86400000000 THEN 0 ELSE 1 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     SELECT user_id, session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM m) GROUP BY 1, 2"""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.ordering import ranked
-
 from quillstone.functions.labels import STAGE_PROGRESS, STAGES, lookup
+from quillstone.operators.ordering import ranked
+from quillstone.operators.service import half_even
+from quillstone.sources.workspace import materialise
 
 
 def stage_progress(stage: Column) -> Column:
@@ -15,8 +16,8 @@ def stage_progress(stage: Column) -> Column:
 
 
 def stage_timings(ends: DataFrame) -> DataFrame:
-    """Stage ends (job, stage, ms) as a map of stage to its last duration, 2 decimals."""
-    last = ends.groupBy("job", "stage").agg(F.max_by(F.round("ms", 2), F.struct("ts", "event_id")).alias("ms"))
+    """Stage ends (job, stage, ms) as a map of stage to its last duration, 2 decimals of the binary number."""
+    last = ends.groupBy("job", "stage").agg(F.max_by("ms", F.struct("ts", "event_id")).alias("ms")).withColumn("ms", half_even(F.col("ms")))
     return last.groupBy("job").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "ms")))).alias("timings"))
 
 
@@ -84,6 +85,41 @@ def rate_windows(events: DataFrame, tenant: str, width: str, limit: int) -> Data
     return counted.select(tenant, F.col("w.start").alias("window_start"), "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("rejected"))
 
 
+def token_bucket(events: DataFrame, tenant: str, capacity: int, refill_seconds: float) -> DataFrame:
+    """events (event_id, ts, the tenant) with level (microseconds of refill) and accepted.
+
+    A bucket is full at first, gains a token in ``refill_seconds`` and never holds more than
+    ``capacity``; every request takes one, refused ones too, so hammering keeps a tenant out.
+    Refill, clamp and take is x -> min(x + a, b), and such steps compose to one of the same form.
+    A tenant's log is dealt into ranges, each folded to its count and least offset, and what comes
+    before a range is composed from those: a tenant with a third of all events is many tasks' work.
+    """
+    refill = round(refill_seconds * 1_000_000)
+    us = F.unix_micros(F.col("ts").cast("timestamp")) if dict(events.dtypes)["ts"] == "timestamp" else F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    dealt = events.withColumn("us", us).repartitionByRange(tenant, "us", "event_id").withColumn("range", F.spark_partition_id())
+    dealt = materialise(dealt, "requests")
+    within = Window.partitionBy(tenant, "range").orderBy("us", "event_id")
+    # The level before request i is t(i) - i * refill plus the least of capacity * refill - t(j) + j * refill up to i.
+    own = dealt.withColumn("i", F.row_number().over(within).cast("long")).withColumn("offset", F.col("i") * refill - F.col("us"))
+    own = own.withColumn("least", F.min("offset").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    folded = own.groupBy(tenant, "range").agg(F.max("i").alias("n"), F.min("offset").alias("least"))
+    earlier = Window.partitionBy(tenant).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    folded = folded.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    folded = folded.withColumn("carried", F.min(F.col("least") + F.col("before") * refill).over(earlier))
+    carry = folded.select(F.col(tenant).alias("of"), F.col("range").alias("at"), "before", "carried")
+    joined = own.join(carry, F.expr(f"{tenant} <=> of AND range = at"))
+    least = F.least("carried", F.col("least") + F.col("before") * refill)  # a null counts for nothing
+    level = F.lit(capacity * refill) + least + F.col("us") - (F.col("before") + F.col("i")) * refill
+    return joined.withColumn("level", level).withColumn("accepted", level >= refill).select(*events.columns, "level", "accepted")
+
+
+def input_reason(text: Column, accepted: Column, shortest: int, longest: int) -> Column:
+    """Why a request is refused before anything is retrieved, null for one that is taken; the first reason counts."""
+    size = F.length(F.trim(F.coalesce(text, F.lit(""))))
+    odd = text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\uFFFD]")
+    return F.when(size < shortest, "too_short").when(size > longest, "too_long").when(odd, "charset").when(~accepted, "rate")
+
+
 def first_of(actions: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Actions with their number (nth) among equals; all but number 1 are duplicates.
 

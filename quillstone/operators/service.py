@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstone.operators.tenancy import MAX_PAGE, TenantTable
 
@@ -49,18 +50,19 @@ def upload_rows(files: DataFrame, tenant_col: str, id_col: str) -> DataFrame:
     return rows.select(tenant_col, id_col, "kind", "rejected", "duplicate_of")
 
 
-def over_limits(steps: DataFrame, run: str, cost: str, iterations: int, budget: float) -> DataFrame:
-    """Per agent run the steps and cost so far, and whether either is over its limit."""
-    used = steps.groupBy(run).agg(F.count("*").alias("n_steps"), F.round(F.sum(cost), 4).alias("cost"))
-    return used.select(run, "n_steps", "cost", (F.col("n_steps") > iterations).alias("over_iterations"), (F.col("cost") > budget).alias("over_budget"))
+def over_limits(steps: DataFrame, run: str, cost: str, iterations: int, budget: float, timeout_seconds: int) -> DataFrame:
+    """Per agent run the steps and cost so far, and whether they or the time from its first step (ts) are over their limits."""
+    used = steps.groupBy(run).agg(F.count("*").alias("n_steps"), F.round(F.sum(cost), 4).alias("cost"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    late = F.col("last") > F.col("first") + F.make_dt_interval(secs=F.lit(timeout_seconds))
+    return used.select(run, "n_steps", "cost", (F.col("n_steps") > iterations).alias("over_iterations"), (F.col("cost") > budget).alias("over_budget"), late.alias("over_time"))
 
 
 def schema_check(json: Column, schema: str) -> Column:
     """ok, missing (a field is absent or of another type) or malformed, for a JSON answer."""
-    fields = [f.split()[0] for f in schema.split(",")]
+    fields = StructType.fromDDL(schema).names
     read = F.from_json(json, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     whole = F.from_json(json, "map<string,string>")
-    absent = [read[f].isNull() for f in fields]
+    absent = [read.getField(f).isNull() for f in fields]
     missing = absent[0]
     for x in absent[1:]:
         missing = missing | x

@@ -26,7 +26,12 @@ def log(spark, sf_dir) -> DataFrame:
     )
 
 
-@query(f"SELECT job, stage, max_by(round(value, 2), ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) AS ms FROM {LOG} WHERE phase = 'end' GROUP BY 1, 2")
+@query(
+    f"""WITH e AS (SELECT job, stage, max_by(value, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) AS v FROM {LOG} WHERE phase = 'end' GROUP BY 1, 2), w AS (SELECT *, floor(abs(v) * 100) AS f FROM e),
+    -- the double as a whole number of 2**-52, and the two candidates' distances to it
+    d AS (SELECT job, stage, v, f, (floor(abs(v))::HUGEINT * 4503599627370496 + ((abs(v) - floor(abs(v))) * 4503599627370496)::HUGEINT) * 200 - (2 * f + 1)::HUGEINT * 4503599627370496 AS over FROM w)
+    SELECT job, stage, sign(v) * (f + CASE WHEN over > 0 OR (over = 0 AND f % 2 = 1) THEN 1 ELSE 0 END) / 100 AS ms FROM d"""
+)
 def stage_timings(spark, sf_dir) -> DataFrame:
     ends = log(spark, sf_dir).filter("phase = 'end'").withColumn("ms", F.col("value"))
     return ingest.stage_timings(ends).select("job", F.explode("timings").alias("stage", "ms"))
@@ -134,6 +139,36 @@ def rate_limit_windows(spark, sf_dir) -> DataFrame:
     return ingest.rate_windows(table(spark, sf_dir, "events"), "user_id", "1 day", 2)
 
 
+REQUESTS = "(SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS tenant, props FROM events)"
+BUCKET = f"""e AS MATERIALIZED (SELECT tenant, list(epoch_us(ts) ORDER BY ts, event_id) AS t, list(event_id ORDER BY ts, event_id) AS ids FROM {REQUESTS} GROUP BY 1),
+    s AS (SELECT tenant, 1 AS k, 5 * 3600000000::BIGINT AS level FROM e
+      UNION ALL SELECT s.tenant, k + 1, least(5 * 3600000000, level - 3600000000 + t[k + 1] - t[k]) FROM s JOIN e USING (tenant) WHERE k < len(t)),
+    b AS (SELECT ids[k] AS event_id, tenant, level, level >= 3600000000 AS accepted FROM s JOIN e USING (tenant))"""
+
+
+def requests(spark, sf_dir) -> DataFrame:
+    """Stand-in: an event is a request; one tenant has a third of all."""
+    tenant = F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id"))
+    return table(spark, sf_dir, "events").select("event_id", "ts", tenant.alias("tenant"), "props")
+
+
+@query(f"WITH RECURSIVE {BUCKET} SELECT event_id, tenant, level, accepted FROM b")
+def rate_limit_bucket(spark, sf_dir) -> DataFrame:
+    """A token bucket of 5 that gains a token an hour."""
+    return ingest.token_bucket(requests(spark, sf_dir).drop("props"), "tenant", 5, 3600).select("event_id", "tenant", "level", "accepted")
+
+
+@query(
+    f"""WITH RECURSIVE {BUCKET}, r AS (SELECT event_id, CASE event_id % 50 WHEN 7 THEN props || chr(7) WHEN 9 THEN ' a ' ELSE props END AS text FROM {REQUESTS})
+    SELECT event_id, CASE WHEN length(trim(text)) < 3 THEN 'too_short' WHEN length(trim(text)) > 2000 THEN 'too_long' WHEN regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{{FFFD}}]') THEN 'charset' WHEN NOT accepted THEN 'rate' END AS refused FROM r JOIN b USING (event_id)"""
+)
+def input_guardrail(spark, sf_dir) -> DataFrame:
+    """Requests refused before retrieval: length, characters, rate; a few texts are made odd."""
+    text = F.when(F.col("event_id") % 50 == 7, F.concat("props", F.lit("\x07"))).when(F.col("event_id") % 50 == 9, " a ").otherwise(F.col("props"))
+    judged = ingest.token_bucket(requests(spark, sf_dir), "tenant", 5, 3600)
+    return judged.select("event_id", ingest.input_reason(text, F.col("accepted"), 3, 2000).alias("refused"))
+
+
 @query("SELECT event_id, nth FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM events) WHERE nth > 1")
 def duplicate_actions(spark, sf_dir) -> DataFrame:
     return ingest.first_of(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id").filter("nth > 1").select("event_id", "nth")

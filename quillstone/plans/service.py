@@ -15,9 +15,10 @@ from quillstone.sources.tables import table
 from quillstone.streaming import jobs
 
 
-@query("SELECT 1 AS ok")
+@query("SELECT (SELECT count(*) FROM region) > 0 AS ok")
 def ping(spark, sf_dir) -> DataFrame:
-    return spark.range(1).select(F.lit(1).alias("ok"))
+    """Whether the store answers with rows."""
+    return table(spark, sf_dir, "region").agg((F.count("*") > 0).alias("ok"))
 
 
 @query(
@@ -47,10 +48,10 @@ def upload_sink(spark, sf_dir) -> DataFrame:
     return service.upload_rows(files, "source", "doc_id")
 
 
-@query("SELECT user_id, count(*) AS n_steps, round(sum(value), 4) AS cost, count(*) > 8 AS over_iterations, round(sum(value), 4) > 500 AS over_budget FROM events GROUP BY 1")
+@query("SELECT user_id, count(*) AS n_steps, round(sum(value), 4) AS cost, count(*) > 8 AS over_iterations, round(sum(value), 4) > 500 AS over_budget, max(ts) > min(ts) + INTERVAL 20 DAY AS over_time FROM events GROUP BY 1")
 def tool_guardrail(spark, sf_dir) -> DataFrame:
     """A user is an agent run, an event a step, its value the cost."""
-    return service.over_limits(table(spark, sf_dir, "events"), "user_id", "value", 8, 500.0)
+    return service.over_limits(table(spark, sf_dir, "events"), "user_id", "value", 8, 500.0, 20 * 86_400)
 
 
 ANSWERS = """(SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{"k": "x"}' WHEN 2 THEN '{"k": 1' ELSE '{"other": 1}' END AS answer FROM events)"""
@@ -125,11 +126,19 @@ def find_or_first(spark, sf_dir) -> DataFrame:
     return service.found_or_first(asked, "asked", table(spark, sf_dir, "customer"), "c_custkey").select("event_id", "found")
 
 
-@query("SELECT * FROM (VALUES ('development', ''), ('staging', 'default_secret,wildcard_origin'), ('production', 'bucket'), ('eu', '')) t(environment, errors)")
+@query(
+    """SELECT s_suppkey, array_to_string(list_filter([CASE WHEN s_suppkey % 3 = 0 THEN 'default_secret' END, CASE WHEN s_nationkey % 2 = 0 AND s_nationkey % 5 < 2 THEN 'bucket' END, CASE WHEN s_nationkey % 7 = 0 THEN 'wildcard_origin' END],
+    lambda x: x IS NOT NULL AND s_nationkey % 4 <> 0), ',') AS errors FROM supplier"""
+)
 def settings_guard(spark, sf_dir) -> DataFrame:
-    rows = [("development", "change-me", "s3", None, "*"), ("staging", "change-me", "local", None, "https://a, *"), ("production", "s", "s3", "", "https://a"), ("eu", "s", "s3", "b", "https://a,https://b")]
-    given = spark.createDataFrame(rows, "environment string, secret string, storage string, bucket string, origins string")
-    return given.select("environment", service.settings_errors(*map(F.col, given.columns)).alias("errors"))
+    """Stand-in: a supplier is a deployment, its keys tell its settings."""
+    n = F.col("s_nationkey")
+    environment = F.when(n % 4 == 0, "development").otherwise("production")
+    secret = F.when(F.col("s_suppkey") % 3 == 0, "change-me").otherwise("s")
+    bucket = F.when(n % 5 == 0, None).when(n % 5 == 1, "").otherwise("b")
+    origins = F.when(n % 7 == 0, "https://a, *").otherwise("https://a,https://b")
+    errors = service.settings_errors(environment, secret, F.when(n % 2 == 0, "s3").otherwise("local"), bucket, origins)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", errors.alias("errors"))
 
 
 @query("SELECT o_custkey, array_to_string(list_slice(list(o_orderkey ORDER BY o_orderkey), 2, 4), ',') AS shown FROM orders GROUP BY 1")

@@ -80,6 +80,43 @@ def running_lines(texts: DataFrame, group: str, id_col: str, share: float = 0.5)
     return counted.join(pages, group).filter(F.col("n") > share * F.col("n_pages"))
 
 
+def edge_lines(text: Column, edge: int) -> Column:
+    """array<struct(place, pattern)> of the first and last ``edge`` lines, digits masked, each once."""
+    lines = F.split(text, "\n")
+
+    def masked(line: Column) -> Column:
+        return F.regexp_replace(F.trim(line), "[0-9]+", "#")
+
+    top = F.transform(F.slice(lines, 1, edge), lambda s: F.struct(F.lit("top").alias("place"), masked(s).alias("pattern")))
+    bottom = F.transform(F.slice(lines, -F.least(F.size(lines), F.lit(edge)), F.lit(edge)), lambda s: F.struct(F.lit("bottom").alias("place"), masked(s).alias("pattern")))
+    return F.filter(F.array_distinct(F.concat(top, bottom)), lambda x: x["pattern"] != "")
+
+
+def without_running_lines(texts: DataFrame, group: str, share: float = 0.5, edge: int = 3) -> DataFrame:
+    """texts (the group, text and others) with cleaned and n_dropped: running heads and feet are out.
+
+    A line runs where its pattern stands at the same end of more than ``share`` of the group's pages,
+    two at least; "Page 3" and "Page 4" are one pattern.  A page puts 2 * ``edge`` patterns at most into the
+    count, added up before the shuffle, and a group has 2 * ``edge`` / ``share`` running ones at most.
+    Null groups are one group; a null text stays null.
+    """
+    pages = texts.groupBy(F.col(group).alias("of")).agg(F.count("*").alias("n_pages"))
+    counted = texts.select(F.col(group).alias("of"), F.explode(edge_lines(F.col("text"), edge)).alias("x")).groupBy("of", "x").agg(F.count("*").alias("n"))
+    many = counted.withColumnRenamed("of", "g").join(pages, F.expr("g <=> of")).filter((F.col("n") > share * F.col("n_pages")) & (F.col("n") >= 2))
+    running = many.groupBy("of").agg(F.collect_list("x").alias("running"))
+    marked = texts.join(running, F.col(group).eqNullSafe(F.col("of")), "left").withColumn("running", F.coalesce("running", F.array().cast("array<struct<place:string,pattern:string>>")))
+    lines = F.split("text", "\n")
+    n = F.size(lines)
+
+    def runs(line: Column, i: Column) -> Column:
+        pattern = F.regexp_replace(F.trim(line), "[0-9]+", "#")
+        top = (i < edge) & F.exists("running", lambda x: (x["place"] == "top") & (x["pattern"] == pattern))
+        return top | ((i >= n - edge) & F.exists("running", lambda x: (x["place"] == "bottom") & (x["pattern"] == pattern)))
+
+    kept = marked.withColumn("kept", F.filter(lines, lambda line, i: ~runs(line, i)))
+    return kept.withColumn("cleaned", F.array_join("kept", "\n")).withColumn("n_dropped", (n - F.size("kept")).cast("long")).select(*texts.columns, "cleaned", "n_dropped")
+
+
 def key_dates(text: Column) -> Column:
     """ISO dates of a text in order."""
     return F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.labels import STAGES
-from quillstone.operators import ingest
+from quillstone.operators import ingest, quantiles
 from quillstone.plans.catalogue import query
 from quillstone.sources.tables import table
+from quillstone.sources.workspace import materialise
 from quillstone.streaming import heartbeat, jobs
 
 STAGE = "['parse','ocr','chunk','embed','index'][CAST(1 + event_id % 5 AS INT)]"
@@ -134,6 +135,18 @@ def latency_p95(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"))
 
 
+@query("SELECT event_type, count(*) AS n, true AS p50_within, true AS p95_within FROM events WHERE value IS NOT NULL GROUP BY 1")
+def latency_sketch(spark, sf_dir) -> DataFrame:
+    """Quantiles merged from stored daily sketches of two runs, and whether their true ranks are within
+    one in a hundred rows (the SQL says they are)."""
+    events = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").alias("day"), "event_id", "event_type", "value")
+    runs = [materialise(quantiles.sketched(events.filter(F.col("event_id") % 2 == r), ["day", "event_type"], "value"), "sketches") for r in (0, 1)]
+    whole = quantiles.merged(runs[0].unionByName(runs[1]), ["event_type"]).select("event_type", "n", quantiles.quantile(0.5).alias("q50"), quantiles.quantile(0.95).alias("q95"))
+    below = events.join(whole, "event_type").groupBy("event_type", "n").agg(*[F.count_if(F.col("value") < F.col(q)).alias(f"lt_{q}") for q in ("q50", "q95")], *[F.count_if(F.col("value") <= F.col(q)).alias(f"le_{q}") for q in ("q50", "q95")])
+    within = [((F.col(f"le_{q}") >= (s - 0.01) * F.col("n")) & (F.col(f"lt_{q}") <= (s + 0.01) * F.col("n"))).alias(f"p{q[1:]}_within") for q, s in (("q50", 0.5), ("q95", 0.95))]
+    return below.select("event_type", "n", *within)
+
+
 @query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n, greatest(count(*) - 2, 0) AS rejected FROM events GROUP BY 1, 2")
 def rate_limit_windows(spark, sf_dir) -> DataFrame:
     return ingest.rate_windows(table(spark, sf_dir, "events"), "user_id", "1 day", 2)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.operators import text
+from quillstone.functions import guardrails
+from quillstone.operators import grids, rulescan, text
 from quillstone.plans.catalogue import query
 from quillstone.sources.tables import table
 
@@ -91,3 +92,59 @@ def system_prompt_concat(spark, sf_dir) -> DataFrame:
     own = F.array_sort(F.collect_list(F.when(F.col("role") == "system", F.struct("turn", "text"))))
     grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(own.alias("x"), F.count_if(F.col("role") != "system").alias("n_other"))
     return grouped.select("conv_id", F.array_join(F.transform("x", lambda m: m["text"]), "\n\n").alias("system"), "n_other")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, source, len(l) AS n, unnest(l) AS line, unnest(range(len(l))) AS i FROM l),
+    m AS (SELECT *, regexp_replace(trim(line), '[0-9]+', '#', 'g') AS pattern FROM x),
+    e AS (SELECT DISTINCT doc_id, source, 'top' AS place, pattern FROM m WHERE i < 3 AND pattern <> '' UNION SELECT DISTINCT doc_id, source, 'bottom', pattern FROM m WHERE i >= n - 3 AND pattern <> ''),
+    g AS (SELECT source, count(*) AS n_pages FROM documents GROUP BY 1), r AS (SELECT source, place, pattern FROM e JOIN g USING (source) GROUP BY ALL HAVING count(*) > 0.02 * any_value(n_pages) AND count(*) >= 2),
+    k AS (SELECT *, (i < 3 AND (source, 'top', pattern) IN (SELECT (source, place, pattern) FROM r)) OR (i >= n - 3 AND (source, 'bottom', pattern) IN (SELECT (source, place, pattern) FROM r)) AS runs FROM m)
+    SELECT doc_id, count(*) FILTER (runs) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT runs), '')) AS sha256 FROM k GROUP BY 1"""
+)
+def layout_cleanup(spark, sf_dir) -> DataFrame:
+    """Documents without the lines that run at the head or foot of a source's texts."""
+    cleaned = text.without_running_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", 0.02)
+    return cleaned.select("doc_id", "n_dropped", F.sha2("cleaned", 256).alias("sha256"))
+
+
+#: Every injection and risk rule with literals that each match holds one of.
+LITERALS = {
+    "override_instructions": ("instruction", "prompt", "rule"), "reveal_system": ("system prompt", "hidden instruction", "developer message"),
+    "role_hijack": ("you are now", "act as", "new instruction"), "tool_abuse": ("tool", "function", "command", "shell"),
+    "exfiltration": ("http://", "https://", "api key", "credential", "password"), "delimiter_forgery": ("system", "untrusted_document", "instruction"),
+    "license_notice": ("licensed under the ",), "contact_address": ("@",), "credential": ("password", "secret", "token", "api_key"), "access_key": ("akia",), "shouting": ("!!",),
+    "symbol_noise": ("***", "%%%", "###"), "table_row": (" | ",),
+}
+ALL_RULES = tuple(rulescan.Rule(n, "high", p, LITERALS[n], ignore_case=True) for n, p in guardrails.INJECTION_RULES) + tuple(rulescan.Rule(n, s, p, LITERALS[n]) for n, s, p in text.RULES)
+
+
+def _scan_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT doc_id, '{r.name}' AS rule, '{r.severity}' AS severity, regexp_extract(text, '{'(?i)' * r.ignore_case}{r.pattern}', 0) AS evidence FROM documents WHERE regexp_matches(text, '{'(?i)' * r.ignore_case}{r.pattern}')" for r in ALL_RULES
+    )
+
+
+@query(_scan_sql())
+def rule_scan(spark, sf_dir) -> DataFrame:
+    """All rules in one pass over each document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return rulescan.scan_rules(docs, ALL_RULES).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS c, o_orderstatus AS s, o_orderkey AS k, o_orderpriority AS p FROM orders),
+    g AS (SELECT c, string_agg('| ' || s || ' | ' || k || ' | ' || p || ' |', chr(10) ORDER BY s, k) AS body, count(*) AS n FROM o GROUP BY 1)
+    SELECT c AS page_id, 0 AS table_no, NULL::INT AS inside, (n + 1)::INT AS n_rows, 3 AS n_cols, '| status | order | order |' || chr(10) || '| --- | --- | --- |' || chr(10) || body AS markdown FROM g
+    UNION ALL SELECT c, 1, 0, 1, 1, '| ' || n || ' |' || chr(10) || '| --- |' FROM g"""
+)
+def table_grids(spark, sf_dir) -> DataFrame:
+    """Tables of the pages, which have none, and of a page for each customer: its orders with the
+    status spanning rows, a heading spanning columns and a table within a cell."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("x"))
+    cells = F.transform("x", lambda o: F.concat(F.lit("<td>"), o["o_orderkey"].cast("string"), F.lit("</td><td>"), o["o_orderpriority"], F.lit("</td>")))
+    rows = F.concat(F.lit("<tr><td rowspan="), F.size("x").cast("string"), F.lit(">"), "o_orderstatus", F.lit("</td>"), F.array_join(cells, "</tr><tr>"), F.lit("</tr>"))
+    by_customer = orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderstatus", rows.alias("html")))), lambda r: r["html"]), "").alias("body"), F.sum(F.size("x")).alias("n"))
+    head = F.concat(F.lit("<table><tr><th>status<table><tr><td>"), F.col("n").cast("string"), F.lit("</table></th><th colspan='2'>order</th></tr>"))
+    derived = by_customer.select(F.col("o_custkey").alias("page_id"), F.concat(head, "body", F.lit("</table>")).alias("html"))
+    return grids.table_grids(table(spark, sf_dir, "pages").select("page_id", "html").unionByName(derived)).drop("cells")

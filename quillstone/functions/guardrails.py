@@ -16,6 +16,7 @@ INJECTION_RULES = (
 )
 #: Unicode case and classes; only a newline ends ".".
 FLAGS = "(?iuUd)"
+# Fixed values.
 LOOKALIKE = r"</?\s*untrusted_document[^>]*>"
 SECRET_KEYS = ("password", "secret", "token", "api_key", "authorization", "access_key")
 
@@ -33,6 +34,11 @@ def wrap_untrusted(cite: Column, text: Column, nonce: str) -> Column:
     return F.concat(F.lit(f"<{tag} cite=\""), cite.cast("string"), F.lit('">\n'), safe, F.lit(f"\n</{tag}>"))
 
 
+def untrusted_context(blocks: Column, nonce: str) -> Column:
+    """An array of struct(cite, text) as wrapped blocks in order, a blank line between them."""
+    return F.array_join(F.transform(blocks, lambda b: wrap_untrusted(b["cite"], b["text"], nonce)), "\n\n")
+
+
 def redact(fields: Column) -> Column:
     """A map with the values of secret keys masked."""
     secret = "|".join(SECRET_KEYS)

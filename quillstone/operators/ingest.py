@@ -120,15 +120,21 @@ def input_reason(text: Column, accepted: Column, shortest: int, longest: int) ->
     return F.when(size < shortest, "too_short").when(size > longest, "too_long").when(odd, "charset").when(~accepted, "rate")
 
 
+#: Equal actions that one task puts in order; more of them are ranked in ranges.
+HOT = 200_000
+
+
 def first_of(actions: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Actions with their number (nth) among equals; all but number 1 are duplicates.
 
-    Only actions that have an equal are put in order, and in ranges: an action repeated
-    without end is no one task's work.
+    A count, added up before the shuffle, finds the keys repeated over ``HOT`` times; only their
+    actions are put in ranges, so an action repeated without end is no one task's work.
     """
-    several = actions.groupBy(*[F.col(k).alias(f"of_{k}") for k in keys]).agg(F.count("*").alias("n_equal")).filter("n_equal > 1")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    hot = actions.groupBy(*[F.col(k).alias(f"of_{k}") for k in keys]).agg(F.count("*").alias("n_equal")).filter(F.col("n_equal") > HOT).drop("n_equal")
+    hot = materialise(hot, "hot-actions")
+    if hot.isEmpty():
+        return actions.withColumn("nth", nth)
     same = F.expr(" AND ".join(f"{k} <=> of_{k}" for k in keys))
-    marked = actions.join(several, same, "left").drop(*[f"of_{k}" for k in keys])
-    repeated = ranked(marked.filter("n_equal > 1").withColumn("group_key", F.struct(*keys)), "group_key", list(order), F.lit(1), "nth")
-    single = marked.filter("n_equal IS NULL").withColumn("nth", F.lit(1).cast("long"))
-    return single.drop("n_equal").unionByName(repeated.withColumn("nth", F.col("nth") + 1).drop("n_equal", "group_key"))
+    many = ranked(actions.join(hot, same, "left_semi").withColumn("group_key", F.struct(*keys)), "group_key", list(order), F.lit(1), "nth")
+    return actions.join(hot, same, "left_anti").withColumn("nth", nth).unionByName(many.withColumn("nth", F.col("nth") + 1).drop("group_key"))

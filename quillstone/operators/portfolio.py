@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.labels import is_processing
 
 
+def tabs_of(status: Column) -> Column:
+    """The tabs that show a document of that status: all, and one of processing, ready and failed."""
+    own = F.when(status == "COMPLETED", "ready").when(status == "FAILED", "failed").otherwise("processing")
+    return F.array(F.lit("all"), own)
+
+
 def status_counts(docs: DataFrame) -> DataFrame:
     """Overlapping tab counts; a tab without documents counts 0."""
     s = F.col("status")

@@ -122,6 +122,35 @@ def key_dates(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1))
 
 
+#: Clause types by a phrase that tells one.
+CLAUSE_TYPES = (
+    ("license", "(?i)licensed under|licen[cs]e (grant|terms)"),
+    ("termination", "(?i)\\bterminat(e|es|ed|ion)\\b"),
+    ("payment", "(?i)\\b(fees?|payment|invoice|net [0-9]+)\\b"),
+    ("liability", "(?i)\\b(liability|liable|indemnif(y|ies|ication))\\b"),
+    ("confidentiality", "(?i)\\bconfidential(ity)?\\b"),
+    ("contact", "[A-Za-z0-9._]+@[A-Za-z0-9-]+[.][a-z]+"),
+)
+AMOUNT = r"(?:USD|EUR|[$]) ?[0-9][0-9,]*(?:[.][0-9]{2})?"
+#: The schema that extracted facts are checked against.
+FACTS = "dates array<string>, amounts array<string>, clause_types array<string>, summary string"
+
+
+def contract_facts(text: Column) -> Column:
+    """struct of FACTS: ISO dates and amounts in order, clause types in the order above, and as summary
+    the first line with a letter, whole."""
+    types = F.filter(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in CLAUSE_TYPES]), lambda x: x.isNotNull())
+    summary = F.get(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"\p{L}")), 0)
+    found = F.struct(key_dates(text).alias("dates"), F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)).alias("amounts"), types.alias("clause_types"), F.trim(summary).alias("summary"))
+    return F.from_json(F.to_json(found), FACTS)  # what does not fit the schema is null
+
+
+def parse_route(html: Column) -> Column:
+    """The parser a page needs: ocr (hardly any text but images), table, complex (columns, frames) or fast."""
+    sparse = (F.length(plain_text(html)) < 20) & html.rlike("(?i)<img[ >]")
+    return F.when(sparse, "ocr").when(html.rlike("(?i)<table[ >]"), "table").when(html.rlike("(?i)<(aside|frameset|iframe|math|svg)[ >]|column-count"), "complex").otherwise("fast")
+
+
 def answer_citations(text: Column) -> Column:
     """Numbers of the [n] marks of an answer."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))

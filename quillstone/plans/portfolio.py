@@ -56,6 +56,15 @@ def in_flight_exists(spark, sf_dir) -> DataFrame:
     return orders(spark, sf_dir).agg(F.coalesce(F.bool_or(F.col("status") == "PROCESSING"), F.lit(False)).alias("in_flight"))
 
 
+@query(
+    f"""WITH o AS (SELECT o_orderkey, {STATUS} AS s FROM orders) SELECT 'all' AS tab, o_orderkey FROM o UNION ALL SELECT 'processing', o_orderkey FROM o WHERE s NOT IN ('COMPLETED', 'FAILED')
+    UNION ALL SELECT 'ready', o_orderkey FROM o WHERE s = 'COMPLETED' UNION ALL SELECT 'failed', o_orderkey FROM o WHERE s = 'FAILED'"""
+)
+def tab_documents(spark, sf_dir) -> DataFrame:
+    """The documents behind each of the four tabs, in one scan."""
+    return orders(spark, sf_dir).select(F.explode(portfolio.tabs_of(F.col("status"))).alias("tab"), "o_orderkey")
+
+
 @query(f"SELECT o_orderkey, {STATUS} AS status FROM orders WHERE {STATUS} = 'FAILED'")
 def tab_failed(spark, sf_dir) -> DataFrame:
     return orders(spark, sf_dir).filter("status = 'FAILED'").select("o_orderkey", "status")

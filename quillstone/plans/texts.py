@@ -148,3 +148,26 @@ def table_grids(spark, sf_dir) -> DataFrame:
     head = F.concat(F.lit("<table><tr><th>status<table><tr><td>"), F.col("n").cast("string"), F.lit("</table></th><th colspan='2'>order</th></tr>"))
     derived = by_customer.select(F.col("o_custkey").alias("page_id"), F.concat(head, "body", F.lit("</table>")).alias("html"))
     return grids.table_grids(table(spark, sf_dir, "pages").select("page_id", "html").unionByName(derived)).drop("cells")
+
+
+FACT_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in text.CLAUSE_TYPES)
+SIGNED = "Signed 2024-01-31 for USD 1,200.00 or $5. Either party may terminate.\nFees are net 30; a@b.example."
+
+
+@query(
+    f"""SELECT doc_id, array_to_string(regexp_extract_all(text, '\\b([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})\\b', 1), ',') AS dates, array_to_string(regexp_extract_all(text, '{text.AMOUNT}'), ';') AS amounts,
+    array_to_string(list_filter([{FACT_SQL}], lambda x: x IS NOT NULL), ',') AS clause_types, trim(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\\pL'))[1]) AS summary
+    FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1, '{SIGNED.replace(chr(10), "' || chr(10) || '")}')"""
+)
+def contract_facts(spark, sf_dir) -> DataFrame:
+    """Dates, amounts, clause types and summary of every document; one with all of them is planted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(spark.createDataFrame([(-1, SIGNED)], "doc_id bigint, text string"))
+    facts = docs.select("doc_id", text.contract_facts(F.col("text")).alias("f"))
+    return facts.select("doc_id", F.array_join("f.dates", ",").alias("dates"), F.array_join("f.amounts", ";").alias("amounts"), F.array_join("f.clause_types", ",").alias("clause_types"), "f.summary")
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN length({PLAIN}) < 20 AND regexp_matches(html, '(?i)<img[ >]') THEN 'ocr' WHEN regexp_matches(html, '(?i)<table[ >]') THEN 'table' WHEN regexp_matches(html, '(?i)<(aside|frameset|iframe|math|svg)[ >]|column-count') THEN 'complex' ELSE 'fast' END AS route FROM pages"""
+)
+def page_routes(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.parse_route(F.col("html")).alias("route"))

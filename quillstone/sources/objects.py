@@ -17,14 +17,23 @@ def safe_key(key: str) -> str:
 
 
 class ObjectStore:
-    """put / get / delete / exists on ``root``, any file system that Spark knows."""
+    """put / get / delete / exists on ``root``, any file system that Spark knows.
 
-    def __init__(self, spark: SparkSession, root: str):
+    ``options`` are the file system's own, for this store alone: what is put with
+    ``fs.s3a.encryption.algorithm`` = ``AES256`` is encrypted by the server.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, options: dict[str, str] | None = None):
         self.spark, self.root = spark, root.rstrip("/")
+        self.conf = spark._jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
+        for k, v in (options or {}).items():
+            self.conf.set(k, v)
+        top = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/")
+        # A file system of its own where it has options: Hadoop's cache goes by address alone.
+        self.fs = spark._jvm.org.apache.hadoop.fs.FileSystem.newInstance(top.toUri(), self.conf) if options else top.getFileSystem(self.conf)
 
     def _path(self, key: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{safe_key(key)}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{safe_key(key)}"), self.fs
 
     def put(self, key: str, data: bytes) -> None:
         path, fs = self._path(key)

@@ -57,6 +57,8 @@ PIECE = 1 << 20
 COLLECTION_BYTES = 16_000_000
 #: Distinct contexts up to which those of one anchor are a collection.
 HEAVY = 4096
+#: Parts that an anchor's contexts are dealt into while shared ones are found.
+SALTS = 32
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -132,9 +134,12 @@ def anchors(docs: DataFrame) -> DataFrame:
 def shared_contexts(docs: DataFrame) -> DataFrame:
     """Contexts, with bytes and digest, whose anchor occurs twice or more."""
     every = materialise(anchors(docs), "contexts", compression="zstd")
-    twice = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Only membership is asked, so a common anchor is counted and joined in SALTS parts.
+    salted = every.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)))
+    parts = salted.groupBy("anchor", "salt").agg(F.count("*").alias("n")).groupBy("anchor").agg(F.sum("n").alias("n"), F.collect_list("salt").alias("salts"))
+    twice = parts.filter("n > 1").select("anchor", F.explode("salts").alias("salt"))
     # A set, as repeated rows have the same key and the same contexts.
-    own = every.join(twice, "anchor").groupBy("key", "check").agg(F.collect_set(F.struct("anchor", "start", "before", "windows")).alias("own"))
+    own = salted.join(twice, ["anchor", "salt"]).groupBy("key", "check").agg(F.collect_set(F.struct("anchor", "start", "before", "windows")).alias("own"))
     own = materialise(own, "shared", compression="zstd").filter("key >= -9223372036854775808").withColumnsRenamed({"key": "of", "check": "of_check"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillstone.llm import pivot_index, role_repair, spelling_variants
+from quillstone.llm import html_extract, pivot_index, role_repair, spelling_variants
 
 TURNS = "conv_id long, turn long, role string, text string, segment string, at string, fault string, copies string"
 
@@ -268,3 +268,42 @@ def test_spelling_variants_follow_forms_to_the_last(spark):
     assert got == brute_variants(rows)
     roots = {w: root for w, _, root, *_ in got}
     assert len({roots[w] for w in ("stationxyz", "stationxy", "stationx", "station")}) == 1
+
+
+# HTML extraction
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><p>before <script>x()</script> after</p></article>", "before after"),
+        ("<article><p>one <custom-el>two</custom-el> three</p></article>", "one two three"),
+        ("<article><p>x <ruby>y<rt>z</rt></ruby> w</p></article>", "x yz w"),
+        ("<article><p>a <select><option>no</select> b <noscript>no</noscript> c</p></article>", "a b c"),
+        ("<article><p>a<style>p{}</style>b</p><p>c<template>no</template> d</p></article>", "ab\nc d"),
+        ("<article>a<br>b<li>c<td>d</article>", "a\nb\nc\nd"),
+    ],
+)
+def test_only_block_elements_end_blocks(html, text):
+    roles, blocks = html_extract.parse(html)
+    assert "\n".join(blocks) == text and set(roles) == {"m"}
+
+
+def test_boilerplate_longer_than_the_pages_own_text(spark):
+    rng = random.Random(6)
+
+    def block(n):
+        return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+
+    notes = [block(60) for _ in range(3)]
+    own = [block(40) for _ in range(6)]
+    rows = [(i, f"http://h/{i}", "".join(f"<div>{b}</div>" for b in (notes[0], own[i], *notes[1:]))) for i in range(6)]
+    article = f"<div>{block(80)}</div><div>{block(50)}</div>"
+    rows += [(10 + i, f"http://g/{i}", f"<div>{notes[0]}</div><div>{'ab'[i]}</div>{article}") for i in range(2)]
+    rows += [(20 + i, f"http://g/x{i}", f"<div>{notes[0]}</div><div>{block(70)}</div>") for i in range(4)]
+    got = {r["page_id"]: r for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i]["text"] == own[i] and got[i]["n_repeated"] == got[i]["n_removed"] == 180
+    for i in range(2):
+        assert got[10 + i]["text"] == "ab"[i] + "\n" + article.replace("<div>", "").replace("</div>", "\n").strip() and got[10 + i]["n_removed"] == 60
+    assert all(notes[0] not in got[20 + i]["text"] for i in range(4))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstone.sources.workspace import tidy
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -13,10 +15,10 @@ _SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL if it has one."""
+    """Register a query under its function's name, with its SQL if it has one; its working tables go when nothing reads them."""
 
     def register(run: Query) -> Query:
-        _QUERIES[run.__name__] = run
+        _QUERIES[run.__name__] = tidy(run)
         if sql:
             _SQL[run.__name__] = sql
         return run

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +28,54 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths given out inside each ``tidy`` call that has not returned, the innermost last.
+_given: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other call has been given."""
-    return f"{shared_dir(spark)}/quillstone/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillstone/{label}-{uuid.uuid4().hex}"
+    if _given:
+        _given[-1].append(path)
+    return path
+
+
+def roots(df: DataFrame) -> list[str]:
+    """The folders and files that a DataFrame's plan reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            found += [paths.apply(k).toString() for k in range(paths.size())]
+    return found
+
+
+def tidy(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``run`` with its working tables removed on return, but those that its result still reads."""
+
+    @wraps(run)
+    def cleared(*args, **kwargs) -> DataFrame:
+        own: list[str] = []
+        _given.append(own)
+        out, read = None, []
+        try:
+            out = run(*args, **kwargs)
+            read = roots(out)
+            return out
+        finally:
+            _given.pop()
+            spark = SparkSession.getActiveSession()
+            for path in own:
+                name = path.rpartition("/")[2]
+                if any(name in r for r in read):
+                    if _given:
+                        _given[-1].append(path)
+                elif spark is not None:
+                    delete(spark, path)
+
+    return cleared
 
 
 def materialise(df: DataFrame, label: str, replaces: DataFrame | None = None, **options: str) -> DataFrame:

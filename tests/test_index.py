@@ -129,3 +129,17 @@ def test_answers_with_an_unsupported_claim_are_not_given(spark):
     judged = claims.withColumn("verdict", F.when(F.col("claim_no") == 0, "supported").otherwise("unsupported"))
     got = {r["a"]: (r["n_claims"], r["groundedness"], r["verdict"]) for r in evidence.grounded(judged, ["a"]).collect()}
     assert got == {1: (2, 0.5, "INSUFFICIENT_EVIDENCE"), 3: (1, 1.0, "answered")}
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_search", "agent_rounds", "delete_then_upsert", "worker_transitions", "rate_limit_bucket"])
+def test_working_tables_go_when_nothing_reads_them(spark, name):
+    from pathlib import Path
+
+    from quillstone.plans import catalogue
+    from quillstone.sources.workspace import roots, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "quillstone"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    left = {p.name for p in set(folder.iterdir()) - before}
+    assert all(any(p in r for r in roots(df)) for p in left) and df.count() > 0

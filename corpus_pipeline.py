@@ -17,30 +17,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bagminhash, exact_dedup, queries, secret_scan, toxicity
-from quillstone.sources.workspace import materialise
+from quillstone.sources.workspace import materialise, tidy
 
 
+@tidy
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@tidy
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the largest doc_id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+@tidy
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates the least doc_id stays."""
     return bagminhash.drop_near_copies(docs)
 
 
+@tidy
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the text."""
     clean = secret_scan.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a training sequence."""
     return queries.packed(docs)
@@ -58,8 +63,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # A stage's working tables go once its result is written.
+        written = tidy(lambda: materialise(stage(spark, docs, sf_dir), f"pipeline-{name}"))()  # noqa: B023
+        docs = written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -74,34 +74,31 @@ def located(docs: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def digest_log(spark: SparkSession, path: str, schema, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> str:
-    """Stream the Parquet documents at ``path`` into a log of digests; returns the log's path."""
+def digest_log(spark: SparkSession, path: str, schema, id_col: str, text_col: str, digest: Callable[[Column], Column], out: str) -> None:
+    """Stream the Parquet documents at ``path`` that it has not met yet into the log of digests at ``out``."""
     # A pattern, as the stream source takes a folder or a pattern but not one file's path.
     plain = re.sub(r"([\\{}\[\]*?])", r"\\\1", path.rstrip("/"))
     pattern = f"{plain[:-1]}[{plain[-1]}]"
     stream = spark.readStream.schema(schema).parquet(pattern).withColumn("norm", fold_ascii(F.col(text_col)))
     rows = located(stream, id_col).withColumn("digest", digest(F.col("norm"))).drop("norm")
-    out = fresh_path(spark, "digest-log")
     query = (
         rows.writeStream.format("parquet")
-        .option("checkpointLocation", fresh_path(spark, "digest-log-checkpoint"))
+        .option("checkpointLocation", f"{out}-checkpoint")
         .trigger(availableNow=True)
         .start(out)
     )
     query.awaitTermination()
-    return out
 
 
-def dedup_state(spark: SparkSession, log_path: str) -> DataFrame:
-    """Keyed state over the digest log: keep (id, file, row) and group_size per digest."""
+def dedup_state(spark: SparkSession, log_path: str, out: str) -> DataFrame:
+    """Keyed state over the digest log: keep (id, file, row) and group_size per digest; its changes are kept at ``out``."""
     state = (
         spark.readStream.schema(LOG_SCHEMA)
         .parquet(log_path)
         .groupBy("digest")
         .agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("group_size"))
     )
-    out = fresh_path(spark, "dedup-state")
-    spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema]).write.parquet(f"{out}/batch=-1")
+    spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema]).write.mode("overwrite").parquet(f"{out}/batch=-1")
 
     def publish(changed: DataFrame, batch: int) -> None:
         # Overwriting the batch's own folder makes a replay after a failure harmless.
@@ -110,7 +107,7 @@ def dedup_state(spark: SparkSession, log_path: str) -> DataFrame:
     with settings(spark, STATE_STORE):
         query = (
             state.writeStream.outputMode("update")
-            .option("checkpointLocation", fresh_path(spark, "dedup-state-checkpoint"))
+            .option("checkpointLocation", f"{out}-checkpoint")
             .trigger(availableNow=True)
             .foreachBatch(publish)
             .start()
@@ -146,17 +143,22 @@ def dedup_exact(
     id_col: str = "doc_id",
     text_col: str = "text",
     digest: Callable[[Column], Column] = sha256_hex,
+    state_dir: str | None = None,
 ) -> DataFrame:
     """One row per document of the Parquet table at ``path``:
     doc_id, keep_id, group_size, kept, digest, file, row.
 
     ``digest`` maps a normalised text to a string; a weak one costs time, not rightness.
+    With a ``state_dir`` log and state stay there: a later call streams only files that came to
+    ``path`` since, and holds them against all that earlier calls have met.
     """
     whole = spark.read.parquet(path)
     docs = spark.read.schema(two_columns(whole, id_col, text_col)).parquet(path)
-    log_path = digest_log(spark, path, docs.schema, id_col, text_col, digest)
+    top = state_dir or fresh_path(spark, "dedup")
+    log_path = f"{top}/log"
+    digest_log(spark, path, docs.schema, id_col, text_col, digest, log_path)
     log = spark.read.schema(LOG_SCHEMA).parquet(log_path)
-    state = dedup_state(spark, log_path)
+    state = dedup_state(spark, log_path, f"{top}/state")
     classed = materialise(log.join(state, "digest"), "dedup-classed")
     with settings(spark, BLOOM):
         texts = materialise(confirm_bytes(spark, docs, classed, id_col, text_col).select("digest", F.sha2("norm", 512).alias("text_512"), "keep", "group_size"), "dedup-bytes")

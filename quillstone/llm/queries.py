@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bagminhash, bpe, exact_dedup, html_extract, packing, pivot_index, quality_rules, quotation_linking, role_repair, secret_scan, spelling_variants, suffix_dedup, toxicity
+from quillstone.sources.workspace import tidy
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,21 +153,11 @@ SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.word =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_secret_scan": op1_secret_scan,
-        "op2_quality_rules": op2_quality_rules,
-        "op3_suffix_dedup": op3_suffix_dedup,
-        "op4_bpe": op4_bpe,
-        "op5_toxicity": op5_toxicity,
-        "op6_bagminhash": op6_bagminhash,
-        "op7_packing": op7_packing,
-        "op8_exact_dedup": op8_exact_dedup,
-        "op9_quotation_linking": op9_quotation_linking,
-        "op10_html_extract": op10_html_extract,
-        "op11_role_repair": op11_role_repair,
-        "op12_pivot_index": op12_pivot_index,
-        "op13_spelling_variants": op13_spelling_variants,
-    }
+    found = (
+        op1_secret_scan, op2_quality_rules, op3_suffix_dedup, op4_bpe, op5_toxicity, op6_bagminhash, op7_packing, op8_exact_dedup,
+        op9_quotation_linking, op10_html_extract, op11_role_repair, op12_pivot_index, op13_spelling_variants,
+    )
+    return {run.__name__: tidy(run) for run in found}
 
 
 def oracle_sql() -> dict[str, str]:

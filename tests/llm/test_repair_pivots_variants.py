@@ -7,11 +7,12 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from quillstone.llm import html_extract, pivot_index, role_repair, spelling_variants
+from quillstone.llm import exact_dedup, html_extract, pivot_index, role_repair, spelling_variants
 
 TURNS = "conv_id long, turn long, role string, text string, segment string, at string, fault string, copies string"
 
@@ -307,3 +308,34 @@ def test_boilerplate_longer_than_the_pages_own_text(spark):
     for i in range(2):
         assert got[10 + i]["text"] == "ab"[i] + "\n" + article.replace("<div>", "").replace("</div>", "\n").strip() and got[10 + i]["n_removed"] == 60
     assert all(notes[0] not in got[20 + i]["text"] for i in range(4))
+
+
+# Exact dedup over several batches; working tables
+
+
+def test_a_second_batch_meets_the_first(spark, tmp_path):
+    def batch(rows):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+
+    def found():
+        df = exact_dedup.dedup_exact(spark, f"file://{tmp_path}/docs", state_dir=f"file://{tmp_path}/state")
+        return {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in df.collect()}
+
+    batch([(1, "Same"), (2, "other"), (3, None)])
+    assert found() == {1: (1, 1, True), 2: (2, 1, True), 3: (3, 1, True)}
+    batch([(9, "sAME"), (4, ""), (5, "new")])
+    want = {1: (9, 2, False), 2: (2, 1, True), 3: (4, 2, False), 9: (9, 2, True), 4: (4, 2, True), 5: (5, 1, True)}
+    assert found() == want
+    assert found() == want  # nothing new: the state answers alone
+
+
+@pytest.mark.parametrize("name", ["op3_suffix_dedup", "op8_exact_dedup", "op11_role_repair", "op12_pivot_index", "op13_spelling_variants", "pipeline"])
+def test_only_what_the_result_reads_stays(spark, name):
+    import __spark_entry__
+    from quillstone.sources.workspace import roots, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "quillstone"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    left = {p.name for p in set(folder.iterdir()) - before}
+    assert all(any(p in r for r in roots(df)) for p in left) and df.count() > 0

@@ -42,14 +42,18 @@ def stage_counts(events: DataFrame) -> DataFrame:
     return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-STATE = StructType([StructField("stage", StringType()), StructField("progress", IntegerType()), StructField("attempts", IntegerType()), StructField("status", StringType())])
-OUTPUT = StructType([StructField("job", LongType()), *STATE.fields])
-
+SHOWN = StructType([StructField("stage", StringType()), StructField("progress", IntegerType()), StructField("attempts", IntegerType()), StructField("status", StringType())])
+OUTPUT = StructType([StructField("job", LongType()), *SHOWN.fields])
+STATE = "ts long, seq long, stage string, phase string, end_ts long, end_seq long, ended string, attempts int"
 
 
 class JobMachine(StatefulProcessor):
-    """Per job: events (seq, stage, phase, by ts if they have it) move the state; every
-    batch emits the new state.  A state that no event touches for ``hours`` goes."""
+    """Per job the last event, the last end and the attempts of events (seq, stage, phase, by ts if they
+    have it); every batch emits the state that follows.
+
+    Each of the three is a maximum or a count, so events are folded in as they come, in any order, and a
+    job with many of them in one trigger takes no more memory.  A state that no event touches for ``hours`` goes.
+    """
 
     def __init__(self, hours: int | None = None):
         self.hours = hours
@@ -58,21 +62,22 @@ class JobMachine(StatefulProcessor):
         self.state = handle.getValueState("job", STATE, self.hours and self.hours * 3_600_000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stage, progress, attempts, status = self.state.get() if self.state.exists() else (None, 0, 0, "PENDING")
-        # A key's rows of one trigger may come in several batches.
-        for batch in [pd.concat(rows)]:
-            for r in batch.sort_values([c for c in ("ts", "seq") if c in batch]).itertuples():
-                if r.phase == "start":
-                    attempts += r.stage == STAGES[0]
-                    stage, status = r.stage, "RUNNING"
-                elif r.phase == "fail":
-                    stage, status = r.stage, "FAILED"
-                else:
-                    progress = dict(zip(STAGES, STAGE_PROGRESS, strict=True))[r.stage]
-                    last = r.stage == STAGES[-1]
-                    stage, status = (None, "SUCCEEDED") if last else (r.stage, "RUNNING")
-        self.state.update((stage, progress, attempts, status))
-        yield pd.DataFrame({"job": [key[0]], "stage": [stage], "progress": [progress], "attempts": [attempts], "status": [status]})
+        *now, attempts = self.state.get() if self.state.exists() else (-1, -1, None, None, -1, -1, None, 0)
+        last, end = tuple(now[:4]), tuple(now[4:])
+        for batch in rows:
+            times = batch["ts"].astype("int64") if "ts" in batch else [0] * len(batch)
+            for ts, seq, stage, phase in zip(times, batch["seq"], batch["stage"], batch["phase"], strict=True):
+                attempts += phase == "start" and stage == STAGES[0]
+                if (ts, seq) > last[:2]:
+                    last = (ts, seq, stage, phase)
+                if phase == "end" and (ts, seq) > end[:2]:
+                    end = (ts, seq, stage)
+        self.state.update((int(last[0]), int(last[1]), *last[2:], int(end[0]), int(end[1]), end[2], attempts))
+        _, _, stage, phase = last
+        done = phase == "end" and stage == STAGES[-1]
+        status = "SUCCEEDED" if done else "FAILED" if phase == "fail" else "RUNNING"
+        progress = dict(zip(STAGES, STAGE_PROGRESS, strict=True)).get(end[2], 0)
+        yield pd.DataFrame({"job": [key[0]], "stage": [None if done else stage], "progress": [progress], "attempts": [attempts], "status": [status]})
 
     def close(self) -> None:
         pass
@@ -93,4 +98,4 @@ def latest_states(states: DataFrame) -> DataFrame:
     spark = states.sparkSession
     with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
         found = run_to_table(states, "update", numbered=True)
-    return found.groupBy("job").agg(F.max_by(F.struct(*STATE.fieldNames()), "batch").alias("s")).select("job", "s.*")
+    return found.groupBy("job").agg(F.max_by(F.struct(*SHOWN.fieldNames()), "batch").alias("s")).select("job", "s.*")

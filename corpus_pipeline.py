@@ -7,7 +7,8 @@ of ``documents``, extra ones too, whatever their names.
 Null texts count as empty: they are clean, and copies of one another, so one row of them
 stays.  Rows without an identifier lose to copies that have one and are never near copies.
 Of copies the largest identifier stays, of near copies the least; rows that repeat an
-identifier are judged each by its own text.  Texts of any length are read whole.  An
+identifier are judged each by its own text; near copies under one identifier are one document and
+stay or go together.  Texts of any length are read whole.  An
 empty table gives an empty result in every stage.
 """
 

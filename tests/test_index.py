@@ -143,3 +143,12 @@ def test_working_tables_go_when_nothing_reads_them(spark, name):
     df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
     left = {p.name for p in set(folder.iterdir()) - before}
     assert all(any(p in r for r in roots(df)) for p in left) and df.count() > 0
+
+
+def test_a_table_can_become_empty(spark, tmp_path):
+    table = ManifestTable(spark, f"file://{tmp_path}/t", ["tenant"])
+    table.upsert(rows(spark, [(1, "v1", "a")]), "version")
+    table.delete(rows(spark, [(1, "v1", "a")]), "id")
+    assert content(table.read()) == [] and table.manifest()["parts"] == {}
+    table.upsert(rows(spark, [(2, "v1", "b")]), "version")
+    assert content(table.read()) == [(2, "v1", "b")]

@@ -38,6 +38,8 @@ APART = 0.5
 NEAREST, SHARED = 8, 3
 #: Vectors of a block; a cell compares two blocks.
 BLOCK = 1024
+#: Numbers of a task's larger arrays, at most: cosines with pivots, marks of shared pivots.
+HELD = 1 << 21
 
 DESCRIBED = "key long, vec array<double>, copies long, pivots array<int>, ball int"
 FOUND = "key long, links long, least long"
@@ -72,11 +74,29 @@ def choose_pivots(found: DataFrame) -> dict[int, np.ndarray]:
 
 def thinned(pivots: np.ndarray) -> np.ndarray:
     """The pivots that no earlier kept one is close to."""
-    kept = np.empty((0, pivots.shape[1]))
+    kept, n = np.empty_like(pivots), 0
     for p in pivots:
-        if not len(kept) or (kept @ p).max() < APART:
-            kept = np.vstack([kept, p]) if len(kept) < 2 else np.concatenate([kept, p[None]])
-    return kept
+        if not n or (kept[:n] @ p).max() < APART:
+            kept[n] = p
+            n += 1
+    return kept[:n]
+
+
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The NEAREST pivots of each row in order, and the cosine of the first.
+
+    Rows go in slices, so that memory does not grow with batch times pivots.
+    """
+    n = min(NEAREST, len(pivots))
+    order, best = np.empty((len(x), n), np.int64), np.empty(len(x))
+    step = max(1, HELD // len(pivots))
+    for at in range(0, len(x), step):
+        s = x[at : at + step] @ pivots.T
+        near = np.sort(np.argpartition(s, len(pivots) - n, axis=1)[:, len(pivots) - n :], axis=1)
+        turn = np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable")
+        order[at : at + step] = np.take_along_axis(near, turn, 1)
+        best[at : at + step] = s.max(axis=1)
+    return order, best
 
 
 def describe(found: DataFrame, pivots: dict[int, np.ndarray], threshold: float) -> DataFrame:
@@ -94,9 +114,8 @@ def describe(found: DataFrame, pivots: dict[int, np.ndarray], threshold: float)
                 if n not in first:
                     yield pa.RecordBatch.from_pylist([r | {"pivots": [-n], "ball": None} for r in own], schema=schema)
                     continue
-                s = unit([r["vec"] for r in own]) @ shared.value[n].T
-                order = np.argsort(-s, axis=1, kind="stable")[:, :NEAREST]
-                near = np.take_along_axis(s, order[:, :1], 1)[:, 0] >= within
+                order, best = nearest_pivots(unit([r["vec"] for r in own]), shared.value[n])
+                near = best >= within
                 yield pa.RecordBatch.from_pylist([r | {"pivots": (o + first[n]).tolist(), "ball": int(o[0] + first[n]) if b else None} for r, o, b in zip(own, order, near, strict=True)], schema=schema)
 
     schema = pa.schema([("key", pa.int64()), ("vec", pa.list_(pa.float64())), ("copies", pa.int64()), ("pivots", pa.list_(pa.int32())), ("ball", pa.int32())])
@@ -138,6 +157,28 @@ def cells(described: DataFrame) -> DataFrame:
     )
 
 
+def shared_pivots(lists: list[list[int]], l: np.ndarray, r: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many pivots each of the rows ``l`` shares with each of ``r``, and how many of those come before ``at``.
+
+    Pivots of one side only add nothing; the others are marked in slices that hold HELD numbers at most.
+    """
+    rows = np.repeat(np.arange(len(lists)), [len(row) for row in lists])
+    flat = np.array([p for row in lists for p in row])
+    names = np.intersect1d(flat[np.isin(rows, l)], flat[np.isin(rows, r)])
+    shared, earlier = np.zeros((len(l), len(r)), np.float32), None
+    cut = int(np.searchsorted(names, at))
+    step = max(1, HELD // max(1, len(lists)))
+    starts = [*range(0, cut, step), *range(cut, len(names), step)]
+    for start, end in zip(starts, [*starts[1:], len(names)], strict=True):
+        if start == cut:
+            earlier = shared.copy()
+        own = (flat >= names[start]) & (flat <= names[end - 1]) & np.isin(flat, names[start:end])
+        has = np.zeros((len(lists), end - start), dtype=np.float32)
+        has[rows[own], np.searchsorted(names[start:end], flat[own])] = 1
+        shared += has[l] @ has[r].T
+    return shared, shared if earlier is None else earlier
+
+
 def linked_in_cell(cell: pa.Table, threshold: float) -> pa.Table:
     """Of one cell, per entry with links: their weight, and the least key it is connected to.
 
@@ -149,15 +190,11 @@ def linked_in_cell(cell: pa.Table, threshold: float) -> pa.Table:
     ball = cell.column("ball").fill_null(-1).to_numpy()
     x = unit(cell.column("vec").to_pylist())
     lists = cell.column("pivots").to_pylist()
-    names = {p: i for i, p in enumerate(sorted({p for row in lists for p in row}))}
-    has = np.zeros((len(key), len(names)), dtype=np.float32)
-    for i, row in enumerate(lists):
-        has[i, [names[p] for p in row]] = 1
     l, r = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(key)), np.arange(len(key)))
-    earlier = has[:, : names[at]]
-    size = has.sum(axis=1)
+    size = np.array([len(row) for row in lists])
     need = np.minimum(np.minimum(size[l][:, None], size[r][None, :]), SHARED)
-    ok = (has[l] @ has[r].T >= need) & (earlier[l] @ earlier[r].T == 0)
+    shared, earlier = shared_pivots(lists, l, r, at)
+    ok = (shared >= need) & (earlier == 0)
     ok &= (ball[l][:, None] < 0) | (ball[l][:, None] != ball[r][None, :])
     ok &= key[l][:, None] != key[r][None, :]
     ok &= x[l] @ x[r].T >= threshold

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +18,21 @@ TRANSITION = "worker long, up boolean, us long"
 MILLI = 1000
 
 
+def merged(spans: np.ndarray, ttl: int) -> np.ndarray:
+    """Spans (first, last) by time, those joined that stand ``ttl`` or less apart."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    last = np.maximum.accumulate(spans[:, 1])
+    cut = np.flatnonzero(spans[1:, 0] - last[:-1] > ttl) + 1
+    return np.column_stack([spans[np.r_[0, cut], 0], last[np.r_[cut - 1, len(spans) - 1]]])
+
+
 class HeartbeatWatch(StatefulProcessor):
     """Per worker: beats wait until the watermark is past them, so their order of arrival does not
     matter; then a gap of more than ``ttl`` microseconds is a time of being down.
 
-    The state is the last beat, whether the worker is up, and the beats that wait, of which
-    there are as many as come within the watermark's delay.
+    Beats that are no more than that apart wait as one span of time, as only the gaps between spans tell.
+    The state is the last beat, whether the worker is up, and the spans that wait: of any number of
+    beats as many as there are gaps.
     """
 
     def __init__(self, ttl: int):
@@ -31,39 +41,45 @@ class HeartbeatWatch(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", "last long, up boolean")
-        self.waiting = handle.getListState("waiting", "at long")
+        self.waiting = handle.getListState("waiting", "first long, last long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        spans = np.array(list(self.waiting.get()), np.int64).reshape(-1, 2)
         for batch in rows:
-            self.waiting.appendList([(int(t),) for t in batch["us"]])
-        yield from self.settle(key, timerValues)
+            us = batch["us"].to_numpy(np.int64)  # of one Arrow batch
+            spans = merged(np.concatenate([spans, np.column_stack([us, us])]), self.ttl)
+        yield from self.settle(key, timerValues, spans)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.settle(key, timerValues)
+        yield from self.settle(key, timerValues, np.array(list(self.waiting.get()), np.int64).reshape(-1, 2))
 
-    def settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
+    def settle(self, key, timerValues, spans: np.ndarray) -> Iterator[pd.DataFrame]:
         """The transitions up to the watermark; a timer wakes the worker when there can be another."""
         until = timerValues.getCurrentWatermarkInMs() * MILLI
         last, up = self.seen.get() if self.seen.exists() else (None, False)
-        beats = sorted(t for (t,) in self.waiting.get())
-        found = []
-        for t in (t for t in beats if t <= until):
-            if up and t - last > self.ttl:
+        found, later = [], []
+        for first, end in spans.tolist():
+            if first > until:
+                later.append((first, end))
+                continue
+            if up and first - last > self.ttl:
                 found.append((False, last + self.ttl))
                 up = False
             if not up:
-                found.append((True, t))
-            last, up = t, True
-        if up and last + self.ttl < until:
+                found.append((True, first))
+            # Of a span that goes on beyond the watermark the rest waits; the worker stays up over all of it.
+            last, up = min(end, until), True
+            if end > until:
+                later.append((until, end))
+        if up and not (later and later[0][0] <= until) and last + self.ttl < until:
             found.append((False, last + self.ttl))
             up = False
         if last is not None:
             self.seen.update((last, up))
-        later = [t for t in beats if t > until]
-        self.waiting.put([(t,) for t in later]) if later else self.waiting.clear()
+        self.waiting.put(later) if later else self.waiting.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        wake = later[:1] + ([last + self.ttl + MILLI] if up else [])
+        wake = [first if first > until else end for first, end in later[:1]] + ([last + self.ttl + MILLI] if up else [])
         if wake:
             self.handle.registerTimer(-(-min(wake) // MILLI))
         if found:

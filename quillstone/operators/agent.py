@@ -78,10 +78,15 @@ class ToolRegistry:
         return questions.withColumn("intent", intent_of(F.col("text"))).join(F.broadcast(known), "intent").join(F.broadcast(rights), ["role", "permission"], "left").withColumn("permitted", F.coalesce("permitted", F.lit(False)))
 
     def candidates(self, routed: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
-        """question, id, place: the first ``n`` of every permitted question by its intent's tool."""
-        found = None
+        """question, id, place: the first ``n`` of every permitted question by its intent's tool.
+
+        Intents that share a tool's function are asked together: one search reads the chunks for all of them.
+        """
+        found, intents = None, {}
         for intent, tool in self.tools.items():
-            own = tool.run(routed.filter((F.col("intent") == intent) & F.col("permitted")), chunks)
+            intents.setdefault(tool.run, []).append(intent)
+        for run, own_intents in intents.items():
+            own = run(routed.filter(F.col("intent").isin(own_intents) & F.col("permitted")), chunks)
             found = own if found is None else found.unionByName(own)
         ranked = retrieval.top(found.withColumnRenamed("question", "query"), "score", n)
         return ranked.select(F.col("query").alias("question"), "id", F.col("rank").alias("place"))

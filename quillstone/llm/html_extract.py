@@ -388,8 +388,8 @@ def main_texts(pages: DataFrame, min_tokens: int = 8, id_col: str = "page_id", u
     """One row per page: page_id, url, text, n_tokens (of all blocks), n_repeated (of them,
     under repeated substrings), n_removed (of those, left out of the text).
 
-    Repetition is looked for on hosts with a page that markup leaves open; on others, where
-    no verdict waits for it, n_repeated and n_removed are null.
+    Repetition is looked for on every host.  Where markup leaves no page of the host open,
+    no verdict waits for it, and n_removed is null.
     """
     parsed = map_rows(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), ["page_id", "url", "html"], parse_row, PARSED, batch_rows=256)
     # Numbers of this table, written before anything reads them.
@@ -399,11 +399,9 @@ def main_texts(pages: DataFrame, min_tokens: int = 8, id_col: str = "page_id", u
 
     def row(page_id, url, roles, blocks, looked, starts) -> Iterator[tuple]:
         for found in settle_row(page_id, url, roles, blocks, starts, min_tokens):
-            yield found if looked else (*found[:4], None, None)
+            yield found if looked else (*found[:5], None)
 
     with settings(pages.sparkSession, BLOOM):
-        # The no-op condition lets Spark build its runtime filter on the hosts' side.
-        own = materialise(parsed.join(waiting.filter("host >= ''").withColumn("looked", F.lit(True)), "host"), "pages-waiting", compression="zstd")
-        rows = materialise(own.join(repeated(own, min_tokens), "row", "left").select(*names), "pages-open", compression="zstd")
-    rest = parsed.select("page_id", "url", "roles", "blocks", "host").join(waiting, "host", "left_anti").withColumns({"looked": F.lit(False), "starts": F.lit(None).cast("array<struct<start:int,n:bigint>>")})
-    return map_rows(rows.unionByName(rest.select(*names)), names, row, RESULT, batch_rows=256)
+        starts = materialise(repeated(parsed, min_tokens), "page-repeats", compression="zstd")
+    rows = parsed.join(waiting.withColumn("looked", F.lit(True)), "host", "left").withColumn("looked", F.coalesce("looked", F.lit(False)))
+    return map_rows(rows.join(starts, "row", "left").select(*names), names, row, RESULT, batch_rows=256)

@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.sources.workspace import materialise
+from quillstone.sources.workspace import materialise, settings
 
 #: Queries and vectors compared together, about.
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 4096
+#: Similarities that a task holds at once, about.
+HELD = 1 << 18
+#: A pair of blocks is a megabyte or more, so that Spark's usual batch of 10,000 rows would hold all of a task.
+PAIR_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 #: Terms of all queries that a scan carries along.
 FEW_TERMS = 1000
 RANKED = "query long, id long, similarity double"
@@ -29,13 +33,20 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, same_ids: bool =
     meets every vector block once, in any task; of each such pair k rows per query go on.
     """
 
+    pairs = packed(vectors, VECTOR_BLOCK, "own").crossJoin(packed(queries, QUERY_BLOCK, "asked")).select("asked", "own")
+    return nearest(pairs, k, same_ids)
+
+
+def nearest(pairs: DataFrame, k: int, same_ids: bool) -> DataFrame:
+    """query, id, similarity, rank: the k best per query over pairs of packed blocks (asked, own), a few pairs in memory at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for asked, own in zip(batch.column(0), batch.column(1), strict=True):
                 yield nearest_in_block(*unpacked(asked), *unpacked(own), k, same_ids)
 
-    pairs = packed(vectors, VECTOR_BLOCK, "own").crossJoin(packed(queries, QUERY_BLOCK, "asked")).select("asked", "own")
-    return top(pairs.mapInArrow(run, RANKED), "similarity", k)
+    with settings(pairs.sparkSession, PAIR_BATCH):
+        return materialise(top(pairs.mapInArrow(run, RANKED), "similarity", k), "nearest")
 
 
 def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -56,14 +67,22 @@ def unpacked(block: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest_in_block(ids: np.ndarray, block: np.ndarray, own: np.ndarray, x: np.ndarray, k: int, same_ids: bool) -> pa.RecordBatch:
     """The k nearest vectors of a block per query of a block, ties by id."""
-    s = np.round(block @ x.T, 9)
-    if same_ids:
-        s[ids[:, None] == own[None, :]] = -3.0
-    order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-    best, found = np.take_along_axis(s, order, 1), own[order]
-    keep = best > -3.0
-    rows = np.broadcast_to(ids[:, None], best.shape)[keep], found[keep], best[keep]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["query", "id", "similarity"])
+    found, step = [], max(1, HELD // len(own))
+    for at in range(0, len(ids), step):
+        some = ids[at : at + step]
+        s = np.round(block[at : at + step] @ x.T, 9)
+        s[np.isnan(s)] = -3.0
+        if same_ids:
+            s[some[:, None] == own[None, :]] = -3.0
+        # All that tie with the k-th go on; only they are sorted.
+        least = np.partition(s, -k, axis=1)[:, -k:].min(axis=1, keepdims=True) if k < len(own) else -3.0
+        row, col = np.nonzero((s >= least) & (s > -3.0))
+        order = np.lexsort((own[col], -s[row, col], row))
+        row, col = row[order], col[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[first], col[first]
+        found.append((some[row], own[col], s[row, col]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query", "id", "similarity"])
 
 
 def top(scored: DataFrame, score: str, k: int) -> DataFrame:

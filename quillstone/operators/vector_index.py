@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators.retrieval import QUERY_BLOCK, RANKED, VECTOR_BLOCK, nearest_in_block, top, unpacked
+from quillstone.operators.retrieval import QUERY_BLOCK, VECTOR_BLOCK, nearest
 from quillstone.sources.manifest import ManifestTable
 
 #: Vectors that the cells are fitted on, at most: the first by a hash of their ids.
@@ -94,13 +94,7 @@ class VectorIndex:
         only = {json.dumps(p) for p in parts if p[1] in wanted and (tenant is None or p[0] == tenant)}
         own = self.table.read(only=only)
         pairs = packed(own, VECTOR_BLOCK, "own").join(packed(asked, QUERY_BLOCK, "asked"), "cell").select("asked", "own")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for some, others in zip(batch.column(0), batch.column(1), strict=True):
-                    yield nearest_in_block(*unpacked(some), *unpacked(others), k, same_ids)
-
-        return top(pairs.mapInArrow(run, RANKED), "similarity", k)
+        return nearest(pairs, k, same_ids)
 
     def scanned(self, queries: DataFrame, probes: int) -> float:
         """The mean share of the vectors that a query's probed cells hold."""

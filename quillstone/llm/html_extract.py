@@ -14,8 +14,11 @@ and an interval that holds suffixes of distinct pages is a long repeated substri
 tokens under one are repeated.  No host is one task's work: a suffix is looked at only
 where its *anchor* (of the token grams in its first ``min_tokens`` tokens the one of least
 hash) stands on distinct pages of the host, and intervals are groups of suffixes with
-equal first tokens, built by partial aggregation over ranges of prefixes.  Tokens are
-compared themselves, not their hashes, and every page of the host counts.
+equal first tokens, built over ranges of hashes.  First tokens are compared by 96 bits of
+BLAKE2b, anchors by 40 (a false meeting costs a comparison), and every page of the host counts.
+Anchors and suffixes cross to their range packed: sorted, as differences, a column of bytes
+after the other.  Texts never cross: pages are kept in *slices* that tables of places are
+brought to.
 
 Pages of equal open text are one page to the array.  A page of whose open text ``COPY`` or more is
 repeated is a copy of others, as an article under several addresses is: of its repeats only
@@ -37,18 +40,21 @@ from __future__ import annotations
 
 import html as entities
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from hashlib import blake2b, md5
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from quillstone.llm.exact_dedup import BLOOM
-from quillstone.llm.rows import map_rows
-from quillstone.sources.workspace import materialise, settings
+from quillstone.llm.rows import as_batch
+from quillstone.sources.workspace import fresh_path, materialise, settings
 
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 QUOTE_OR_END = re.compile(r"""["'>]""")
@@ -90,9 +96,19 @@ COPY = 0.95
 #: Tokens of a gram, by whose hash suffixes are picked for comparison.
 GRAM = 3
 
-PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("roles", pa.string()), ("blocks", pa.string()), ("content", pa.int64())])
-CONTEXT = pa.schema([("host", pa.string()), ("anchor", pa.int64()), ("content", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
-SUFFIX = pa.schema([("host", pa.string()), ("prefix", pa.string()), ("content", pa.int64()), ("row", pa.int64()), ("start", pa.int32())])
+#: Characters of a slice of pages, about; a longer page is a slice of its own.
+SLICE = 1 << 22
+#: Anchors or suffixes of pages that are packed together, about.
+PACK = 1 << 19
+#: Characters of all pages for one range of hashes.
+RANGE = 1 << 23
+#: A written table's shuffle files go with its job.
+CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("roles", pa.string()), ("blocks", pa.string()), ("content", pa.int64()), ("slice", pa.int64()), ("row", pa.int64())])
+PACKED = pa.schema([("bucket", pa.int64()), ("base", pa.int64()), ("n", pa.int64()), ("entries", pa.binary())])
+CONTEXT = pa.schema([("slice", pa.int64()), ("row", pa.int64()), ("back", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+REPEAT = pa.schema([("slice", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 RESULT = pa.schema(
     [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_tokens", pa.int64()), ("n_repeated", pa.int64()), ("n_removed", pa.int64())]
 )
@@ -307,10 +323,10 @@ def stream(blocks: str) -> list[str]:
     return blocks.replace("\n", " ").split(" ") if blocks else []
 
 
-def contexts(words: list[bytes], min_tokens: int) -> list[tuple[int, int, int]]:
-    """anchor, first window, number of windows: runs of windows that share their anchor."""
+def contexts(words: list[bytes], min_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """anchors, first windows, numbers of windows: runs of windows that share their anchor."""
     if len(words) < min_tokens:
-        return []
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     gram = min(GRAM, min_tokens)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     grams = np.zeros(len(words) - gram + 1, np.uint64)
@@ -320,36 +336,141 @@ def contexts(words: list[bytes], min_tokens: int) -> list[tuple[int, int, int]]:
     reach = min_tokens - gram + 1
     at = np.lib.stride_tricks.sliding_window_view(grams, reach).argmin(axis=1) + np.arange(len(grams) - reach + 1)
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    return list(zip(grams[at[first]].view(np.int64).tolist(), first.tolist(), np.diff(first, append=len(at)).tolist(), strict=True))
+    return grams[at[first]], first, np.diff(first, append=len(at))
 
 
-def suffixes(parsed: DataFrame, min_tokens: int) -> DataFrame:
-    """host, prefix (the first ``min_tokens`` tokens), content, row, start of the suffixes
-    whose anchor stands on distinct pages of the host."""
+def anchors(page: dict, min_tokens: int) -> np.ndarray:
+    """A page's entries (hash of host and anchor, number of windows, row, lead, start)."""
+    grams, first, windows = contexts(encoded(page["blocks"]), min_tokens)
+    key = (grams ^ np.uint64(xxhash.xxh3_64_intdigest(page["host"].encode("utf-8", "surrogatepass")))) * np.uint64(0x9E3779B97F4A7C15)
+    return entries(page, key >> np.uint64(24) << np.uint64(24), windows, first)
 
-    def find(host, content, row, blocks) -> Iterator[tuple]:
-        for anchor, start, windows in contexts(" ".join(stream(blocks)).encode("utf-8", "surrogatepass").split(b" ") if blocks else [], min_tokens):
-            yield host, anchor, content, row, start, windows
 
-    def cut(host, content, row, blocks, own) -> Iterator[tuple]:
-        words = stream(blocks)
-        for c in own:
-            for start in range(c["start"], c["start"] + c["windows"]):
-                yield host, " ".join(words[start : start + min_tokens]), content, row, start
+def suffixes(page: dict, own: list[dict], min_tokens: int) -> np.ndarray:
+    """A page's entries (64 bits and 32 more of the digest of host and first tokens, row, lead, start) of the given contexts."""
+    if not own:
+        return np.empty((5, 0), np.uint64)
+    text = b" ".join(encoded(page["blocks"]))
+    space = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    begin, end = np.concatenate([[0], space + 1]).tolist(), np.concatenate([space, [len(text)]]).tolist()
+    starts = [s for c in own for s in range(c["start"], c["start"] + c["windows"])]
+    salt = md5(page["host"].encode("utf-8", "surrogatepass")).digest()
+    digests = b"".join(blake2b(text[begin[s] : end[s + min_tokens - 1]], digest_size=12, salt=salt).digest() for s in starts)
+    both = np.frombuffer(digests, np.dtype([("key", "<u8"), ("more", "<u4")]))
+    return entries(page, both["key"], both["more"], np.array(starts, np.int64))
 
-    page = ["host", "content", "row", "blocks"]
-    every = materialise(map_rows(parsed, page, find, CONTEXT), "page-contexts", compression="zstd")
-    shared = every.groupBy("host", "anchor").agg(F.min("content").alias("a"), F.max("content").alias("b")).filter("a < b").select("host", "anchor")
-    own = every.join(shared, ["host", "anchor"]).groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("own"))
-    return map_rows(parsed.join(own, "row"), [*page, "own"], cut, SUFFIX)
+
+def encoded(blocks: str) -> list[bytes]:
+    return " ".join(stream(blocks)).encode("utf-8", "surrogatepass").split(b" ") if blocks else []
+
+
+def entries(page: dict, key: np.ndarray, more: np.ndarray, start: np.ndarray) -> np.ndarray:
+    found = np.zeros((5, len(key)), np.uint64)
+    found[0], found[1], found[2], found[4] = key, more, page["row"], start
+    found[3] = np.int64(page["back"]).astype(np.uint64)  # lead - row: zero but for copies
+    return found
+
+
+def packed(found: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Rows of PACKED, one for each of 2**bits ranges of the key: entries in order, as differences, byte by byte."""
+    e = np.concatenate(found, axis=1)
+    e = e[:, np.lexsort((e[1], e[0]))]
+    base = e[2].min()
+    e[2] -= base
+    bucket = (e[0] >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    rows = []
+    for i, j in zip(first, [*first[1:], len(bucket)], strict=True):
+        some = e[:, i:j].copy()
+        some[0, 1:] -= e[0, i : j - 1]
+        planes = some.view(np.uint8).reshape(5, j - i, 8).transpose(0, 2, 1).tobytes()
+        rows.append((int(bucket[i]), int(base), j - i, pa.compress(planes, "zstd", asbytes=True)))
+    return as_batch(rows, PACKED)
+
+
+def unpacked(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """key, more, row, back, start of all entries of rows of PACKED."""
+    n = np.array(rows.column("n").to_pylist(), np.int64)
+    found, at = np.zeros((5, n.sum()), np.uint64), 0
+    for base, size, data in zip(*(rows.column(c).to_pylist() for c in ("base", "n", "entries")), strict=True):
+        planes = np.frombuffer(pa.decompress(data, 40 * size, "zstd"), np.uint8)
+        some = found[:, at : at + size]
+        some[:] = np.ascontiguousarray(planes.reshape(5, 8, size).transpose(0, 2, 1)).view(np.uint64)[..., 0]
+        some[0] = np.cumsum(some[0], dtype=np.uint64)
+        some[2] += np.uint64(base)
+        at += size
+    return found[0], found[1], *found[2:].astype(np.int64)
+
+
+def packing(bits: int, find: Callable[..., np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Packs what ``find`` says of each page of a slice (and of what is known of its places)."""
+
+    def run(pages: pa.Table, known: pa.Table) -> pa.Table:
+        of = defaultdict(list)
+        for r in known.to_pylist():
+            of[r["row"]].append(r)
+        found, held, out = [], 0, []
+        for batch in pages.to_batches(256):
+            for page in batch.to_pylist():
+                own = of.get(page["row"], [])
+                found.append(find(page | {"back": own[0]["back"] if own else 0}, own))
+                held += found[-1].shape[1]
+                if held >= PACK:
+                    out.append(packed(found, bits))
+                    found, held = [], 0
+        if held:
+            out.append(packed(found, bits))
+        return pa.Table.from_batches(out, PACKED)
+
+    return run
+
+
+def shared(rows: pa.Table) -> pa.Table:
+    """Rows of CONTEXT: entries whose anchor stands on pages of distinct content."""
+    key, windows, row, back, start = unpacked(rows)
+    order = np.argsort(key, kind="stable")
+    lead = (row + back)[order]
+    first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+    many = np.minimum.reduceat(lead, first) < np.maximum.reduceat(lead, first)
+    at = order[np.repeat(many, np.diff(first, append=len(order)))]
+    at = at[np.argsort(row[at], kind="stable")]
+    return pa.table([row[at] >> 20, row[at], back[at], start[at].astype(np.int32), windows[at].astype(np.int32)], schema=CONTEXT)
+
+
+def intervals(rows: pa.Table) -> pa.Table:
+    """Rows of REPEAT: suffixes whose first tokens pages of distinct content have, and how many contents (n)."""
+    key, more, row, back, start = unpacked(rows)
+    order = np.lexsort((row + back, more, key))
+    key, more, lead = key[order], more[order], (row + back)[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+    other = new.copy()
+    other[1:] |= lead[1:] != lead[:-1]
+    first = np.flatnonzero(new)
+    n = np.repeat(np.add.reduceat(other.astype(np.int64), first), np.diff(first, append=len(order)))
+    at, n = order[n > 1], n[n > 1]
+    by = np.lexsort((start[at], row[at]))
+    at, n = at[by], n[by]
+    return pa.table([row[at] >> 20, row[at], start[at].astype(np.int32), n.astype(np.int32)], schema=REPEAT)
+
+
+def by_slice(parsed: DataFrame, columns: list[str], known: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], out: pa.Schema) -> DataFrame:
+    """``run`` on each slice of pages with the known places in it; only these are shuffled."""
+    return parsed.select("slice", *columns).groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(run, from_arrow_schema(out))
 
 
 def repeated(parsed: DataFrame, min_tokens: int) -> DataFrame:
-    """row, starts: of each page the suffixes whose first tokens another page of the host has, and on how many pages (n) they stand."""
-    found = materialise(suffixes(parsed, min_tokens), "page-suffixes", compression="zstd")
-    pages = found.groupBy("host", "prefix", "content").agg(F.lit(1).alias("one"))
-    intervals = pages.groupBy("host", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
-    return found.join(intervals, ["host", "prefix"]).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
+    """slice, row, start, n: of each page the suffixes whose first tokens another page of the host has, and on how many pages (n) they stand."""
+    size = parsed.agg(F.sum("size")).first()[0] or 0
+    bits = max(4, int(size // RANGE).bit_length())
+    first = parsed.groupBy("host", "content").agg(F.min("row").alias("lead"), F.max("row").alias("last")).filter("lead < last")
+    back = parsed.select("host", "content", "slice", "row").join(first, ["host", "content"]).select("slice", "row", (F.col("lead") - F.col("row")).alias("back"))
+    back = materialise(back, "page-copies", compression="zstd")
+    page = ["row", "host", "blocks"]
+    every = by_slice(parsed, page, back, packing(bits, lambda p, _: anchors(p, min_tokens)), PACKED)
+    own = materialise(every.groupBy("bucket").applyInArrow(shared, from_arrow_schema(CONTEXT)), "page-contexts", compression="zstd")
+    found = by_slice(parsed, page, own, packing(bits, lambda p, own: suffixes(p, own, min_tokens)), PACKED)
+    return found.groupBy("bucket").applyInArrow(intervals, from_arrow_schema(REPEAT))
 
 
 def settle_row(page_id, url, roles, blocks, starts, min_tokens: int) -> Iterator[tuple]:
@@ -391,17 +512,55 @@ def main_texts(pages: DataFrame, min_tokens: int = 8, id_col: str = "page_id", u
     Repetition is looked for on every host.  Where markup leaves no page of the host open,
     no verdict waits for it, and n_removed is null.
     """
-    parsed = map_rows(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), ["page_id", "url", "html"], parse_row, PARSED, batch_rows=256)
-    # Numbers of this table, written before anything reads them.
-    parsed = materialise(parsed.withColumns({"host": host_of("url"), "row": F.monotonically_increasing_id()}), "pages-parsed", compression="zstd")
-    waiting = materialise(parsed.filter("contains(roles, 'u')").select("host").distinct(), "open-hosts")
-    names = ["page_id", "url", "roles", "blocks", "looked", "starts"]
-
-    def row(page_id, url, roles, blocks, looked, starts) -> Iterator[tuple]:
-        for found in settle_row(page_id, url, roles, blocks, starts, min_tokens):
-            yield found if looked else (*found[:5], None)
-
-    with settings(pages.sparkSession, BLOOM):
+    parsed = parsed_pages(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")))
+    with settings(pages.sparkSession, CLEAN):
         starts = materialise(repeated(parsed, min_tokens), "page-repeats", compression="zstd")
-    rows = parsed.join(waiting.withColumn("looked", F.lit(True)), "host", "left").withColumn("looked", F.coalesce("looked", F.lit(False)))
-    return map_rows(rows.join(starts, "row", "left").select(*names), names, row, RESULT, batch_rows=256)
+        # A row without a start says that the page's host is one that has an open page.
+        waiting = parsed.filter("contains(roles, 'u')").select("host").distinct()
+        looked = materialise(parsed.select("host", "slice", "row").join(waiting, "host").selectExpr("slice", "row", "CAST(NULL AS int) AS start", "CAST(NULL AS int) AS n"), "page-looked", compression="zstd")
+
+    def run(pages: pa.Table, known: pa.Table) -> pa.Table:
+        of, looked = defaultdict(list), set()
+        for r in known.select(["row", "start", "n"]).to_pylist():
+            if r["start"] is None:
+                looked.add(r["row"])
+            else:
+                of[r["row"]].append(r)
+        out = []
+        for batch in pages.to_batches(256):
+            rows = []
+            for p in batch.to_pylist():
+                for found in settle_row(p["page_id"], p["url"], p["roles"], p["blocks"], of.get(p["row"]), min_tokens):
+                    rows.append(found if p["row"] in looked else (*found[:5], None))
+            out.append(as_batch(rows, RESULT))
+        return pa.Table.from_batches(out, RESULT)
+
+    return by_slice(parsed, ["row", "page_id", "url", "roles", "blocks"], starts.union(looked), run, RESULT)
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """PARSED, host and size (characters of the blocks) of pages (page_id, url, html), written in buckets of slices, before anything reads the numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 22
+        part, row, size = 0, 0, 0
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                rows = []
+                for values in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    for found in parse_row(*values):
+                        if row and (size + len(found[3]) > SLICE or row == 1 << 20):
+                            part, row, size = part + 1, 0, 0
+                        rows.append((*found, task + part, (task + part << 20) + row))
+                        row, size = row + 1, size + len(found[3])
+                yield as_batch(rows, PARSED)
+
+    spark = pages.sparkSession
+    parsed = pages.mapInArrow(run, from_arrow_schema(PARSED)).withColumns({"host": host_of("url"), "size": F.length("blocks").cast("long")})
+    path, name = fresh_path(spark, "pages-parsed"), f"pages_parsed_{uuid.uuid4().hex}"
+    parts = min(pages.rdd.getNumPartitions(), 100_000)  # Spark's most buckets
+    parsed.write.bucketBy(max(1, parts), "slice").options(path=path, compression="zstd").saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # resolved: the files are read by path, the name is not needed  # noqa: B018
+    spark.sql(f"DROP TABLE {name}")
+    return found

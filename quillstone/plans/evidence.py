@@ -94,7 +94,7 @@ def judged_claims(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk"), "lang", "text")
     said = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text", ((F.col("conv_id") * 10 + F.col("turn")) % 900).alias("chunk"))
     s = evidence.sentences(F.col("quoted"))
-    quoted = docs.select("chunk", F.col("text").alias("quoted")).join(said.select("chunk").distinct(), "chunk", "left_semi").select("chunk", s.alias("s"))
+    quoted = materialise(evidence.chunks_of(docs.select("chunk", F.col("text").alias("quoted")), said).select("chunk", s.alias("s")), "quoted")
     quote = F.concat(F.when(F.col("conv_id") % 3 == 0, "Not ").otherwise(""), F.coalesce(F.try_element_at("s", (F.col("turn") % F.size("s") + 1).cast("int")), F.lit("")))
     answers = said.join(quoted.filter(F.size("s") > 0), "chunk", "left").select("conv_id", "turn", "chunk", F.concat("text", F.lit("\n"), quote).alias("text"))
     claims = materialise(evidence.split_claims(answers).withColumn("id", F.struct("conv_id", "turn", "claim_no")), "claims")

@@ -8,6 +8,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import from_arrow_schema
 
+#: Input rows that are Python objects at once.
+BATCH = 256
+
+
+def values(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches, which may hold many long texts; ``BATCH`` of them at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, BATCH).columns), strict=True)
+
 
 def map_rows(df: DataFrame, columns: list[str], row: Callable[..., Iterable[tuple]], out: pa.Schema, batch_rows: int = 1024) -> DataFrame:
     """``row(*values)`` gives the result rows of one input row, over ``columns`` of ``df``.
@@ -19,12 +29,11 @@ def map_rows(df: DataFrame, columns: list[str], row: Callable[..., Iterable[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for batch in batches:
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.extend(row(*values))
-                if len(rows) >= batch_rows:
-                    yield as_batch(rows, out)
-                    rows = []
+        for given in values(batches):
+            rows.extend(row(*given))
+            if len(rows) >= batch_rows:
+                yield as_batch(rows, out)
+                rows = []
         if rows:
             yield as_batch(rows, out)
 

@@ -31,15 +31,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import batched
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from quillstone.llm.rows import as_batch, map_rows
+from quillstone.llm.rows import BATCH, as_batch, map_rows, values
 from quillstone.sources.workspace import materialise
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -49,10 +49,12 @@ CATEGORIES = ("quality", "toxic")
 FOLDS = 5
 #: Standard deviations by which toxic texts have a selected term more often.
 LEAST_SCORE = 2.0
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 
-#: Texts scored together.
-BATCH = 256
+#: Sums of terms that a counting task holds; Spark adds up what it gives out.
+HELD_TERMS = 50_000
+#: Of these, given out at once.
+TERM_ROWS = 10_000
 
 TERM = pa.schema([("term", pa.string()), ("fold", pa.int64()), ("n_toxic", pa.int64()), ("n", pa.int64())])
 
@@ -180,21 +182,25 @@ def sampled(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sam
 
 
 def count_terms(sample: DataFrame, label: str) -> DataFrame:
-    """Texts per term and fold, toxic ones and all; summed within a task before the shuffle."""
+    """Texts per term and fold, toxic ones and all; summed within a task before the shuffle.
+
+    A task holds ``HELD_TERMS`` sums and one text's terms at most, however many texts its batch has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, bad = Counter(), Counter()
-        for batch in batches:
-            for text, fold, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = {(t, fold) for w in set(WORD.findall(text.lower())) for t in terms_of(w)}
-                n.update(own)
-                if toxic:
-                    bad.update(own)
-            if len(n) > 300_000:
-                yield as_batch([(*k, bad[k], c) for k, c in n.items()], TERM)
+        for text, fold, toxic in values(batches):
+            own = {(t, fold) for w in set(WORD.findall(text.lower())) for t in terms_of(w)}
+            n.update(own)
+            if toxic:
+                bad.update(own)
+            if len(n) >= HELD_TERMS:
+                yield from summed(n, bad)
                 n, bad = Counter(), Counter()
-        if n:
-            yield as_batch([(*k, bad[k], c) for k, c in n.items()], TERM)
+        yield from summed(n, bad)
+
+    def summed(n: Counter, bad: Counter) -> Iterator[pa.RecordBatch]:
+        for part in batched(n.items(), TERM_ROWS):
+            yield as_batch([(*k, bad[k], c) for k, c in part], TERM)
 
     return sample.select("text", "fold", label).mapInArrow(run, from_arrow_schema(TERM)).groupBy("term", "fold").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n").alias("n"))
 
@@ -267,9 +273,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """``docs`` without the toxic ones; all columns stay, and no row is moved."""
     chain = fit(docs, labels, id_col=id_col, text_col=text_col)
 
-    @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
-        parts = [chain.probabilities([t or "" for t in texts[at : at + BATCH]])[:, -1] for at in range(0, len(texts), BATCH)]
-        return pd.Series(np.concatenate(parts) > chain.threshold if parts else [], dtype=bool)
+    @F.arrow_udf("boolean")
+    def toxic(texts: pa.Array) -> pa.Array:
+        parts = [chain.probabilities([t or "" for t in texts.slice(at, BATCH).to_pylist()])[:, -1] for at in range(0, len(texts), BATCH)]
+        return pa.array(np.concatenate(parts) > chain.threshold if parts else [], pa.bool_())
 
     return docs.filter(~toxic(F.col(text_col)))
